@@ -1,0 +1 @@
+"""Table profiling, data quality, personal-data screening and drift as Spark DataFrame jobs."""
