@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import shared_dir, stored
+
+__all__ = ["WHITE", "WordHashes", "ascii_lower", "mix", "read", "shared_dir", "stored"]
+
 #: ASCII white space that ends a word; ``bytes.split()`` splits on exactly these.
 WHITE = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,25 +26,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
-
-
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table into the shared folder and read it back: cuts lineage and survives lost executors.
-
-    Compressed Parquet, unlike ``checkpoint()``; the files go with the shared folder.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to ``keep`` words of a task."""
 
