@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WHITE", "WordHashes", "ascii_lower", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "ascii_lower", "mix", "read", "shared_dir", "stored"]
 
-#: ASCII white space that ends a word; ``bytes.split()`` splits on exactly these.
-WHITE = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
