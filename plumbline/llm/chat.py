@@ -69,6 +69,7 @@ def parse_conversation(formatted: str) -> list[tuple[str, str]]:
 def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     """Rows (tree_id, leaf_id, path_rank, path_score, depth, role, text): the messages of each chosen path; depth counts from 0 at the root."""
     m = messages.select("tree_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    m = stored(m, "messages")
     known = m.select("tree_id", F.col("msg_id").alias("anc"))
     state = stored(
         m.select("tree_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("anc"), "score")
@@ -93,7 +94,7 @@ def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     paths = stored(paths.select("tree_id", F.col("node").alias("leaf_id"), "node", "path_rank", F.col("score").alias("path_score")), "path")
     for jump in jumps:
         up = paths.join(jump, ["tree_id", "node"]).select("tree_id", "leaf_id", F.col("anc").alias("node"), "path_rank", "path_score")
-        paths = paths.unionByName(up)
+        paths = stored(paths.unionByName(up), "path")
     return (
         paths.join(rooted.select("tree_id", "node", (F.col("hops") - 1).alias("depth")), ["tree_id", "node"])
         .join(m.select("tree_id", F.col("msg_id").alias("node"), "role", "text"), ["tree_id", "node"])
