@@ -82,10 +82,8 @@ def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     while pending and len(jumps) <= math.log2(total) + 1:
         jumps.append(state.where("anc is not null").select("tree_id", "node", "anc"))
         up = state.select("tree_id", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("hops").alias("hops2"), F.col("score").alias("score2"))
-        state = stored(
-            state.join(up, ["tree_id", "anc"], "left").select("tree_id", "node", F.col("anc2").alias("anc"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")),
-            "jump",
-        )
+        on = state.where("anc is not null").join(up, ["tree_id", "anc"]).select("tree_id", "node", F.col("anc2").alias("anc"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("score") + F.col("score2")).alias("score"))
+        state = stored(state.where("anc is null").unionByName(on), "jump")
         pending = state.where("anc is not null").count()
     rooted = state.where("anc is null")
     leaves = rooted.join(m.select("tree_id", F.col("parent_id").alias("node")).where("node is not null").distinct(), ["tree_id", "node"], "left_anti")
