@@ -173,7 +173,7 @@ def test_katz(docs):
         c[0] += k
         c[1] += k * (d[k - 1] if k <= katz.CUTOFF else 1)
         c[2] += p(b)
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 6), round(r["base_score"], 6)) for r in model.score(docs).collect())
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 6), round(r["base_score"], 6)) for r in model.score().collect())
     want = []
     for (i, _), s in zip(rows, seqs, strict=True):
         total = 0.0
@@ -186,6 +186,50 @@ def test_katz(docs):
     assert [x for g in got for x in g[1:]] == pytest.approx([x for w in sorted(want) for x in w[1:]], abs=1e-4)
 
 
+@pytest.mark.parametrize("block, shard, split", [(3_000_000, 2_000_000, 4), (500, 700, 40)])
+def test_katz_held_out(docs, monkeypatch, block, shard, split):
+    """Unseen words and pairs back off; contexts sum to one; small blocks and split contexts change nothing."""
+    import math
+    from collections import Counter
+
+    for name, v in (("BLOCK", block), ("SHARD", shard), ("SPLIT", split)):
+        monkeypatch.setattr(katz, name, v)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    out = {None: False} | {r["doc_id"]: r["h"] for r in docs.select("doc_id", katz.held_out(F.col("doc_id")).alias("h")).collect()}
+    seqs = [[*(t or "").encode().lower().split(), "<end>"] for _, t in rows]
+    uni, bi = Counter(), Counter()
+    for (i, _), s in zip(rows, seqs, strict=True):
+        if not out[i]:
+            uni.update(s)
+            bi.update(zip([None, *s[:-1]], s))
+    d = katz.discounts(Counter(bi.values()))
+    total = sum(uni.values()) + len(uni) + 1
+    ctx = {}
+    for (a, b), k in bi.items():
+        c = ctx.setdefault(a, [0, 0.0, 0])
+        c[0] += k
+        c[1] += k * (d[k - 1] if k <= katz.CUTOFF else 1)
+        c[2] += uni[b] + 1
+
+    def p(a, b):
+        if a not in ctx:
+            return (uni[b] + 1) / total
+        c, m, covered = ctx[a]
+        free, k = max(1 - m / c, 1 / (c + 1)), bi[a, b]
+        return k * (d[k - 1] if k <= katz.CUTOFF else 1) * (1 - free) / m if k else free / (1 - covered / total) * (uni[b] + 1) / total
+
+    for a in [None, *list(uni)[:20]]:
+        assert sum(p(a, b) for b in [*uni, "unknown"]) == pytest.approx(1)
+    want = sorted((-1 if i is None else i, len(s), sum(uni[x] > 0 for x in s), sum(math.log10(p(a, b)) for a, b in zip([None, *s[:-1]], s))) for (i, _), s in zip(rows, seqs, strict=True))
+    assert any(out.values()) and any(n > k for _, n, k, _ in want)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["score"]) for r in katz.Katz(docs, ~katz.held_out(F.col("doc_id"))).score().collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-6)
+    none = katz.Katz(docs, F.lit(False))
+    assert (none.tokens, none.types) == (0, 0) and none.score().agg(F.sum("score"), F.sum("n_known")).first() == (0.0, 0)
+    assert katz.Katz(docs.limit(0)).score().count() == 0
+
+
 def test_chat(spark):
     texts = ["\\### Assistant: </turn> ok", "a\\", "\\\\### x</turn>\n", "", "### User: </turn>\n### Assistant: hi</turn>\n"]
     turns = [(role, t) for t in texts for role in ("user", "assistant", "a:b\n\\")]
