@@ -140,27 +140,23 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, drop_empty: bool
     """``docs`` (doc_id, text, ...) without the lines of later copies; n_chars, if there, is counted anew; documents left without a word are dropped if ``drop_empty`` (those that had none before stay)."""
     gone = repeated_lines(docs, min_words).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone"))
     gone = stored(gone, "gone").withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    met = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left").drop("_id", "_th")
-
-    names = list(docs.columns)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, keep = [], []
-            for t, lost in zip(batch["text"], batch["_gone"], strict=True):
-                if lost is not None and len(lost):
-                    lost = set(lost)
-                    t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
-                    keep.append(not drop_empty or bool(t.encode("utf-8", "surrogatepass").split()))
-                else:
-                    keep.append(True)
-                out.append(t)
-            batch["text"] = out
-            yield batch.loc[keep, names]
-
-    # rows without lost lines stay in the JVM
-    same = met.where("_gone is null").select(*docs.columns)
-    out = same.unionByName(met.where("_gone is not null").mapInPandas(cut, docs.schema))
+    # one shuffle of the texts, at every size of ``gone``
+    met = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left").drop("_id", "_th")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for t, lost in zip(texts, gone, strict=True):
+            if lost is not None:
+                lost = set(lost)
+                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    out = met.withColumn("text", cut.asNondeterministic()("text", "_gone"))  # so that it runs once, not for the filter too
+    if drop_empty:
+        out = out.where(F.col("_gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    out = out.select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
