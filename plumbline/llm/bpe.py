@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,9 +24,8 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
-from plumbline.llm.common import read
+from plumbline.llm.common import add_columns, read
 
 NEVER = 1 << 60
 
@@ -182,24 +180,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", w
     """``docs`` without its text, plus n_tokens, ids (array of int), ids_sha256 and decoded_sha256 (of the bytes that the ids decode to)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(ranks_path))
-    new = [("n_tokens", "bigint")] + [("ids", "array<int>")] * with_ids + [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
-    kept = [f for f in docs.schema.fields if f.name not in {text, *(n for n, _ in new)}]
-    schema = T.StructType([*kept, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new)])
+    new = {"n_tokens": "bigint"} | ({"ids": "array<int>"} if with_ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
         coder = _encoder(*shared.value, pattern)
-        for batch in batches:
-            coded = [coder.encode(t or "") for t in batch[text]]
-            out = batch[[f.name for f in kept]].copy()
-            out["n_tokens"] = [len(c) // 4 for c in coded]
-            if with_ids:
-                out["ids"] = [np.frombuffer(c, "<i4") for c in coded]
-            if digests:
-                out["ids_sha256"] = [hashlib.sha256(c).hexdigest() for c in coded]
-                out["decoded_sha256"] = [hashlib.sha256(coder.decode(c)).hexdigest() for c in coded]
-            yield out
-
-    return docs.select(*[f.name for f in kept], text).mapInPandas(run, schema)
+        coded = [coder.encode(t or "") for t in batch[text]]
+        out = pd.DataFrame({"n_tokens": [len(c) // 4 for c in coded]}, dtype="int64")
+        if with_ids:
+            out["ids"] = [np.frombuffer(c, "<i4") for c in coded]
+        if digests:
+            out["ids_sha256"] = [hashlib.sha256(c).hexdigest() for c in coded]
+            out["decoded_sha256"] = [hashlib.sha256(coder.decode(c)).hexdigest() for c in coded]
+        return out
+
+    kept = [c for c in docs.columns if c != text and c not in new]
+    return add_columns(docs, kept, [text], ", ".join(f"{n} {t}" for n, t in new.items()), run)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

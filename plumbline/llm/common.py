@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WordHashes", "ascii_lower", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "add_columns", "ascii_lower", "map_frames", "mix", "read", "shared_dir", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: pandas would make floats of integers with nulls, which large ids do not survive.
+NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+
+def _frame(batch: pa.RecordBatch, names: Sequence[str] | None = None) -> pd.DataFrame:
+    names = batch.schema.names if names is None else names
+    return pd.DataFrame({n: (c := batch.column(n)).to_pandas(types_mapper=NULLABLE.get if c.null_count else None) for n in names})
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas whose integers stay integers beside nulls."""
+    to = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(_frame(b) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, to, preserve_index=False)
+
+    return df.mapInArrow(each, schema)
+
+
+def add_columns(df: DataFrame, keep: Sequence[str], used: Sequence[str], schema: str, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """The columns ``keep``, which pass as they are, and those of ``schema``, which ``make`` gives for a batch of the columns ``used``."""
+    new = T._parse_datatype_string(schema)
+    to = to_arrow_schema(new)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.RecordBatch.from_pandas(make(_frame(batch, used)), to, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made.columns], names=[*keep, *to.names])
+
+    return df.select(*dict.fromkeys([*keep, *used])).mapInArrow(each, T.StructType([*(df.schema[c] for c in keep), *new.fields]))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordHashes, mix, read, stored
+from plumbline.llm.common import WordHashes, map_frames, mix, read, stored
 
 #: Fixed masks; 1 looks at a token, 0 ignores it.
 MASKS = ("111111", "110101011", "111001101", "1011010011")
@@ -71,7 +71,7 @@ def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "tex
                     each = list(seeds(h))
                     yield pd.DataFrame({"item": [item], "item_id": pd.array([iid], "Int64"), "toks": [(h >> np.uint64(32)).astype("<u4").tobytes()], "seeds": [np.concatenate([s for _, s in each]).astype(np.int64)], "ats": [np.concatenate([np.arange(len(s)) for _, s in each]).astype(np.int32)]})
 
-    made = stored(numbered.withColumn("item_id", F.col("item_id").cast("long")).mapInPandas(run, "item bigint, item_id bigint, toks binary, seeds array<bigint>, ats array<int>"), "items")
+    made = stored(map_frames(numbered.withColumn("item_id", F.col("item_id").cast("long")), run, "item bigint, item_id bigint, toks binary, seeds array<bigint>, ats array<int>"), "items")
     pairs = made.select("item", F.explode(F.arrays_zip("seeds", "ats")).alias("s"))
     return made.select("item", "item_id", "toks"), stored(pairs.select(F.col("s.seeds").alias("seed"), "item", F.col("s.ats").alias("at")), "seeds")
 
@@ -140,8 +140,8 @@ def passages(docs: DataFrame, bits: np.ndarray, log2: int, doc_id: str = "doc_id
             out = pd.DataFrame(rows, columns=["doc_id", "first", "toks", "seeds", "ats"])
             yield out.astype({"doc_id": "Int64", "first": "int64"})
 
-    # doc_id travels as a nullable integer
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id bigint, first bigint, toks binary, seeds array<bigint>, ats array<int>")
+    rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_frames(rows_in, run, "doc_id bigint, first bigint, toks binary, seeds array<bigint>, ats array<int>")
 
 
 def verify(found: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def verify(found: DataFrame) -> DataFrame:
                     rows.append((r.doc_id, r.item_id, r.item, int(hit[i]), int(r.first + lo + r.shift + i), int(lo + i)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item", "matched", "doc_token", "item_token"]).astype({"doc_id": "Int64", "item_id": "Int64", "item": "int64", "matched": "int64", "doc_token": "int64", "item_token": "int64"})
 
-    return found.mapInPandas(run, "doc_id bigint, item_id bigint, item bigint, matched bigint, doc_token bigint, item_token bigint")
+    return map_frames(found, run, "doc_id bigint, item_id bigint, item bigint, matched bigint, doc_token bigint, item_token bigint")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix, read, stored
+from plumbline.llm.common import map_frames, mix, read, stored
 
 CUTOFF = 5
 #: Hashes that stand for the start (only ever a context) and the end of a text.
@@ -110,7 +110,7 @@ def encode(docs: DataFrame, train: Column) -> DataFrame:
             yield flush(k)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    return rows.mapInPandas(run, "block bigint, n_tokens bigint, ids binary, none binary, lens binary, train binary, tokens binary, words binary, n binary, uses binary")
+    return map_frames(rows, run, "block bigint, n_tokens bigint, ids binary, none binary, lens binary, train binary, tokens binary, words binary, n binary, uses binary")
 
 
 def ask_words(blocks: DataFrame, shards: int) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import read, stored
+from plumbline.llm.common import map_frames, read, stored
 
 MIN_WORDS = 50
 
@@ -53,10 +53,10 @@ def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                         n.append(words)
                         k += 1
             both = np.frombuffer(b"".join(h), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy()[doc] if len(batch) else [], "th": batch["th"].to_numpy()[doc], "at": np.array(at, np.int32), "line_no": np.array(no, np.int32), "h1": both[:, 0], "h2": both[:, 1], "words": np.array(n, np.int32)}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array.take(np.array(doc, np.int64)), "th": batch["th"].to_numpy()[doc], "at": np.array(at, np.int32), "line_no": np.array(no, np.int32), "h1": both[:, 0], "h2": both[:, 1], "words": np.array(n, np.int32)})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, th bigint, at int, line_no int, h1 bigint, h2 bigint, words int")
+    return map_frames(rows, run, "doc_id bigint, th bigint, at int, line_no int, h1 bigint, h2 bigint, words int")
 
 
 def ranked(keys: DataFrame, *cols: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordHashes, mix, read, stored
+from plumbline.llm.common import WordHashes, map_frames, mix, read, stored
 
 BANDS, ROWS, AGREE_SD = 32, 5, 5.0
 FILTER_BITS = 24
@@ -89,7 +89,8 @@ def members(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
                 rows.append((d, len(s), _key(s) if named else None, signature(s).tobytes() if named else None))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sig"]).astype({"doc_id": "Int64", "n_shingles": "int64"})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_frames(rows, run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:

@@ -274,7 +274,127 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
+def test_ids_stay_exact_beside_nulls(spark):
+    """Integers beyond 2^53 with a null in the same batch."""
+    import public_tokenizers as p
+
+    big, text = 2**60 + 1, words(40)
+    rows = [(big, text, "en", float("nan"), 2**60 + 3), (None, text, "en", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, x double, y long").coalesce(1)
+    bench = spark.createDataFrame([(big, text), (None, text)], "item_id long, text string").coalesce(1)
+    ids = lambda out, c="doc_id": sorted({r[c] for r in out.collect()}, key=str)
+    want = [big, None]
+    kept = quality.quality(df).collect()
+    assert {(r["doc_id"], r["y"]) for r in kept} == {(big, 2**60 + 3), (None, None)}
+    assert {r["x"] is None for r in kept} == {True, False}
+    assert ids(bpe.encode(df, p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN)) == want
+    assert ids(html.extract(df.withColumnRenamed("text", "html").withColumn("url", F.lit("http://a/")))) == want
+    assert ids(minhash.near_duplicates(df)) == want and ids(katz.Katz(df).score()) == want
+    found = decontaminate.overlaps(df, bench)
+    assert ids(found) == want and ids(found, "item_id") == want
+    longer = df.withColumn("text", F.concat(F.lit(words(60)), F.lit("\n"), "text"))
+    assert ids(lines.document_lines(longer)) == want and ids(lines.repeated_lines(longer)) == [big]
+
+
+def _brute_log2_ppl(texts):
+    """log2 of the perplexity of each text under modified Kneser-Ney of all, by dictionaries and recursion."""
+    from collections import Counter, defaultdict
+    from functools import cache
+    from math import log2
+
+    import numpy as np
+
+    grams = []
+    for t in texts:
+        x = [0, 0, 0, *(int(quality.ALPHABET[min(ord(ch), 0x250)]) for ch in t or ""), 0]
+        grams.append([tuple(x[i : i + 4]) for i in range(len(x) - 3)])
+    counts = {4: Counter(g for gs in grams for g in gs)}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = {k: quality.KneserNey.discounts(np.array(list(c.values()))) for k, c in counts.items()}
+    total, freed = defaultdict(int), defaultdict(float)
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            freed[k, g[:-1]] += cut[k][min(n, 3)]
+
+    @cache
+    def prob(g):
+        k = len(g)
+        if not k:
+            return 1 / 64
+        n, all_ = counts[k][g], total.get((k, g[:-1]), 0)
+        return max(n - cut[k][min(n, 3)], 0) / all_ + freed[k, g[:-1]] / all_ * prob(g[1:]) if all_ else prob(g[1:])
+
+    return [-sum(log2(prob(g)) for g in gs) / len(gs) for gs in grams]
+
+
+def _brute_pipeline(docs, items, tokenize):
+    """doc_id -> (n_chars, token ids) by plain loops, and how many documents the perplexity band rejects."""
+    left, ppl = {}, dict(zip((d for d, _ in docs), _brute_log2_ppl([t for _, t in docs]), strict=True))
+    for d, t in docs:
+        w = (t or "").split()
+        seen = {}
+        for i in range(len(w) - 7):
+            seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+        again = {i + j for at in seen.values() if len(at) > 1 for i in at for j in range(8)}
+        if len(w) >= 20 and 100 * len(again) <= 30 * len(w):
+            left[d] = t
+    bins = sorted(int(ppl[d] / quality.BIN + 0.5) * quality.BIN for d in left)
+    q1, q2, q3 = (next(b for i, b in enumerate(bins, 1) if i >= p * len(bins)) for p in (0.25, 0.5, 0.75))
+    spread = max(q3 - q1, quality.MIN_SPREAD)
+    n = len(left)
+    left = {d: t for d, t in left.items() if q2 - quality.LOWER * spread <= ppl[d] <= q2 + quality.UPPER * spread}
+    rejected = n - len(left)
+    first, lost = {}, set()
+    for d in sorted(left):
+        ls = [(i, x) for i, x in enumerate(left[d].split("\n")) if x.split()]
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if sum(len(x.split()) for _, x in ls[a:b]) >= 50 and first.setdefault(tuple(x for _, x in ls[a:b]), (d, a)) != (d, a):
+                    lost |= {(d, i) for i, _ in ls[a:b]}
+    cut = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in lost) for d, t in left.items()}
+    left = {d: t for d, t in cut.items() if t.split()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in left.items()}
+    root = {d: d for d in left}
+    for _ in root:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    left = {d: t for d, t in left.items() if root[d] == d}
+
+    def leaks(text, item):
+        a, b = text.lower().split(), item.lower().split()
+        n = min(17, len(b))
+        return any(sum(x == y for x, y in zip(a[i : i + n], b[j : j + n])) >= min(12, 0.8 * len(b)) for i in range(len(a)) for j in range(len(b) - n + 1))
+
+    return {d: (len(t), tokenize(t)) for d, t in left.items() if not any(leaks(t, x) for x in items)}, rejected
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers as p
+    import tiktoken
+
+    passage, items = words(60), [words(25), words(18)]
+    base = [words(random.randrange(60, 120)) for _ in range(40)]
+    noise = " ".join("".join(random.choice("qzxjwvQ@#~^{}789") for _ in range(5)) for _ in range(50))
+    texts = [
+        *base, base[0], base[1] + " tail", base[2] + " x", *(words(30) + "\n" + passage + "\n" + words(25) for _ in range(3)), base[3] + " " + items[0] + " " + words(9), items[1] + " " + words(40),
+        "too short", None, "", " ".join([words(10)] * 9), noise, " ".join("~" * k for k in range(1, 60)), base[4] + "\n" + base[5],
+    ]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    path = p.path("byte_bpe_multi_50k.tiktoken")
+    ref = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.vocabulary(path)[0])}, special_tokens={})
+    want, rejected = _brute_pipeline(list(enumerate(texts)), items, ref.encode_ordinary)
+    got = {r["doc_id"]: (r["n_chars"], r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 40 <= len(want) < len(texts) and rejected
+
+
+def test_pipeline_on_the_small_table(spark):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
