@@ -1,17 +1,19 @@
 """Operator 10, HTML extraction with removal of site templates.
 
 Every page is parsed into a tree of elements. Each element that holds a block of its own (outside the article: see
-below) is hashed with all it contains; Spark counts on how many pages of a host each hash occurs, and subtrees found on
-at least ``MIN_PAGES`` pages of the host are deleted. Of what is left, the article's text is taken: inside
-``<article>`` or ``<main>`` if the page has one, else the body; menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out by tag, role and class name. Content of an article element is
-never counted as template, so an article that a host shows on many pages stays whole.
-
-Hot hosts are safe: counts are aggregated before the shuffle, and the page's own hashes meet the template table in a
-join on (host, hash).
-
-Defined cases: null or empty html gives empty text; a null url is a host of its own (empty); repeated rows count as
-pages and each get the text; html without any markup is one block; unclosed and stray tags are repaired;
+below) is hashed with all it contains; Spark counts on how many different pages of a host each hash occurs, and
+subtrees found on at least ``MIN_PAGES`` of them and on ``MIN_SHARE`` of all different pages of the host are deleted.
+Pages of a host with the same main text count once, so that copies of a page do not make a template of it. Of what is
+left, the article's text is taken: inside ``<article>`` or ``<main>`` if the page has one, else the body; menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role and
+class name. Content of an article element is never counted as template, so an article that a host shows on many pages
+stays whole.
+
+Hot hosts are safe: counts are aggregated before the shuffle, and only hashes on MIN_PAGES rows of a host go on to the
+count of different pages; pages meet them in a join on (host, hash).
+
+Defined cases: null or empty html gives empty text; a null url is a host of its own (empty); repeated rows count as one
+page and each get the text; html without any markup is one block; unclosed and stray tags are repaired;
 extra columns are kept (text and n_chars are overwritten).
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import add_columns, read, stored
 from plumbline.llm.urls import url_host
 
-MIN_PAGES = 5
+MIN_PAGES, MIN_SHARE = 5, 0.5
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +58,10 @@ RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "ti
 NAMED = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Page:
     """Elements in document order: tag, parent, attributes, and their texts and children in order."""
 
@@ -141,8 +147,8 @@ class Page:
                 break
         return out or [0]
 
-    def parsed(self) -> tuple[list[tuple[str, list[int]]], list[int]]:
-        """Pieces of main text with the hashes of the counted elements around them, and all different hashes of the page."""
+    def parsed(self) -> tuple[list[tuple[str, list[int]]], list[int], int]:
+        """Pieces of main text with the hashes of the counted elements around them, all different hashes of the page, and the hash of its main text."""
         regions = self.regions()
         n = len(self.tags)
         kept = [False] * n
@@ -167,7 +173,7 @@ class Page:
                     filled[i] = True
             digest[i] = h.intdigest()
             if filled[i] and self.tags[i] in COUNTED:
-                counted[i] = digest[i] - (1 << 64) if digest[i] >> 63 else digest[i]
+                counted[i] = signed(digest[i])
 
         pieces: list[tuple[str, list[int]]] = []
         now: list[str] = []
@@ -199,12 +205,13 @@ class Page:
                         now.append(" ")
                     todo += reversed(self.kids[k])
             close()
+        whole = "\n".join(t for t, _ in pieces)
         if not any(h for _, h in pieces):
-            pieces = [("\n".join(t for t, _ in pieces), [])]
-        return pieces, list(set(counted.values()))
+            pieces = [(whole, [])]
+        return pieces, list(set(counted.values())), signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
 
 
-PARSED = "pieces array<struct<t: string, h: array<bigint>>>, hashes array<bigint>"
+PARSED = "pieces array<struct<t: string, h: array<bigint>>>, hashes array<bigint>, content bigint"
 
 
 def parse(pages: DataFrame, kept: list[str], html: str = "html") -> DataFrame:
@@ -212,23 +219,27 @@ def parse(pages: DataFrame, kept: list[str], html: str = "html") -> DataFrame:
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         done = [Page(h or "").parsed() for h in batch[html]]
-        return pd.DataFrame({"pieces": [[{"t": t, "h": h} for t, h in p] for p, _ in done], "hashes": [h for _, h in done]})
+        return pd.DataFrame({"pieces": [[{"t": t, "h": h} for t, h in p] for p, _, _ in done], "hashes": [h for _, h, _ in done], "content": [c for _, _, c in done]})
 
     return add_columns(pages, [*kept, "row_id", "host"], [html], PARSED, run)
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` without its html, plus text and n_chars."""
-    names = {html, "text", "n_chars", "row_id", "host", "pieces", "hashes", "template"}
+    names = {html, "text", "n_chars", "row_id", "host", "pieces", "hashes", "content", "template"}
     kept = [c for c in pages.columns if c not in names]
     rows = pages.select(*kept, html, url_host(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("row_id"))
     rows = stored(parse(rows, kept, html), "parsed")  # written once, so that row_id stays what it is
-    found = rows.select("row_id", "host", F.explode("hashes").alias("hash"))
-    template = found.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
-    template = stored(template, "template")
+    site = F.xxhash64("host").alias("site")
+    found = rows.select("row_id", site, "content", F.explode("hashes").alias("hash"))
+    often = stored(found.groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("site", "hash"), "often")
+    found = stored(found.join(often, ["site", "hash"]), "found")
+    on = found.select("site", "hash", "content").distinct().groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    pages_of = rows.select(site, "content").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("of"))
+    template = stored(on.join(pages_of, "site").where(F.col("n") >= min_share * F.col("of")).select("site", "hash"), "template")
     # a page with a content element has no piece that could be template
     bare = F.exists("pieces", lambda p: F.size(p["h"]) > 0)
-    mine = found.join(rows.where(bare).select("row_id"), "row_id", "left_semi").join(template, ["host", "hash"]).groupBy("row_id").agg(F.collect_set("hash").alias("template"))
+    mine = found.join(rows.where(bare).select("row_id"), "row_id", "left_semi").join(template, ["site", "hash"]).groupBy("row_id").agg(F.collect_set("hash").alias("template"))
     left = F.filter("pieces", lambda p: F.col("template").isNull() | ~F.arrays_overlap(p["h"], F.col("template")))
     cut = rows.where(bare).join(mine, "row_id", "left").select(*kept, F.array_join(F.transform(left, lambda p: p["t"]), "\n").alias("text"))
     whole = rows.where(~bare).select(*kept, F.array_join(F.transform("pieces", lambda p: p["t"]), "\n").alias("text"))

@@ -274,6 +274,17 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_and_chance_repeats(spark):
+    """Five copies of a page without article, one url or five; a paragraph that a few pages of a large host share."""
+    copy = "<div><p>Whole text</p></div><p>More</p>"
+    rows = [*(("http://c/1", copy),) * 5, *((f"http://d/{i}", copy + f"<nav>{i}</nav>") for i in range(5))]
+    rows += [(f"http://e/{i}", f"<p>Site</p><p>own {i}</p>" + "<p>Chance</p>" * (i < 8)) for i in range(40)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert [out[i] for i in range(10)] == ["Whole text\nMore"] * 10
+    assert [out[10 + i] for i in range(40)] == [f"own {i}" + "\nChance" * (i < 8) for i in range(40)]
+
+
 def test_ids_stay_exact_beside_nulls(spark):
     """Integers beyond 2^53 with a null in the same batch."""
     import public_tokenizers as p
