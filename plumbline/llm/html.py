@@ -1,13 +1,12 @@
 """Operator 10, HTML extraction with removal of site templates.
 
-Every page is parsed into a tree of elements. Each element that holds a block of its own (outside the article: see
-below) is hashed with all it contains; Spark counts on how many different pages of a host each hash occurs, and
+Every page is parsed into a tree of elements. Each element that holds a block of its own is hashed with all it contains; Spark counts on how many different pages of a host each hash occurs, and
 subtrees found on at least ``MIN_PAGES`` of them and on ``MIN_SHARE`` of all different pages of the host are deleted.
 Pages of a host with the same main text count once, so that copies of a page do not make a template of it. Of what is
 left, the article's text is taken: inside ``<article>`` or ``<main>`` if the page has one, else the body; menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role and
-class name. Content of an article element is never counted as template, so an article that a host shows on many pages
-stays whole.
+class name. Elements inside the article count too, so that boxes which a host repeats in its articles go; the article
+element itself does not, and an article that a host shows on many pages counts once and stays whole.
 
 Hot hosts are safe: counts are aggregated before the shuffle, and only hashes on MIN_PAGES rows of a host go on to the
 count of different pages; pages meet them in a join on (host, hash).
@@ -147,21 +146,21 @@ class Page:
                 break
         return out or [0]
 
-    def parsed(self) -> tuple[list[tuple[str, list[int]]], list[int], int]:
-        """Pieces of main text with the hashes of the counted elements around them, all different hashes of the page, and the hash of its main text."""
+    def parsed(self) -> tuple[list[tuple[str, list[int]]], list[int], list[int], int]:
+        """Pieces of main text with the hashes of the counted elements around them, the different ones of these, those of elements outside the article that are around no piece, and the hash of the main text."""
         regions = self.regions()
         n = len(self.tags)
-        kept = [False] * n
+        inside = [False] * n
         for r in regions:
-            kept[r] = r > 0
+            inside[r] = r > 0
+        whole_of = set(regions)
         for i in range(1, n):
-            if kept[self.parents[i]]:
-                kept[i] = True
+            inside[i] |= inside[self.parents[i]]
         digest: list[int] = [0] * n
         filled = [False] * n
         counted: dict[int, int] = {}
         for i in range(n - 1, 0, -1):  # children come after their parents
-            if kept[i]:
+            if i in whole_of:  # what holds an article is known by the rest of its content
                 continue
             h = xxhash.xxh3_64(self.tags[i])
             for k in self.kids[i]:
@@ -208,10 +207,13 @@ class Page:
         whole = "\n".join(t for t, _ in pieces)
         if not any(h for _, h in pieces):
             pieces = [(whole, [])]
-        return pieces, list(set(counted.values())), signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
+        # inside an article only what stands around its text can matter
+        hashes = set().union(*(h for _, h in pieces))
+        others = {h for i, h in counted.items() if not inside[i]} - hashes
+        return pieces, list(hashes), list(others), signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
 
 
-PARSED = "pieces array<struct<t: string, h: array<bigint>>>, hashes array<bigint>, content bigint"
+PARSED = "pieces array<struct<t: string, h: array<bigint>>>, hashes array<bigint>, others array<bigint>, content bigint"
 
 
 def parse(pages: DataFrame, kept: list[str], html: str = "html") -> DataFrame:
@@ -219,30 +221,33 @@ def parse(pages: DataFrame, kept: list[str], html: str = "html") -> DataFrame:
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         done = [Page(h or "").parsed() for h in batch[html]]
-        return pd.DataFrame({"pieces": [[{"t": t, "h": h} for t, h in p] for p, _, _ in done], "hashes": [h for _, h, _ in done], "content": [c for _, _, c in done]})
+        return pd.DataFrame({"pieces": [[{"t": t, "h": h} for t, h in p] for p, _, _, _ in done], "hashes": [h for _, h, _, _ in done], "others": [h for _, _, h, _ in done], "content": [c for _, _, _, c in done]})
 
     return add_columns(pages, [*kept, "row_id", "host"], [html], PARSED, run)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` without its html, plus text and n_chars."""
-    names = {html, "text", "n_chars", "row_id", "host", "pieces", "hashes", "content", "template"}
+    names = {html, "text", "n_chars", "row_id", "host", "pieces", "hashes", "others", "content", "template"}
     kept = [c for c in pages.columns if c not in names]
     rows = pages.select(*kept, html, url_host(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("row_id"))
     rows = stored(parse(rows, kept, html), "parsed")  # written once, so that row_id stays what it is
     site = F.xxhash64("host").alias("site")
-    found = rows.select("row_id", site, "content", F.explode("hashes").alias("hash"))
+    around = F.transform("hashes", lambda h: F.struct(h.alias("hash"), F.lit(True).alias("around")))
+    others = F.transform("others", lambda h: F.struct(h.alias("hash"), F.lit(False).alias("around")))
+    found = rows.select("row_id", site, "content", F.explode(F.concat(around, others)).alias("e")).select("row_id", "site", "content", "e.hash", "e.around")
     often = stored(found.groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("site", "hash"), "often")
     found = stored(found.join(often, ["site", "hash"]), "found")
     on = found.select("site", "hash", "content").distinct().groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     pages_of = rows.select(site, "content").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     template = stored(on.join(pages_of, "site").where(F.col("n") >= min_share * F.col("of")).select("site", "hash"), "template")
-    # a page with a content element has no piece that could be template
-    bare = F.exists("pieces", lambda p: F.size(p["h"]) > 0)
-    mine = found.join(rows.where(bare).select("row_id"), "row_id", "left_semi").join(template, ["site", "hash"]).groupBy("row_id").agg(F.collect_set("hash").alias("template"))
+    # pages without elements around their text have no piece that could be template
+    parts = F.exists("pieces", lambda p: F.size(p["h"]) > 0)
+    # stored, so that its size is known: the texts are shuffled only if it cannot be broadcast
+    mine = stored(found.where("around").join(template, ["site", "hash"]).groupBy("row_id").agg(F.collect_set("hash").alias("template")), "mine")
     left = F.filter("pieces", lambda p: F.col("template").isNull() | ~F.arrays_overlap(p["h"], F.col("template")))
-    cut = rows.where(bare).join(mine, "row_id", "left").select(*kept, F.array_join(F.transform(left, lambda p: p["t"]), "\n").alias("text"))
-    whole = rows.where(~bare).select(*kept, F.array_join(F.transform("pieces", lambda p: p["t"]), "\n").alias("text"))
+    cut = rows.where(parts).join(mine, "row_id", "left").select(*kept, F.array_join(F.transform(left, lambda p: p["t"]), "\n").alias("text"))
+    whole = rows.where(~parts).select(*kept, F.array_join(F.transform("pieces", lambda p: p["t"]), "\n").alias("text"))
     return whole.unionByName(cut).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -285,6 +285,19 @@ def test_html_copies_and_chance_repeats(spark):
     assert [out[10 + i] for i in range(40)] == [f"own {i}" + "\nChance" * (i < 8) for i in range(40)]
 
 
+def test_html_template_inside_articles(spark):
+    """Boxes that recur in a host's articles under any class name go; an article on many pages stays."""
+    box = "<div class=zz><p>Read our app</p></div>"
+    rows = [*((f"http://f/{i}", f"<nav>n</nav><article><h1>T {i}</h1><p>own {i}</p>{box}</article>") for i in range(6))]
+    rows += [(f"http://g/{i}", f"<nav>{i}</nav><main><div><h1>T</h1><p>Same</p></div></main>") for i in range(8)]
+    rows += [(f"http://h/{i}", f"<article><p>own {i}</p>" + "<p>Chance</p>" * (i < 8) + "</article>") for i in range(40)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert [out[i] for i in range(6)] == [f"T {i}\nown {i}" for i in range(6)]
+    assert [out[6 + i] for i in range(8)] == ["T\nSame"] * 8
+    assert [out[14 + i] for i in range(40)] == [f"own {i}" + "\nChance" * (i < 8) for i in range(40)]
+
+
 def test_ids_stay_exact_beside_nulls(spark):
     """Integers beyond 2^53 with a null in the same batch."""
     import public_tokenizers as p
