@@ -46,6 +46,8 @@ CONTEXT = {
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Matches are walked in chunks of this many, so that appending costs no square of their number.
 _CHUNK = 64
+#: Characters of context on either side of a match.
+BEFORE, AFTER = 40, 20
 
 _SPAN = "struct<start: int, rank: int, end: int, kind: string, score: double>"
 
@@ -81,6 +83,13 @@ CHECKS = {
 }
 
 
+def _near(found: Column, gaps: Column, i: Column) -> Column:
+    """The BEFORE characters of the text before match i and the AFTER characters behind it, other matches included. A match has two characters at least, so few of them reach in, and its cost doesn't grow with the text."""
+    text = F.transform(F.sequence(F.greatest(i - BEFORE // 2, F.lit(0)), i), lambda j: F.concat(F.right(F.get(gaps, j), F.lit(BEFORE)), F.when(j < i, F.right(F.get(found, j), F.lit(BEFORE))).otherwise("")))
+    behind = F.transform(F.sequence(i + 1, F.least(i + 1 + AFTER // 2, F.size(found))), lambda j: F.concat(F.substring(F.get(gaps, j), 1, AFTER), F.coalesce(F.substring(F.get(found, j), 1, AFTER), F.lit(""))))
+    return F.concat_ws(" ", F.right(F.array_join(text, ""), F.lit(BEFORE)), F.substring(F.array_join(behind, ""), 1, AFTER))
+
+
 def _spans(text: Column, pattern: str, kinds: tuple[str, ...]) -> Column:
     """All matches of a pattern that one of ``kinds`` confirms, as an array of _SPAN."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -90,7 +99,7 @@ def _spans(text: Column, pattern: str, kinds: tuple[str, ...]) -> Column:
         value, before, after = F.get(found, i), F.get(gaps, i), F.get(gaps, i + 1)
         start = acc["at"] + F.length(before)
         end = start + F.length(value)
-        near = F.concat_ws(" ", F.right(before, F.lit(40)), F.substring(after, 1, 20))
+        near = _near(found, gaps, i)
         label, score, rank = F.lit(None).cast("string"), F.lit(0.0), F.lit(0)
         for k in kinds:
             ok = CHECKS[k](value)

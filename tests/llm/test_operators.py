@@ -49,6 +49,15 @@ def test_pii(spark):
     assert len(spans) == 700 and len({s["start"] for s in spans}) == 700
 
 
+def test_pii_context_across_other_matches(spark):
+    """One context word before several numbers, or behind them; context is BEFORE and AFTER characters of the text."""
+    texts = ["Visa card (exp 12/25): 4222222222222", "Call 555-123-4567 or 555-123-9999", "555-123-4567, 555-12 fax", "é" * 9 + "phone" + " 10" * 11 + " 555-123-4567", "phone" + " 10" * 12 + " 555-123-4567", "555-123-4567 or 555-123-9999 fax", "555-123-4567 and 555-123-9999 fax"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["pii"]] for r in pii.find_pii(df).collect()}
+    number = "555-123-4567"
+    assert got == {0: ["4222222222222"], 1: [number, "555-123-9999"], 2: [number], 3: [number], 4: [], 5: [number, "555-123-9999"], 6: ["555-123-9999"]}
+
+
 def test_quality_rules(docs):
     assert quality.text_rules("a b\n\na b\n c|#é\n") == (5, 8, 2, 1, 0)
     w = [f"w{i}" for i in range(8)]
