@@ -1,8 +1,8 @@
 """Operator 6, benchmark decontamination by spaced seeds.
 
 Tokens (lower-cased runs without ASCII punctuation) of benchmark items and training texts are hashed under fixed masks
-that look at six of up to ten token positions and ignore the others, so that a substituted word spoils only the seeds
-that look at it. Training positions whose seed passes a small bit filter of the benchmark's seeds (at most
+that look at five or six of up to 13 token positions and ignore the others, so that a substituted word spoils only the
+seeds that look at it; whatever tokens of an overlap are substituted, one mask at least fits between them. Training positions whose seed passes a small bit filter of the benchmark's seeds (at most
 ``MAX_FILTER_BITS``, so its broadcast is bounded whatever the benchmark's size; a crowded filter only lets more
 positions on) are joined with the benchmark's seeds on the exact hash. Each (passage, item, diagonal) that meets is then
 verified: an overlap is a stretch of ``WINDOW`` aligned tokens of which at least min(MATCHES, 80 % of the item's tokens)
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import WordHashes, map_frames, mix, read, stored
 
 #: Fixed masks; 1 looks at a token, 0 ignores it.
-MASKS = ("111111", "110101011", "111001101", "1011010011")
+MASKS = ("111111", "110101011", "111001101", "1011010011", "11000001011", "1100100000011", "1100111", "10101011", "111011")
 SPAN = max(map(len, MASKS))
 WINDOW, MATCHES, MIN_ITEM = 17, 12, 8
 BITS_PER_SEED, FILTER_HASHES, MAX_FILTER_BITS = 64, 3, 1 << 27

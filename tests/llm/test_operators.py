@@ -161,6 +161,22 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_masks_hit_every_overlap(spark):
+    """All places of substitutions that an overlap allows, by enumeration; and a short item with one of them."""
+    from itertools import combinations
+    from math import ceil
+
+    for n in range(decontaminate.MIN_ITEM, decontaminate.WINDOW + 1):
+        looks = [{i + j for j, c in enumerate(m) if c == "1"} for m in decontaminate.MASKS for i in range(n - len(m) + 1)]
+        lost = n - min(decontaminate.MATCHES, ceil(0.8 * n))
+        assert all(any(look.isdisjoint(out) for look in looks) for out in combinations(range(n), lost))
+    item = words(8)
+    texts = [words(20) + " " + " ".join("changed" if i == k else w for i, w in enumerate(item.split())) + " " + words(20) for k in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.overlaps(df, bench).collect()) == list(range(8))
+
+
 def test_katz(docs):
     import math
     from collections import Counter
