@@ -15,17 +15,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WordHashes", "add_columns", "ascii_lower", "map_frames", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "add_columns", "ascii_lower", "bound_batches", "map_frames", "mix", "read", "shared_dir", "stored"]
 
+BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: pandas would make floats of integers with nulls, which large ids do not survive.
 NULLABLE = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
 
 
-def _frame(batch: pa.RecordBatch, names: Sequence[str] | None = None) -> pd.DataFrame:
-    names = batch.schema.names if names is None else names
-    return pd.DataFrame({n: (c := batch.column(n)).to_pandas(types_mapper=NULLABLE.get if c.null_count else None) for n in names})
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    return pd.DataFrame({n: c.to_pandas(types_mapper=NULLABLE.get if c.null_count else None) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB in this session, so that long texts do not fill a Python worker; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -36,20 +44,27 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         for out in run(_frame(b) for b in batches):
             yield pa.RecordBatch.from_pandas(out, to, preserve_index=False)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(each, schema)
 
 
 def add_columns(df: DataFrame, keep: Sequence[str], used: Sequence[str], schema: str, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """The columns ``keep``, which pass as they are, and those of ``schema``, which ``make`` gives for a batch of the columns ``used``."""
+    """The columns ``keep``, which stay in the JVM, and those of ``schema``, which ``make`` gives for a batch of the columns ``used``."""
     new = T._parse_datatype_string(schema)
     to = to_arrow_schema(new)
+    names = list(used)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.RecordBatch.from_pandas(make(_frame(batch, used)), to, preserve_index=False)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made.columns], names=[*keep, *to.names])
+    def each(*columns: pa.Array) -> pa.Array:
+        made = pa.RecordBatch.from_pandas(make(_frame(pa.RecordBatch.from_arrays(list(columns), names))), to, preserve_index=False)
+        return pa.StructArray.from_arrays(made.columns, fields=list(to))
 
-    return df.select(*dict.fromkeys([*keep, *used])).mapInArrow(each, T.StructType([*(df.schema[c] for c in keep), *new.fields]))
+    bound_batches(df.sparkSession)
+    # not deterministic to the optimiser, so that a filter on the result does not run it again
+    called = F.arrow_udf(each, new).asNondeterministic()(*[F.col(c) for c in names])
+    made = "_made"
+    while made in keep:
+        made += "_"
+    return df.select(*keep, called.alias(made)).select(*keep, *[F.col(made)[n].alias(n) for n in new.names])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +79,7 @@ def ascii_lower(col: Column) -> Column:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to ``keep`` words of a task."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 200_000):
         super().__init__()
         self.keep = keep
 

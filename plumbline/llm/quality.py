@@ -1,178 +1,93 @@
 """Operator 3, quality rules and n-gram perplexity.
 
-Perplexity comes from one modified Kneser-Ney model of order 4 over a 6-bit alphabet (accents folded, punctuation kept,
-other letters in one class), counted by Spark over all texts. Four symbols of six bits make at most 2^24 different
-n-grams, which bounds the counts that reach the driver and the model that is broadcast (sorted key arrays with log
-probabilities and backoff weights: 4 * 2^24 entries of 8 bytes at the very most, some hundred thousand in practice)
-however large the input is. The packed n-gram serves as its own collision-free hash; look-ups are binary searches in
-the sorted arrays.
-
-Bands are language-specific: for each language that holds at least ``MIN_SHARE`` of the documents (so at most 200, the
-others share one band) the quartiles of log2 perplexity are read from a histogram over all its documents; a document is
+Perplexity comes from a modified Kneser-Ney model of order 4 over characters, case and all, counted and estimated by
+Spark on the reference documents: those that pass the base rules and look like prose (``REFERENCE``: few symbols, most
+words with a letter, few capitals), of all sources and languages, copies included. A character has 16 bits (those beyond
+the first plane share the private use area), so a packed n-gram is its own collision-free 64-bit hash. The model is a
+table of sorted hashes with log2 probabilities and of contexts with backoff weights; it grows with the input. It is
+broadcast as sorted arrays while it has at most ``MAX_ENTRIES`` of them (64 MB); a larger one is joined: blocks of
+documents ask once for each of their distinct n-grams. Both ways give the same perplexities.
+
+Bands are language-specific: for each language of at least ``MIN_DOCUMENTS`` documents (the others share one band) the
+quartiles of log2 perplexity are read from a histogram over all its documents that pass the base rules; a document is
 rejected outside [median - LOWER * spread, median + UPPER * spread], spread being the larger of the interquartile range
 and MIN_SPREAD.
 
 Base rules: n_words < 20, or over 30 % of the words in repeated 8-word windows, fail.
 
 Defined cases: null and empty texts have no words and fail; null languages form one group; repeated rows count and are
-judged each; an empty table gives an empty table; extra columns are kept (metric names are overwritten).
+judged each; an empty table gives an empty table; without reference documents all symbols are alike and the band rejects
+nothing; extra columns are kept (metric names are overwritten).
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyspark
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import add_columns, mix, read, stored
+from plumbline.llm.common import add_columns, bound_batches, map_frames, mix, read, stored
 
-ORDER, BITS = 4, 6
-MIN_SHARE, UPPER, LOWER, MIN_SPREAD = 0.005, 4.0, 4.0, 0.08
+ORDER, BITS = 4, 16
+MAX_ENTRIES = 1 << 22
+MIN_DOCUMENTS, UPPER, LOWER, MIN_SPREAD = 100, 6.0, 5.0, 0.3
 #: Bins of log2 perplexity.
 BIN = 0.005
-_GROUP = 1 << 20
+#: Reference documents: symbols per word at most, share of words with a letter at least, capitals per letter (A-Z) at most.
+REFERENCE = (0.1, 0.8, 0.3)
+#: Characters that are looked at together, and distinct n-grams that a task remembers before it hands them on.
+_GROUP, _REMEMBERED = 1 << 20, 1 << 21
+#: Characters of a block, when the model is joined.
+_BLOCK = 1 << 22
 
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-
-def _alphabet() -> np.ndarray:
-    """Code point (below 0x250) -> symbol: 1-26 letters, 27 digits, 28 space, 29 line end, 30-61 punctuation, 62 other letters, 63 the rest; 0 is the edge of a text."""
-    out = np.full(0x251, 63, np.uint8)
-    for cp in range(0x250):
-        ch = chr(cp)
-        base = unicodedata.normalize("NFKD", ch)[0].lower()
-        if "a" <= base <= "z":
-            out[cp] = ord(base) - 96
-        elif base.isdigit():
-            out[cp] = 27
-        elif ch == "\n":
-            out[cp] = 29
-        elif ch.isspace():
-            out[cp] = 28
-        elif ch in _PUNCTUATION:
-            out[cp] = 30 + _PUNCTUATION.index(ch)
-        elif ch.isalpha():
-            out[cp] = 62
-    out[0x250] = 62
-    return out
-
-
-ALPHABET = _alphabet()
+def symbols(texts: list[str]) -> np.ndarray:
+    """16-bit symbols of all texts: code points, 0 is the edge of a text."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(cp > 0xFFFF, 0xE000 + cp % 6400, cp).astype(np.uint64)
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed 4-grams of all texts, each with its three leading edges and final edge; and where each text starts."""
-    joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = ALPHABET[np.minimum(joined, 0x250)].astype(np.uint32)
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate(([0], np.cumsum(sizes + 4)[:-1])) if len(texts) else np.zeros(0, np.int64)
-    padded = np.zeros(int(sizes.sum()) + 4 * len(texts), np.uint32)
-    place = np.arange(len(codes)) + np.repeat(3 + 4 * np.arange(len(texts)), sizes)
-    padded[place] = codes
-    g = padded[:-3] << 18 | padded[1:-2] << 12 | padded[2:-1] << 6 | padded[3:] if len(padded) else padded
+    starts = np.concatenate(([0], np.cumsum(sizes + 4)[:-1]))
+    padded = np.zeros(int(sizes.sum()) + 4 * len(texts), np.uint64)
+    padded[np.arange(int(sizes.sum())) + np.repeat(3 + 4 * np.arange(len(texts)), sizes)] = symbols(texts)
+    g = padded[3:].copy()
+    for k in (1, 2, 3):
+        g |= padded[3 - k : -k] << np.uint64(BITS * k)
     # a text of n symbols has n + 1 grams; the three after them reach into the next text
     keep = np.ones(len(g), bool)
     for k in (1, 2, 3):
-        after = starts[1:] - k
-        keep[after] = False
-    return g[keep], np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(texts) else starts
+        keep[starts[1:] - k] = False
+    return g[keep], np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
 
 
-def _groups(texts: pd.Series) -> Iterator[tuple[int, list[str]]]:
-    """Texts in groups of about a million symbols, with the place of the first."""
+def _groups(texts: list[str], most: int = _GROUP) -> Iterator[tuple[int, list[str]]]:
+    """Texts in groups of about ``most`` characters, with the place of the first."""
     group, size, first = [], 0, 0
     for i, t in enumerate(texts):
         group.append(t or "")
         size += len(group[-1])
-        if size >= _GROUP:
+        if size >= most:
             yield first, group
             group, size, first = [], 0, i + 1
     if group:
         yield first, group
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(gram int, n long) over all texts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, group in _groups(batch[text]):
-                k, c = np.unique(grams(group)[0], return_counts=True)
-                keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-                n = np.bincount(where, np.concatenate((n, c)), len(keys)).astype(np.int64)
-        yield pd.DataFrame({"gram": keys.astype(np.int32), "n": n})
-
-    return docs.select(text).mapInPandas(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class KneserNey:
-    """Modified Kneser-Ney over packed n-grams; per order sorted keys, log2 probabilities, and the backoff weights of contexts."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        order = np.argsort(keys)
-        counts = [(keys[order].astype(np.uint32), n[order].astype(np.float64))]
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: different left neighbours
-            low, c = np.unique(counts[0][0] & np.uint32((1 << BITS * k) - 1), return_counts=True)
-            counts.insert(0, (low, c.astype(np.float64)))
-        self.keys, self.prob, self.contexts, self.backoff = [], [], [], []
-        lower = np.full(1 << BITS, 2.0**-BITS)  # below the unigrams: all symbols alike
-        for k, (key, c) in enumerate(counts, 1):
-            d = self.discounts(c)
-            level = np.minimum(c, 3).astype(int)
-            context, where = np.unique(key >> np.uint32(BITS), return_inverse=True)
-            total = np.bincount(where, c)
-            gamma = np.bincount(where, d[level]) / total
-            below = lower[key] if k == 1 else self._find(k - 1, key & np.uint32((1 << BITS * (k - 1)) - 1))
-            self.keys.append(key)
-            self.prob.append(np.maximum(c - d[level], 0) / total[where] + gamma[where] * below)
-            self.contexts.append(context)
-            self.backoff.append(gamma)
-
-    @staticmethod
-    def discounts(c: np.ndarray) -> np.ndarray:
-        """Discounts of counts 0, 1, 2 and over, from the counts of counts; 0.5, 1, 1.5 where these are empty."""
-        n = [float(np.sum(c == k)) for k in (1, 2, 3, 4)]
-        if min(n) == 0:
-            return np.array([0, 0.5, 1.0, 1.5])
-        y = n[0] / (n[0] + 2 * n[1])
-        return np.array([0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)])
-
-    def _find(self, k: int, key: np.ndarray) -> np.ndarray:
-        """Probability of n-grams of order k, seen or not."""
-        have = self.keys[k - 1]
-        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
-        out = self.prob[k - 1][at].copy()
-        miss = have[at] != key
-        if miss.any():
-            lost = key[miss]
-            below = np.full(len(lost), 2.0**-BITS) if k == 1 else self._find(k - 1, lost & np.uint32((1 << BITS * (k - 1)) - 1))
-            ctx = lost >> np.uint32(BITS)
-            c = self.contexts[k - 1]
-            at = np.minimum(np.searchsorted(c, ctx), len(c) - 1)
-            out[miss] = np.where(c[at] == ctx, self.backoff[k - 1][at], 1.0) * below
-        return out
-
-    def log2(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.keys[0]):
-            return np.full(len(key), -float(BITS))
-        return np.log2(self._find(ORDER, key))
-
-
-def train(docs: DataFrame, text: str = "text") -> KneserNey:
-    # at most 2^24 rows whatever the input
-    rows = count_grams(docs, text).toPandas()
-    return KneserNey(rows["gram"].to_numpy(np.uint32), rows["n"].to_numpy(np.int64))
-
-
 def repeated_words(words: list[bytes], width: int = 8) -> int:
     """Words in windows of ``width`` words that the text holds twice or more."""
     n = len(words) - width + 1
@@ -216,35 +131,206 @@ def text_rules(text: str) -> tuple[int, int, int, int, int]:
         dup = sum(v - 1 for k, v in Counter(lines).items() if v > 1 and k.strip(b" \t\n\r\x0b\x0c"))
     return len(words), len(text) - white, symbols, dup, repeated_words(words)
 
+_WHITE = b" \t\n\r\x0b\x0c"
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTERS = _UPPER + _UPPER.lower()
+_OTHER = bytes(set(range(128)) - set(_LETTERS + _WHITE))
+_NO_LETTER, _NO_UPPER = (bytes(set(range(256)) - set(x)) for x in (_LETTERS, _UPPER))
+
+
+def is_reference(text: str, metrics: tuple[int, int, int, int, int]) -> bool:
+    """Whether a text may teach the model: the base rules, and the shares of ``REFERENCE``."""
+    n_words, _, n_symbols, _, n_repeat = metrics
+    if n_words < 20 or 100 * n_repeat > 30 * n_words or n_symbols > REFERENCE[0] * n_words:
+        return False
+    raw = text.encode("utf-8", "surrogatepass")
+    capitals, letters = len(raw.translate(None, _NO_UPPER)), len(raw.translate(None, _NO_LETTER))
+    return len(raw.translate(None, _OTHER).split()) >= REFERENCE[1] * n_words and capitals <= REFERENCE[2] * letters
+
+
+def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(gram long, n long) over all reference documents."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        made = lambda: pd.DataFrame({"gram": keys.view(np.int64), "n": n})
+        for batch in batches:
+            for _, group in _groups([t for t in batch["text"] if t and is_reference(t, text_rules(t))]):
+                k, c = np.unique(grams(group)[0], return_counts=True)
+                keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
+                n = np.bincount(where, np.concatenate((n, c)), len(keys)).astype(np.int64)
+                if len(keys) > _REMEMBERED:
+                    yield made()
+                    keys, n = keys[:0], n[:0]
+        yield made()
+
+    rows = map_frames(docs.select(F.col(text).alias("text")), count, "gram bigint, n bigint")
+    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Discounts of counts 0, 1, 2 and over, from the counts of counts 1 to 4; 0.5, 1, 1.5 where these are empty."""
+    if min(n) == 0:
+        return [0.0, 0.5, 1.0, 1.5]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)]
+
+
+def _last(gram: Column, k: int) -> Column:
+    return gram if k == ORDER else gram.bitwiseAND(F.lit((1 << BITS * k) - 1))
+
+
+def _context(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, BITS)
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """The model: (level, key, value). Level 2k: log2 of the probability of n-grams of k symbols; 2k + 1: of the backoff weight of contexts of k symbols."""
+    by_order = {ORDER: stored(counts.select(F.col("gram"), F.col("n").alias("c")), "counts")}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: different left neighbours
+        by_order[k] = stored(by_order[k + 1].groupBy(_last(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("c")), "counts")
+    out, below = None, None
+    for k in range(1, ORDER + 1):
+        row = by_order[k].agg(*[F.count_if(F.col("c") == j) for j in (1, 2, 3, 4)]).first()
+        d = F.element_at(F.array(*map(F.lit, discounts(list(row)))), F.least("c", F.lit(3)).cast("int") + 1)
+        level = by_order[k].withColumn("d", d).withColumn("context", _context(F.col("gram")))
+        contexts = level.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("free"))
+        level = level.join(contexts, "context")
+        if below is None:
+            level = level.withColumn("under", F.lit(2.0**-BITS))
+        else:
+            level = level.withColumn("low", _last(F.col("gram"), k - 1)).join(below, "low")
+        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("free") * F.col("under")
+        level = stored(level.select("gram", p.alias("p")), "level")
+        below = level.select(F.col("gram").alias("low"), F.col("p").alias("under"))
+        both = level.select(F.lit(2 * k).alias("level"), F.col("gram").alias("key"), F.log2("p").alias("value"))
+        both = both.unionByName(contexts.select(F.lit(2 * k - 1).alias("level"), F.col("context").alias("key"), F.log2("free").alias("value")))
+        out = both if out is None else out.unionByName(both)
+    return stored(out, "model")
+
+
+class Arrays:
+    """The model as sorted arrays of hashes beside their values, one pair for each level."""
+
+    def __init__(self, model: pd.DataFrame):
+        self.levels = {}
+        for level, rows in model.groupby("level"):
+            key = rows["key"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(key)
+            self.levels[int(level)] = key[order], rows["value"].to_numpy(np.float64)[order]
+
+    def find(self, level: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their values (0 for the others)."""
+        keys, values = self.levels[level]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        there = keys[at] == key
+        return there, np.where(there, values[at], 0.0)
+
+    def log2(self, gram: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """log2 of the probability of n-grams of k symbols: their own, or else the context's backoff weight and that of the last k - 1 symbols."""
+        if not k or not self.levels:
+            return np.full(len(gram), -float(BITS))
+        there, out = self.find(2 * k, gram)
+        lost = gram[~there]
+        if len(lost):
+            out[~there] = self.find(2 * k - 1, lost >> np.uint64(BITS))[1] + self.log2(lost & np.uint64((1 << BITS * (k - 1)) - 1), k - 1)
+        return out
+
+
+def look_up(model: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, value): what ``Arrays.log2`` gives for the distinct keys of ``asked``, by joins."""
+    out = asked.select("key").distinct().withColumn("value", F.lit(None).cast("double")).withColumn("lost", F.lit(0.0))
+    for k in range(ORDER, 0, -1):
+        at = lambda level: model.where(F.col("level") == level).select(F.col("key").alias("at"), F.col("value").alias("v"))  # noqa: B023, E731
+        gram = _last(F.col("key"), k)
+        out = out.withColumn("at", gram).join(at(2 * k), "at", "left").withColumn("value", F.coalesce("value", F.col("lost") + F.col("v"))).drop("at", "v")
+        out = out.withColumn("at", _context(gram)).join(at(2 * k - 1), "at", "left").withColumn("lost", F.col("lost") + F.coalesce("v", F.lit(0.0))).drop("at", "v")
+    return out.select("key", F.coalesce("value", F.col("lost") - BITS).alias("value"))
+
+
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_RULES = ", ".join(f"{c} bigint" for c in METRICS) + ", base_failed boolean"
+_NEW = (*METRICS, "base_failed", "log2_ppl")
+
+
+def _ruled(texts: list[str]) -> pd.DataFrame:
+    rules = np.array([text_rules(t) for t in texts], np.int64).reshape(-1, len(METRICS))
+    return pd.DataFrame(rules, columns=list(METRICS)).assign(base_failed=(rules[:, 0] < 20) | (100 * rules[:, 4] > 30 * rules[:, 0]))
+
+
+def _per_symbol(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return -np.add.reduceat(value, starts) / np.diff(np.append(starts, len(value)))
 
 
-def measure(docs: DataFrame, model: KneserNey, keep: list[str], text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, model: DataFrame, keep: list[str], text: str = "text", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The columns ``keep`` plus the base metrics, base_failed, and log2_ppl (log2 of the perplexity per symbol)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"{c} bigint" for c in METRICS) + ", base_failed boolean, log2_ppl double"
+    keep = [c for c in keep if c not in _NEW]
+    if model.count() > max_entries:
+        return _measure_joined(docs, model, keep, text)
+    shared = docs.sparkSession.sparkContext.broadcast(Arrays(model.toPandas()))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        rules = np.array([text_rules(t or "") for t in batch[text]], np.int64).reshape(-1, len(METRICS))
-        ppl = np.zeros(len(batch))
-        for first, group in _groups(batch[text]):
+        texts = [t or "" for t in batch[text]]
+        ppl = np.zeros(len(texts))
+        for first, group in _groups(texts):
             g, starts = grams(group)
-            each = np.add.reduceat(shared.value.log2(g), starts)
-            ppl[first : first + len(group)] = -each / (np.diff(np.append(starts, len(g))))
-        out = pd.DataFrame(rules, columns=list(METRICS))
-        return out.assign(base_failed=(rules[:, 0] < 20) | (100 * rules[:, 4] > 30 * rules[:, 0]), log2_ppl=ppl)
+            ppl[first : first + len(group)] = _per_symbol(shared.value.log2(g), starts)
+        return _ruled(texts).assign(log2_ppl=ppl)
 
-    return add_columns(docs, [c for c in keep if c not in (*METRICS, "base_failed", "log2_ppl")], [text], schema, run)
+    return add_columns(docs, keep, [text], _RULES + ", log2_ppl double", run)
+
+
+def _measure_joined(docs: DataFrame, model: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The same by a join with the model: a block of documents is one row (its columns as an Arrow stream, its texts compressed, its distinct n-grams)."""
+    made = to_arrow_schema(T._parse_datatype_string(_RULES))
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(_RULES + ", log2_ppl double").fields])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pyspark.TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            for first, group in _groups(texts, _BLOCK):
+                rules = pa.RecordBatch.from_pandas(_ruled(group), made, preserve_index=False)
+                kept = batch.slice(first, len(group)).select(keep)
+                rows = pa.RecordBatch.from_arrays([*kept.columns, *rules.columns], names=[*keep, *made.names])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as w:
+                    w.write_batch(rows)
+                sizes = np.fromiter(map(len, group), np.int64, len(group)).tobytes()
+                z = zstandard.compress("".join(group).encode("utf-32-le", "surrogatepass"), 1)
+                keys = np.unique(grams(group)[0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()]), pa.array([sizes]), pa.array([z]), pa.array([keys], pa.list_(pa.int64()))], names=["block", "rows", "sizes", "z", "keys"])
+                block += 1
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key = np.array([x["key"] for x in r["values"]], np.int64).view(np.uint64)
+                value = np.array([x["value"] for x in r["values"]])
+                order = np.argsort(key)
+                ends = np.cumsum(np.frombuffer(r["sizes"], np.int64)).tolist()
+                whole = zstandard.decompress(r["z"]).decode("utf-32-le", "surrogatepass")
+                g, starts = grams([whole[a:b] for a, b in zip([0, *ends], ends)])
+                ppl = _per_symbol(value[order][np.searchsorted(key[order], g)], starts)
+                with pa.ipc.open_stream(r["rows"]) as rows:
+                    one = rows.read_next_batch()
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array(ppl)], names=[*one.schema.names, "log2_ppl"])
+
+    bound_batches(docs.sparkSession)
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    blocks = stored(rows.mapInArrow(pack, "block bigint, rows binary, sizes binary, z binary, keys array<bigint>"), "blocks")
+    asked = blocks.select("block", F.explode("keys").alias("key"))
+    answers = asked.join(stored(look_up(model, asked), "found"), "key").groupBy("block").agg(F.collect_list(F.struct("key", "value")).alias("values"))
+    return blocks.select("block", "rows", "sizes", "z").join(answers, "block").drop("block").mapInArrow(score, schema)
 
 
 def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
-    """At most 1 / MIN_SHARE + 1 rows (band_lang, low, high); band_lang '' holds for all other languages."""
+    """(band_lang, low, high); band_lang null holds for all languages of too few documents."""
     ok = measured.where("not base_failed").select(F.coalesce(lang, F.lit("")).alias("l"), F.round(F.col("log2_ppl") / BIN).cast("int").alias("bin"))
     hist = stored(ok.groupBy("l", "bin").agg(F.count(F.lit(1)).alias("n")), "hist")
-    total = hist.agg(F.sum("n")).first()[0] or 0
-    main = [r[0] for r in hist.groupBy("l").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, MIN_SHARE * total)).select("l").collect()]
-    hist = hist.groupBy(F.when(F.col("l").isin(main), F.col("l")).otherwise("").alias("band_lang"), "bin").agg(F.sum("n").alias("n"))
+    many = hist.groupBy("l").agg(F.sum("n").alias("of")).where(F.col("of") >= MIN_DOCUMENTS).select("l", F.col("l").alias("band_lang"))
+    hist = hist.join(many, "l", "left").groupBy("band_lang", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("band_lang")
     up = hist.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     q = [F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("bin") * BIN)).alias(f"q{int(100 * p)}") for p in (0.25, 0.5, 0.75)]
@@ -254,20 +340,20 @@ def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
 
 def verdicts(measured: DataFrame, lang: str = "lang") -> DataFrame:
     """``measured`` plus kept: not base_failed and log2_ppl inside its language's band."""
-    rows = {r["band_lang"]: (r["low"], r["high"]) for r in bands(measured, lang).collect()}  # at most 201 rows
-    rest = rows.pop("", (None, None))
-    low, high = (F.lit(x).cast("double") for x in rest)
-    for name, (a, b) in rows.items():
-        mine = F.coalesce(F.col(lang), F.lit("")) == name
-        low, high = F.when(mine, a).otherwise(low), F.when(mine, b).otherwise(high)
+    limits = stored(bands(measured, lang), "bands")
+    own = limits.where("band_lang is not null").select("band_lang", F.col("low").alias("_low"), F.col("high").alias("_high"))
+    rest = (limits.where("band_lang is null").select("low", "high").first() or (None, None))
+    low, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("_low", "_high"), rest, strict=True))
     fits = F.coalesce((F.col("log2_ppl") >= low) & (F.col("log2_ppl") <= high), F.lit(True))
-    return measured.withColumn("kept", ~F.col("base_failed") & fits)
+    met = measured.join(own, F.coalesce(measured[lang], F.lit("")) == own["band_lang"], "left")
+    return met.withColumn("kept", ~F.col("base_failed") & fits).drop("band_lang", "_low", "_high")
 
 
-def quality(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Metrics and verdict of every document; ``keep`` names the columns to carry along (all by default)."""
     keep = list(dict.fromkeys([*(docs.columns if keep is None else keep), lang]))
-    return verdicts(stored(measure(docs, train(docs, text), keep, text), "quality"), lang)
+    model = kneser_ney(count_grams(docs, text))
+    return verdicts(stored(measure(docs, model, keep, text, max_entries), "quality"), lang)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,14 +70,55 @@ def test_quality_rules(docs):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one(docs):
-    lm = quality.train(docs)
-    g = lm.keys[3]
+def test_kneser_ney_sums_to_one(spark, docs):
+    """Every context of every order, over the symbols seen and the unseen ones, which share one backoff."""
     import numpy as np
 
-    for ctx in np.unique(g >> 6)[:20]:
-        every = (np.uint32(ctx) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert 2 ** lm.log2(every) @ np.ones(64) == pytest.approx(1)
+    model = quality.Arrays(quality.kneser_ney(quality.count_grams(docs)).toPandas())
+    seen = model.levels[2][0]
+    for k in range(1, 5):
+        for ctx in model.levels[2 * k - 1][0][:: 1 if k < 3 else 40]:
+            key = (ctx << np.uint64(16)) | seen
+            unseen = (ctx << np.uint64(16)) | np.uint64(0x2603)
+            assert (2 ** model.log2(key, k)).sum() + (2**16 - len(seen)) * 2 ** model.log2(np.array([unseen]), k)[0] == pytest.approx(1)
+
+
+def test_joined_model_equals_broadcast(spark, docs, monkeypatch):
+    """Blocks that ask the model by joins give the same rows; clashing and null columns pass."""
+    monkeypatch.setattr(quality, "_BLOCK", 2000)
+    odd = docs.withColumn("text", F.concat("text", F.lit(" é漢🙂")))
+    rows = [sorted(quality.quality(odd, max_entries=m).collect(), key=str) for m in (quality.MAX_ENTRIES, 0)]
+    assert len(rows[0]) == odd.count() and [{**r.asDict(), "log2_ppl": 0} for r in rows[0]] == [{**r.asDict(), "log2_ppl": 0} for r in rows[1]]
+    assert [r["log2_ppl"] for r in rows[0]] == pytest.approx([r["log2_ppl"] for r in rows[1]])
+    assert quality.quality(docs.limit(0), max_entries=-1).count() == 0
+
+
+def test_quality_bands_reject_junk(spark):
+    """Shouting, symbols and tables are no reference and fall out of their language's band; prose of both languages stays, as do languages of few documents."""
+    other = str.maketrans("aeioubdfgk", "éàùöñвдфгк")
+    prose = [(f"p{i}", words(60) if i % 2 else words(60).translate(other), "en" if i % 2 else "xx") for i in range(240)]
+    junk = [(f"j{i}", f(words(60)), "en") for i, f in enumerate((lambda t: t.upper().replace(" ", "!! "), lambda t: t.replace(" ", "*** "), lambda t: t.replace(" ", " | "), lambda t: t[::-1].swapcase()))]
+    df = spark.createDataFrame([*prose, *junk, ("few", words(40), "yy"), ("none", words(40), None)], "doc_id string, text string, lang string")
+    out = by_id(quality.quality(df))
+    assert [i for i in out if not out[i]["kept"]] and not any(out[i]["kept"] for i, *_ in junk)
+    assert all(out[i]["kept"] for i, *_ in prose) and out["few"]["kept"] and out["none"]["kept"]
+
+
+def test_quality_metrics_against_brute_force(spark):
+    import re
+    from collections import Counter
+
+    pool = ["a", "b", "#x", "É", "\u00a0", "a|b"]
+    texts = ["".join(random.choice(pool) + random.choice([" ", " ", "\n", "\t", "\x0b", "\r"]) for _ in range(random.randrange(90))) for _ in range(150)]
+    out = by_id(quality.quality(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        again = {j + k for j in range(len(w) - 7) if windows[tuple(w[j : j + 8])] > 1 for k in range(8)}
+        ls = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), len(again))
+        assert tuple(out[i][c] for c in quality.METRICS) == want
+        assert out[i]["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
 
 
 def test_line_dedup(spark):
@@ -346,21 +387,26 @@ def test_ids_stay_exact_beside_nulls(spark):
 
 
 def _brute_log2_ppl(texts):
-    """log2 of the perplexity of each text under modified Kneser-Ney of all, by dictionaries and recursion."""
+    """log2 of the perplexity of each text under modified Kneser-Ney of the reference texts, by dictionaries and recursion."""
     from collections import Counter, defaultdict
     from functools import cache
     from math import log2
 
-    import numpy as np
-
     grams = []
     for t in texts:
-        x = [0, 0, 0, *(int(quality.ALPHABET[min(ord(ch), 0x250)]) for ch in t or ""), 0]
+        x = [0, 0, 0, *map(ord, t or ""), 0]
         grams.append([tuple(x[i : i + 4]) for i in range(len(x) - 3)])
-    counts = {4: Counter(g for gs in grams for g in gs)}
+
+    def teaches(t):
+        w = t.split()
+        letters = [c for c in t if c.isascii() and c.isalpha()]
+        symbols = sum(c in "#*$%&|<>" for c in t)
+        return symbols <= 0.1 * len(w) and sum(any(c.isalpha() for c in x) for x in w) >= 0.8 * len(w) and sum(c.isupper() for c in letters) <= 0.3 * len(letters)
+
+    counts = {4: Counter(g for gs, t in zip(grams, texts) if t and quality.text_rules(t)[0] >= 20 and 100 * quality.text_rules(t)[4] <= 30 * quality.text_rules(t)[0] and teaches(t) for g in gs)}
     for k in (3, 2, 1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
-    cut = {k: quality.KneserNey.discounts(np.array(list(c.values()))) for k, c in counts.items()}
+    cut = {k: quality.discounts([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)]) for k, c in counts.items()}
     total, freed = defaultdict(int), defaultdict(float)
     for k, c in counts.items():
         for g, n in c.items():
@@ -371,7 +417,7 @@ def _brute_log2_ppl(texts):
     def prob(g):
         k = len(g)
         if not k:
-            return 1 / 64
+            return 2.0**-16
         n, all_ = counts[k][g], total.get((k, g[:-1]), 0)
         return max(n - cut[k][min(n, 3)], 0) / all_ + freed[k, g[:-1]] / all_ * prob(g[1:]) if all_ else prob(g[1:])
 
