@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WordHashes", "add_columns", "ascii_lower", "bound_batches", "map_frames", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
 
 BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,6 +67,24 @@ def add_columns(df: DataFrame, keep: Sequence[str], used: Sequence[str], schema:
     return df.select(*keep, called.alias(made)).select(*keep, *[F.col(made)[n].alias(n) for n in new.names])
 
 
+def bit_filter(keys: DataFrame, key: str, bits_per_key: int = 16, max_bits: int = 1 << 24) -> tuple[DataFrame, int]:
+    """A bit array of (word, bits) rows over the 64-bit hashes ``key``, and its number of bits: a power of two, at most ``max_bits`` (2 MB); a fuller one only lets more pass."""
+    n = keys.count() * bits_per_key
+    size = min(max_bits, max(1 << 10, 1 << n.bit_length()))
+    at = F.col(key).bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")), size
+
+
+def maybe_in(df: DataFrame, key: str, name: str, words: DataFrame, size: int) -> DataFrame:
+    """``df`` with the boolean ``name``: whether the filter lets its 64-bit hash ``key`` pass. The filter is broadcast, its size is bounded."""
+    at = F.col(key).bitwiseAND(F.lit(size - 1))
+    words = words.select(F.col("word").alias(f"{name}_word"), F.col("bits").alias(f"{name}_bits"))
+    met = df.withColumn(f"{name}_word", F.shiftright(at, 6)).join(F.broadcast(words), f"{name}_word", "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return met.withColumn(name, F.coalesce(F.col(f"{name}_bits").bitwiseAND(bit) != 0, F.lit(False))).drop(f"{name}_word", f"{name}_bits")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,22 +1,25 @@
 """Operator 4, line dedup by a suffix array over line-ID sequences.
 
 Lines that occur once cannot belong to a repeated run, so only repeated lines stay; they get IDs by rank of their 128-bit
-hash, and their unbroken stretches (segments) are the sequences. Distributed prefix doubling ranks the runs of 2^k lines
-by the pair (rank of the first half, rank of the second half): distinct pairs are range-sorted by Spark and numbered in
-order, so suffixes with a common prefix of 2^k lines are neighbours in the suffix order. Pairs that occur once drop out.
-Two overlapping runs of 2^k lines name any run of 2^k to 2^(k+1) lines, which is how an interval of suffixes with a
-given longest common prefix is addressed.
-
-A run repeats if an interval of two or more suffixes shares it. Repeated runs of at least ``min_words`` words are found
-through their shortest prefixes and suffixes of that many words: the union of those that also occur earlier is exactly
-the union of all later copies of maximal repeated runs of at least ``min_words`` words. Earlier is by (doc_id, hash of
-the text, line). So doubling stops at runs of min_words lines, six rounds for 50 words, whatever the length of the
-repeats.
+hash, and their unbroken stretches (segments, numbered in document order) are the sequences.
+
+Distributed prefix doubling ranks every suffix by its first 2^k lines: pairs (rank of the first half, rank of the second
+half) are range-sorted by Spark and numbered in order, so the ranks of round k sort the suffixes by 2^k lines. Suffixes
+whose pair occurs once are settled and drop out; rounds go on until no two suffixes share 2^k lines, so there are as many
+as the longest repeat needs.
+
+Going down again from the largest k gives each suffix its longest common prefix with an earlier suffix: a prefix of
+``len`` lines is extended by the next 2^k lines if another suffix shares all of them and the first of these is an earlier
+one. The suffixes that share a prefix are an interval of the suffix array with that longest common prefix, known by its
+first member. What a suffix ends with is a repeated run that cannot be extended to the right, with its first copy.
+
+Runs of at least ``min_words`` words are later copies, and their lines are deleted. Earlier is by (doc_id, hash of the
+text, line). Only suffixes whose first ``min_words`` words are repeated take part in the way down.
 
 Defined cases: null and empty texts have no lines; blank lines are skipped by the sequences and stay in the text; a null
-doc_id comes before all others; rows equal in doc_id and text are one document, and all of them lose the same lines;
-copies that overlap their own first copy lose all but its first lines; an empty table gives an empty table; extra
-columns are kept by ``remove_repeats``.
+doc_id comes before all others; doc_id has to fit a long; rows equal in doc_id and text are one document, and all of them
+lose the same lines; copies that overlap their own first copy lose all but its first lines; an empty table gives an empty
+table; extra columns of any name are kept by ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import map_frames, read, stored
+from plumbline.llm.common import bit_filter, bound_batches, map_frames, maybe_in, read, stored
 
 MIN_WORDS = 50
 
@@ -65,86 +68,107 @@ def ranked(keys: DataFrame, *cols: str) -> DataFrame:
     return stored(keys.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def _runs(words: np.ndarray, least: int) -> set[tuple[int, int]]:
-    """(start, length) of the shortest runs of at least ``least`` words from every line on, and up to every line."""
+def line_sequences(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(seg, doc_id, th, l): the stretches of repeated lines with at least ``min_words`` words; l has (at, line_no, words, id) in order."""
+    lines = stored(document_lines(docs, doc_id, text), "lines")
+    ids = ranked(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "h1", "h2")
+    again = lines.join(ids, ["h1", "h2"]).select("doc_id", "th", "at", "line_no", "words", F.col("rank").alias("id"))
+    again = stored(again.dropDuplicates(["doc_id", "th", "at"]), "again")
+    order = Window.partitionBy("doc_id", "th").orderBy("at")
+    stretch = again.withColumn("gap", F.col("at") - F.row_number().over(order))
+    segments = stretch.groupBy("doc_id", "th", "gap").agg(F.sort_array(F.collect_list(F.struct("at", "line_no", "words", "id"))).alias("l"), F.sum("words").alias("n"))
+    # numbered in document order, so that the smaller (seg, p) is the earlier line
+    return ranked(segments.where(F.col("n") >= min_words).drop("n"), "doc_id", "th", "gap").select(F.col("rank").alias("seg"), "doc_id", "th", "l")
+
+
+def suffix_ranks(names: DataFrame) -> list[DataFrame]:
+    """Prefix doubling over ``names`` (seg, p, rank). Item k: (seg, p, rank) of the suffixes whose first 2^k lines occur again, rank in the order of these lines; the last item is the suffix array of what is then left."""
+    out = [names]
+    while True:
+        step = 1 << (len(out) - 1)
+        last = out[-1].withColumnRenamed("rank", "a")
+        pairs = stored(last.join(last.select("seg", (F.col("p") - step).alias("p"), F.col("a").alias("b")), ["seg", "p"]), "pairs")
+        numbers = ranked(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "a", "b")
+        if numbers.isEmpty():
+            return out
+        out.append(stored(pairs.join(numbers, ["a", "b"]).select("seg", "p", "rank"), "names"))
+
+
+def _least(words: np.ndarray, least: int) -> np.ndarray:
+    """For every line the number of lines from it on that have ``least`` words together; 0 if all of them have not."""
     total = np.concatenate(([0], np.cumsum(words)))
     end = np.searchsorted(total, total[:-1] + least)
-    out = {(i, int(e) - i) for i, e in enumerate(end) if e < len(total)}
-    start = np.searchsorted(total, total[1:] - least, "right") - 1
-    out |= {(int(s), i + 1 - int(s)) for i, s in enumerate(start) if s >= 0}
-    return out
+    return np.where(end < len(total), end - np.arange(len(words)), 0)
 
 
-def run_plan(segments: DataFrame, least: int) -> DataFrame:
-    """From (seg, words array): rows (seg, kind, k, p, q, len). kind 'run': a run of len lines from p on, named by the 2^k lines at p and at q; kind 'need': the 2^k lines at p (k > 0) take part in naming, their second half starts at q."""
+def candidates(segments: DataFrame, least: int) -> DataFrame:
+    """(seg, p, need, k): the suffixes with ``least`` words, how many lines it takes, and the largest 2^k of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for seg, words in zip(batch["seg"], batch["words"], strict=True):
-                need: dict[int, set[int]] = {}
-                for p, n in _runs(np.asarray(words, np.int64), least):
-                    k = n.bit_length() - 1
-                    q = p + n - (1 << k)
-                    rows.append((seg, "run", k, p, q, n))
-                    need.setdefault(k, set()).update((p, q))
-                for k in range(max(need, default=0), 0, -1):
-                    half = 1 << (k - 1)
-                    for p in need.get(k, ()):
-                        rows.append((seg, "need", k, p, p + half, 2 * half))
-                        need.setdefault(k - 1, set()).update((p, p + half))
-            yield pd.DataFrame(rows, columns=["seg", "kind", "k", "p", "q", "len"]).astype({"seg": "int64", "k": "int32", "p": "int32", "q": "int32", "len": "int32"})
-
-    return segments.select("seg", "words").mapInPandas(run, "seg bigint, kind string, k int, p int, q int, len int")
+            need = [_least(np.asarray(w, np.int64), least) for w in batch["words"]]
+            size = [len(n) for n in need]
+            every = pd.DataFrame({"seg": np.repeat(batch["seg"].to_numpy(), size), "p": np.concatenate([np.arange(n) for n in size] or [[]]).astype(np.int32), "need": np.concatenate(need or [[]]).astype(np.int32)})
+            every = every[every["need"] > 0]
+            yield every.assign(k=np.log2(every["need"].to_numpy()).astype(np.int32))
+
+    return map_frames(segments.select("seg", F.col("l.words").alias("words")), run, "seg bigint, p int, need int, k int")
+
+
+def repeated_runs(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(seg, p, len, first: struct(seg, p)): every suffix's longest common prefix with an earlier suffix, of those with ``min_words`` words or more."""
+    ranks = suffix_ranks(stored(segments.select("seg", F.posexplode("l.id").alias("p", "rank")), "names"))
+    at = lambda k: ranks[k].withColumnRenamed("rank", "b")
+    # suffixes whose first 2^k and last 2^k of the needed lines occur again
+    wanted = stored(candidates(segments, min_words), "wanted")
+    state = None
+    for k in range(len(ranks)):
+        mine = wanted.where(F.col("k") == k).join(at(k).drop("b"), ["seg", "p"]).withColumn("q", F.col("p") + F.col("need") - (1 << k))
+        mine = mine.join(at(k).select("seg", F.col("p").alias("q")), ["seg", "q"]).select("seg", "p", "need")
+        state = mine if state is None else state.unionByName(mine)
+    none = F.struct(F.lit(-1).cast("long").alias("seg"), F.lit(-1).alias("p"))
+    # own: the suffix itself; else it stands for the interval that it is the first member of
+    state = stored(state.select("seg", "p", "need", F.lit(0).alias("len"), none.alias("first"), F.lit(True).alias("own")), "state")
+    for k in reversed(range(len(ranks))):
+        here = state.withColumn("q", F.col("p") + F.col("len")).join(at(k).withColumnRenamed("p", "q"), ["seg", "q"], "left").drop("q")
+        here = stored(here, "here")
+        longer = here.where("b is not null").groupBy("len", "first", "b").agg(F.min(F.struct("seg", "p")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        longer = stored(longer, "longer")
+        met = here.join(longer, ["len", "first", "b"], "left").drop("b")
+        more = F.col("to").isNotNull() & (F.col("to") != F.struct("seg", "p")) & F.col("own")
+        moved = met.select("seg", "p", "need", F.when(more, F.col("len") + (1 << k)).otherwise(F.col("len")).alias("len"), F.when(more, F.col("to")).otherwise(F.col("first")).alias("first"), "own")
+        heads = longer.select("to.seg", "to.p", F.lit(0).alias("need"), (F.col("len") + (1 << k)).alias("len"), F.col("to").alias("first"), F.lit(False).alias("own")).distinct()
+        state = stored(moved.unionByName(heads), "state")
+    return state.where(F.col("own") & (F.col("len") >= F.col("need"))).select("seg", "p", "len", "first")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, line_no, words, seg, p): the lines of later copies."""
-    lines = stored(document_lines(docs, doc_id, text), "lines")
-    ids = ranked(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "h1", "h2")
-    again = lines.join(ids, ["h1", "h2"]).select("doc_id", "th", "at", "line_no", "words", F.col("rank").alias("id"))
-    again = stored(again.dropDuplicates(["doc_id", "th", "at"]), "again")
-    order = Window.partitionBy("doc_id", "th").orderBy("at")
-    stretch = again.withColumn("gap", F.col("at") - F.row_number().over(order))
-    segments = stretch.groupBy("doc_id", "th", "gap").agg(F.sort_array(F.collect_list(F.struct("at", "line_no", "words", "id"))).alias("l"))
-    # numbered in document order, so that the smaller (seg, p) is the earlier line
-    segments = ranked(segments, "doc_id", "th", "gap").select(F.col("rank").alias("seg"), "doc_id", "th", "l")
-    plan = stored(run_plan(segments.select("seg", F.col("l.words").alias("words")), min_words), "plan")
-    deepest = plan.agg(F.max("k")).first()[0] or 0
-
-    names = segments.select("seg", F.posexplode("l.id").alias("p", "rank"))
-    runs = []
-    for k in range(deepest + 1):
-        half = names.select("seg", F.col("p").alias("q"), F.col("rank").alias("b"))
-        if k:
-            pairs = plan.where((F.col("kind") == "need") & (F.col("k") == k)).select("seg", "p", "q").join(names.withColumnRenamed("rank", "a"), ["seg", "p"]).join(half, ["seg", "q"]).select("seg", "p", "a", "b")
-            pairs = stored(pairs, "pairs")
-            numbers = ranked(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "a", "b")
-            names = stored(pairs.join(numbers, ["a", "b"]).select("seg", "p", "rank"), "names")
-            half = names.select("seg", F.col("p").alias("q"), F.col("rank").alias("b"))
-        mine = plan.where((F.col("kind") == "run") & (F.col("k") == k)).select("seg", "p", "q", "len")
-        runs.append(mine.join(names.withColumnRenamed("rank", "a"), ["seg", "p"]).join(half, ["seg", "q"]).select("seg", "p", "len", F.lit(k).alias("k"), "a", "b"))
-    every = runs[0]
-    for r in runs[1:]:
-        every = every.unionByName(r)
-    every = stored(every, "runs")
-    interval = ["k", "len", "a", "b"]
-    first = stored(every.groupBy(*interval).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seg", "p")).alias("first")).where("n > 1").drop("n"), "intervals")
-    later = every.join(first, interval).where(F.struct("seg", "p") != F.col("first"))
-    gone = later.select("seg", F.explode(F.sequence("p", F.col("p") + F.col("len") - 1)).alias("p")).distinct()
-    place = segments.select("doc_id", "th", "seg", F.posexplode("l").alias("p", "x")).select("doc_id", "th", "seg", "p", F.col("x.line_no").alias("line_no"), F.col("x.words").alias("words"))
-    return place.join(gone, ["seg", "p"])
+    segments = line_sequences(docs, min_words, doc_id, text)
+    runs = stored(repeated_runs(segments, min_words), "runs")
+    place = segments.join(runs.select("seg").distinct(), "seg", "left_semi").select("doc_id", "th", "seg", F.posexplode("l").alias("p", "x"))
+    place = place.join(runs.select("seg", "p", (F.col("p") + F.col("len")).alias("end")), ["seg", "p"], "left")
+    # a line is gone if a run that starts at it or before reaches beyond it; a segment lies in one document
+    reach = F.max("end").over(Window.partitionBy("seg").orderBy("p"))
+    return place.withColumn("reach", reach).where("reach > p").select("doc_id", "th", "seg", "p", F.col("x.line_no").alias("line_no"), F.col("x.words").alias("words"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, drop_empty: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text, ...) without the lines of later copies; n_chars, if there, is counted anew; documents left without a word are dropped if ``drop_empty`` (those that had none before stay)."""
-    gone = repeated_lines(docs, min_words).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("_gone"))
-    gone = stored(gone, "gone").withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    # one shuffle of the texts, at every size of ``gone``
-    met = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left").drop("_id", "_th")
+    """``docs`` (doc_id, text, ...) without the lines of later copies; n_chars, if there, is counted anew where lines went; documents left without a word are dropped if ``drop_empty`` (those that had none before stay)."""
+    gone = repeated_lines(docs, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
+    gone = stored(gone.withColumn("key", F.xxhash64("doc_id", "th")), "gone")
+    names = ["_key", "_id", "_th", "_lost", "_cut", "_maybe"]
+    while set(names) & set(docs.columns):
+        names = ["_" + n for n in names]
+    key, id_, th, lost, cut, maybe = names
+    # most documents lose nothing: a bit filter of bounded size lets them pass, the others meet their lines in a join
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text")).withColumn(key, F.xxhash64(id_, th))
+    rows = maybe_in(rows, key, maybe, *bit_filter(gone, "key"))
+    left = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), F.col("lines").alias(lost))
+    met = rows.where(maybe).join(left, F.col(id_).eqNullSafe(left["gone_id"]) & (F.col(th) == left["gone_th"]), "left")
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         out = []
         for t, lost in zip(texts, gone, strict=True):
             if lost is not None:
@@ -153,11 +177,15 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, drop_empty: bool
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    out = met.withColumn("text", cut.asNondeterministic()("text", "_gone"))  # so that it runs once, not for the filter too
+    bound_batches(docs.sparkSession)
+    # not deterministic to the optimiser, so that it runs once, not for the filter too
+    met = met.withColumn(cut, without.asNondeterministic()("text", lost))
     if drop_empty:
-        out = out.where(F.col("_gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    out = out.select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+        met = met.where(F.col(lost).isNull() | F.col(cut).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    met = met.withColumn("text", F.col(cut))
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.where(~F.col(maybe)).select(*docs.columns).unionByName(met.select(*docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,43 @@ def test_line_dedup(spark):
     assert out[99]["text"] is None and lines.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_common_prefixes_with_earlier_suffixes(spark):
+    """Every suffix's longest prefix that an earlier suffix shares, and the first copy of it, by brute force; long repeats take many rounds."""
+    pool = [f"l{i} " + "w " * (i % 4) for i in range(5)]
+    block = [random.choice(pool) for _ in range(70)]
+    texts = ["\n".join(x) for x in (block, block[10:], ["once"] + block[3:40] + ["twice"] + block[20:], pool * 9, [pool[0]] * 40, [])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    segments = lines.line_sequences(df, 6)
+    seqs = {r["seg"]: [(x["id"], x["words"]) for x in r["l"]] for r in segments.collect()}
+    suffixes = sorted((s, p) for s, l in seqs.items() for p in range(len(l)))
+    want = set()
+    for s, p in suffixes:
+        mine, best = seqs[s][p:], (0, None)
+        for t, q in suffixes:
+            if (t, q) >= (s, p):
+                break
+            n = next((i for i, (x, y) in enumerate(zip(mine, seqs[t][q:])) if x != y), min(len(mine), len(seqs[t]) - q))
+            best = max(best, (n, (-t, -q)), key=lambda b: b[0])
+        if sum(w for _, w in mine[: best[0]]) >= 6:
+            want.add((s, p, best[0], -best[1][0], -best[1][1]))
+    got = {(r["seg"], r["p"], r["len"], *r["first"]) for r in lines.repeated_runs(segments, 6).collect()}
+    assert got == want and max(w[2] for w in want) >= 37
+    ranks = lines.suffix_ranks(segments.select("seg", F.posexplode("l.id").alias("p", "rank")))
+    for k, rank in enumerate(ranks):
+        rows = sorted((r["rank"], [x for x, _ in seqs[r["seg"]][r["p"] : r["p"] + 2**k]]) for r in rank.collect())
+        assert all((a[0] == b[0]) == (a[1] == b[1]) and a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    text, big = words(60), "\n".join(words(5) for _ in range(4000))
+    rows = [(1, text, 7, "a", 1), (2, text + "\n" + words(3), 7, "b", 2), (None, text, 7, "c", 3), (4, big, 7, "d", 4), (5, big, 7, "e", 5), (5, big, 7, "e", 5), (6, "", 7, "f", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, _maybe string, _gone long")
+    out = sorted(map(tuple, lines.remove_repeats(df).collect()), key=str)
+    tail = rows[1][1].split("\n")[1]
+    assert out == sorted([(2, tail, len(tail), "b", 2), rows[2], rows[3], rows[6]], key=str)
+    assert lines.remove_repeats(df).columns == df.columns
+
+
 def test_near_duplicates(spark, docs):
     out = docs.select("doc_id", "text").collect()
     sets = {}
