@@ -12,7 +12,7 @@ buckets in blocks of two bounded chunks, which emit links, not pairs. Every pair
 then confirmed on the full sets. Components come from alternating large-star and small-star steps on stored edge tables.
 
 Defined cases: documents without words have an empty set, no links and are their own component; a document with fewer
-words than a shingle has its whole sequence as one shingle; a null doc_id is in no component (null) and kept; rows that
+words than a shingle has its whole sequence as one shingle; doc_id has to fit a long; a null doc_id is in no component (null) and kept; rows that
 share a doc_id are one document, whose links are those of all its texts; an empty table gives an empty table; extra
 columns are ignored.
 """
@@ -27,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordHashes, map_frames, mix, read, stored
+from plumbline.llm.common import WordHashes, bit_filter, bound_batches, map_frames, maybe_in, mix, read, stored
 
 BANDS, ROWS, AGREE_SD = 32, 5, 5.0
-FILTER_BITS = 24
+#: A bit filter of 16 MB at most.
+MAX_FILTER_BITS = 27
+#: Members of a hot bucket are dealt over this many tasks while they learn into how many chunks it is cut.
+SALT = 64
 #: Buckets of more members are compared in blocks, two chunks of at most so many members and bytes of sets (unless one set is larger) at a time.
 SMALL_BUCKET, CHUNK_MEMBERS, CHUNK_BYTES = 32, 4096, 16_000_000
 
@@ -130,28 +133,20 @@ def agreeing(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return sized.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a bigint, b bigint")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(set_key, elements) of the documents whose id is in ``ids.rep`` (and of few others): a bit filter of fixed size is broadcast, so no text is shuffled."""
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << FILTER_BITS))
-    at = place(F.col("rep"))
-    words64 = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)  # 2 MB
-    bits[words64["w"].to_numpy(np.int64)] = words64["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def sets_of(docs: DataFrame, classes: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """(set_key, elements) of ``classes`` (rep, set_key), one row each. A bit filter of bounded size keeps most other documents' texts from being read twice, a join on both keys the rest."""
+    key = F.xxhash64(F.col(doc_id).cast("long"))
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), key.alias("key"), F.col(text).alias("text"))
+    rows = maybe_in(rows, "key", "maybe", *bit_filter(classes.select(F.xxhash64("rep").alias("key")), "key", max_bits=1 << MAX_FILTER_BITS)).where("maybe")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, have = WordHashes(), shared.value
+        words = WordHashes()
         for batch in batches:
-            p = batch["p"].to_numpy(np.uint64)
-            wanted = (have[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) != 0
-            rows = []
-            for t in batch["text"][wanted]:
-                s = shingles(t, width, words)
-                if len(s):
-                    rows.append((_key(s), s.tobytes()))
-            yield pd.DataFrame(rows, columns=["set_key", "elements"])
+            made = [(d, s) for d, t in zip(batch["id"], batch["text"], strict=True) if len(s := shingles(t, width, words))]
+            yield pd.DataFrame([(d, _key(s), s.tobytes()) for d, s in made], columns=["rep", "set_key", "elements"])
 
-    return docs.where(F.col(doc_id).isNotNull()).select(place(F.col(doc_id)).alias("p"), F.col(text).alias("text")).mapInPandas(run, "set_key binary, elements binary")
+    made = map_frames(rows.select("id", "text"), run, "rep bigint, set_key binary, elements binary")
+    return made.join(classes.select("rep", "set_key"), ["rep", "set_key"], "left_semi").select("set_key", "elements").dropDuplicates(["set_key"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -177,9 +172,10 @@ def block_links(members_: DataFrame, sets: DataFrame, classes: DataFrame, thresh
     """
     rows = members_.join(classes.select("rep", "set_key", "sig", "n_shingles"), "rep")
     load = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS), F.lit(1)).alias("chunks"))
-    rows = rows.join(load, "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    salted = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", "bucket"), F.lit(SALT)).cast("int")).join(salted, ["bucket", "salt"]).drop("salt").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.join(sets.dropDuplicates(["set_key"]), "set_key").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "root", "sig", "elements")
+    rows = rows.join(sets, "set_key").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "root", "sig", "elements")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["chunk", "rep"], ignore_index=True)
@@ -231,6 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    bound_batches(docs.sparkSession)
     every = stored(members(docs, width, doc_id, text), "members")
     named = every.where("set_key is not null")
     classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
@@ -247,8 +244,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     stars = inside.join(stored(central.select("bucket", F.col("c.rep").alias("b")), "central"), "bucket").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
     first = stored(agreeing(best, classes, threshold), "pairs")
-    ids = inside.select("rep").distinct()
-    sets = stored(sets_of(docs, ids, width, doc_id, text), "sets")
+    met = stored(classes.join(inside.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key"), "met")
+    sets = stored(sets_of(docs, met, width, doc_id, text), "sets")
     edges = stored(confirmed(first, sets, classes, threshold).unionByName(tied), "links")
     found = components(edges)
 
