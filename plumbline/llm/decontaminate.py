@@ -6,17 +6,22 @@ seeds that look at it; whatever tokens of an overlap are substituted, one mask a
 ``MAX_FILTER_BITS``, so its broadcast is bounded whatever the benchmark's size; a crowded filter only lets more
 positions on) are joined with the benchmark's seeds on the exact hash. Each (passage, item, diagonal) that meets is then
 verified: an overlap is a stretch of ``WINDOW`` aligned tokens of which at least min(MATCHES, 80 % of the item's tokens)
-are equal.
+are equal. Items of fewer than MIN_ITEM tokens have no room for that: they are searched by one hash of their whole token
+sequence (an all-looking mask of each short length that the benchmark has), so verbatim copies of them are found anywhere
+in a text. A benchmark item of one or two words thus claims every document that says it; a caller who does not want that
+leaves such items out.
 
-Defined cases: null and empty texts have no tokens and no overlaps; items of fewer than MIN_ITEM tokens cannot be told
-from chance and are not searched; a null item_id or doc_id is carried as null; repeated documents and repeated items
+A seed that many items share (a benchmark's standing phrase) meets each passage once for every such item; passages and
+seeds are joined by Spark, so such a seed is split like any skewed join key.
+
+Defined cases: null and empty texts have no tokens and no overlaps; ids have to fit a long; a null item_id or doc_id is carried as null; repeated documents and repeated items
 each give their pairs; empty tables give an empty table; extra columns are kept by ``remove_contaminated``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -41,16 +46,16 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split()
 
 
-def seeds(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask number, seed at each position where the mask fits) of a sequence of token hashes."""
-    for k, mask in enumerate(MASKS):
+def seeds(h: np.ndarray, short: Sequence[int] = ()) -> Iterator[tuple[int, np.ndarray]]:
+    """(length of the mask, seed at each position where it fits) of a sequence of token hashes, by the fixed masks and those of ``short`` lengths that look at all tokens."""
+    for k, mask in [*enumerate(MASKS, 1), *((100 + n, "1" * n) for n in short)]:
         n = len(h) - len(mask) + 1
         if n > 0:
-            s = np.full(n, k + 1, np.uint64)
+            s = np.full(n, k, np.uint64)
             for j, look in enumerate(mask):
                 if look == "1":
                     s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
-            yield k, mix(s)
+            yield len(mask), mix(s)
 
 
 def _bits(s: np.ndarray, log2: int) -> list[np.ndarray]:
@@ -58,8 +63,8 @@ def _bits(s: np.ndarray, log2: int) -> list[np.ndarray]:
     return [(s >> np.uint64(i * 10)) & np.uint64((1 << log2) - 1) for i in range(FILTER_HASHES)]
 
 
-def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(item, item_id, toks: token hashes as binary uint32) and (seed, item, at). ``item`` numbers the rows."""
+def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
+    """(item, item_id, toks: token hashes as binary uint32), (seed, item, at), and the lengths below MIN_ITEM that occur. ``item`` numbers the rows."""
     numbered = stored(items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("item_id"), F.col(text).alias("text")), "items")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,13 +72,14 @@ def benchmark_items(items: DataFrame, item_id: str = "item_id", text: str = "tex
         for batch in batches:
             for item, iid, t in zip(batch["item"], batch["item_id"], batch["text"], strict=True):
                 h = words.of(tokens(t))
-                if len(h) >= MIN_ITEM:
-                    each = list(seeds(h))
-                    yield pd.DataFrame({"item": [item], "item_id": pd.array([iid], "Int64"), "toks": [(h >> np.uint64(32)).astype("<u4").tobytes()], "seeds": [np.concatenate([s for _, s in each]).astype(np.int64)], "ats": [np.concatenate([np.arange(len(s)) for _, s in each]).astype(np.int32)]})
+                if len(h):
+                    each = list(seeds(h)) if len(h) >= MIN_ITEM else list(seeds(h, [len(h)]))[-1:]
+                    yield pd.DataFrame({"item": [item], "item_id": pd.array([iid], "Int64"), "n": [len(h)], "toks": [(h >> np.uint64(32)).astype("<u4").tobytes()], "seeds": [np.concatenate([s for _, s in each]).astype(np.int64)], "ats": [np.concatenate([np.arange(len(s)) for _, s in each]).astype(np.int32)]})
 
-    made = stored(map_frames(numbered.withColumn("item_id", F.col("item_id").cast("long")), run, "item bigint, item_id bigint, toks binary, seeds array<bigint>, ats array<int>"), "items")
+    made = stored(map_frames(numbered.withColumn("item_id", F.col("item_id").cast("long")), run, "item bigint, item_id bigint, n int, toks binary, seeds array<bigint>, ats array<int>"), "items")
     pairs = made.select("item", F.explode(F.arrays_zip("seeds", "ats")).alias("s"))
-    return made.select("item", "item_id", "toks"), stored(pairs.select(F.col("s.seeds").alias("seed"), "item", F.col("s.ats").alias("at")), "seeds")
+    short = [r["n"] for r in made.where(F.col("n") < MIN_ITEM).select("n").distinct().collect()]  # fewer than MIN_ITEM
+    return made.select("item", "item_id", "toks"), stored(pairs.select(F.col("s.seeds").alias("seed"), "item", F.col("s.ats").alias("at")), "seeds"), sorted(short)
 
 
 def seed_filter(seed_rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -89,7 +95,7 @@ def seed_filter(seed_rows: DataFrame) -> tuple[np.ndarray, int]:
     return out, log2
 
 
-def passages(docs: DataFrame, bits: np.ndarray, log2: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def passages(docs: DataFrame, bits: np.ndarray, log2: int, short: Sequence[int] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stretches of documents around positions that pass the filter: (doc_id, first, toks, seeds, ats); first is the token number of toks[0], ats count from it."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -100,12 +106,12 @@ def passages(docs: DataFrame, bits: np.ndarray, log2: int, doc_id: str = "doc_id
             h = np.concatenate(lists)
             ends = np.cumsum([len(x) for x in lists])
             at, found = [], []
-            for k, s in seeds(h):
+            for length, s in seeds(h, short):
                 ok = np.ones(len(s), bool)
                 for b in _bits(s, log2):
                     ok &= (have[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) != 0
                 p = np.flatnonzero(ok)
-                inside = ends[np.searchsorted(ends, p, "right")] >= p + len(MASKS[k]) if len(p) else p
+                inside = ends[np.searchsorted(ends, p, "right")] >= p + length if len(p) else p
                 p = p[inside] if len(p) else p
                 at.append(p)
                 found.append(s[p])
@@ -128,7 +134,7 @@ def passages(docs: DataFrame, bits: np.ndarray, log2: int, doc_id: str = "doc_id
             rows, ids, lists, size = [], [], [], 0
             for d, t in zip(batch["doc_id"], batch["text"], strict=True):
                 h = words.of(tokens(t))
-                if len(h) >= MIN_ITEM:
+                if len(h):
                     ids.append(d)
                     lists.append(h)
                     size += len(h)
@@ -159,7 +165,7 @@ def verify(found: DataFrame) -> DataFrame:
                 width = min(WINDOW, hi - lo)
                 hit = same[width:] - same[:-width]
                 i = int(np.argmax(hit))
-                if hit[i] >= min(MATCHES, math.ceil(0.8 * len(b))):
+                if hit[i] >= (min(MATCHES, math.ceil(0.8 * len(b))) if len(b) >= MIN_ITEM else len(b)):
                     rows.append((r.doc_id, r.item_id, r.item, int(hit[i]), int(r.first + lo + r.shift + i), int(lo + i)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item", "matched", "doc_token", "item_token"]).astype({"doc_id": "Int64", "item_id": "Int64", "item": "int64", "matched": "int64", "doc_token": "int64", "item_token": "int64"})
 
@@ -168,9 +174,9 @@ def verify(found: DataFrame) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Contaminated pairs (doc_id, item_id, matched, doc_token, item_token): the best window of each pair, the first on ties."""
-    items, seed_rows = benchmark_items(benchmark, item_id, item_text)
+    items, seed_rows, short = benchmark_items(benchmark, item_id, item_text)
     bits, log2 = seed_filter(seed_rows)
-    got = passages(docs, bits, log2, doc_id, text).withColumn("passage", F.monotonically_increasing_id())
+    got = passages(docs, bits, log2, short, doc_id, text).withColumn("passage", F.monotonically_increasing_id())
     got = stored(got, "passages")
     hits = got.select("passage", F.explode(F.arrays_zip("seeds", "ats")).alias("s")).select("passage", F.col("s.seeds").alias("seed"), F.col("s.ats").alias("here"))
     met = hits.join(seed_rows, "seed").select("passage", "item", (F.col("here") - F.col("at")).alias("shift")).distinct()

@@ -234,11 +234,49 @@ def test_decontamination(spark):
         w[i] = "changed"
     texts = [words(50) + " " + items[0].upper() + ", " + words(5), words(9) + " " + " ".join(w), items[1], items[2] + " " + words(60), words(300), None, "", items[3] + " " + words(30)]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, matched string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2)}
-    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()) == [4, 5, 6, 7]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(df, bench).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2), (7, 3)}
+    assert sorted(r["doc_id"] for r in decontaminate.remove_contaminated(df, bench).collect()) == [4, 5, 6]
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every pair with its best window (the first on ties); repeated rows, one very long text, short items."""
+    from math import ceil
+
+    small = VOCAB[:40]
+    some = lambda n: [random.choice(small) for _ in range(n)]
+    items = [some(random.choice([1, 3, 5, 7, 8, 12, 15, 20, 40])) for _ in range(25)]
+    texts = []
+    for i in range(60):
+        w = some(random.randrange(70))
+        for x in random.sample(items, 2):
+            x = [random.choice(small) if random.random() < 0.15 else y for y in x]
+            at = random.randrange(len(w) + 1)
+            w[at:at] = x[: random.randrange(1, len(x) + 1)] if i % 3 else x
+        texts.append(w)
+    texts.append(some(30000) + items[8] + some(5))
+    want = {}
+    for d, a in enumerate(texts):
+        for j, b in enumerate(items):
+            least, best = (min(12, ceil(0.8 * len(b))) if len(b) >= 8 else len(b)), None
+            if d == 60 and j != 8:  # the long text: by the item that it was given
+                continue
+            for shift in range(-len(b) + 1, len(a)):
+                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                same = [a[i + shift] == b[i] for i in range(lo, hi)]
+                n = min(17, hi - lo)
+                for i in range(hi - lo - n + 1):
+                    m = sum(same[i : i + n])
+                    if m >= least:
+                        best = max(best or (0,), (m, -(lo + shift + i), -(lo + i)))
+            if best:
+                want[d, j] = (best[0], -best[1], -best[2])
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)] + [(0, " ".join(texts[0]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(w), "c") for j, w in enumerate(items)], "item_id long, text string, doc_id string")
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["doc_token"], r["item_token"]) for r in decontaminate.overlaps(df, bench).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 60 or k[1] == 8} == want and any(len(items[j]) < 8 for _, j in want)
+
+
 def test_decontamination_masks_hit_every_overlap(spark):
     """All places of substitutions that an overlap allows, by enumeration; and a short item with one of them."""
     from itertools import combinations
