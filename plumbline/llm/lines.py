@@ -86,8 +86,8 @@ def suffix_ranks(names: DataFrame) -> list[DataFrame]:
     out = [names]
     while True:
         step = 1 << (len(out) - 1)
-        last = out[-1].withColumnRenamed("rank", "a")
-        pairs = stored(last.join(last.select("seg", (F.col("p") - step).alias("p"), F.col("a").alias("b")), ["seg", "p"]), "pairs")
+        second = F.first("rank").over(Window.partitionBy("seg").orderBy("p").rangeBetween(step, step))
+        pairs = stored(out[-1].select("seg", "p", F.col("rank").alias("a"), second.alias("b")).where("b is not null"), "pairs")
         numbers = ranked(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "a", "b")
         if numbers.isEmpty():
             return out
