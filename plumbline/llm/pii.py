@@ -3,9 +3,11 @@
 ``find_pii`` adds an array ``pii`` of structs (start, rank, end, kind, score) over the whole text: code points, end
 exclusive, ordered by start, then kind. Base kinds (email, ip, card, phone) are leftmost non-overlapping matches per
 kind; what fails its check is dropped without a retry. Their score only reports confidence, base spans always stay. The
-method adds three kinds: ``iban`` (mod 97 confirms), ``card13`` (a 13-digit number that passes Luhn) and ``localphone``
-(a national number such as 555-123-4567, which no checksum can confirm); an added span has to reach ``THRESHOLD`` and
-must not overlap a base span. Score = base score of the kind + 0.3 for a context word within 40 characters before or 20
+method adds four kinds: ``iban`` (mod 97 confirms), ``card13`` (a 13-digit number that passes Luhn), ``localphone`` (a
+national number such as 555-123-4567, which no checksum can confirm) and ``secret`` (a key or token: one run of 20 to 200
+letters, digits, ``_`` and ``-`` with letters and digits in it whose characters have at least ``MIN_ENTROPY`` bits of
+entropy, as random ones do and words do not); an added span has to reach ``THRESHOLD`` and
+must not overlap a base span. Of overlapping added spans of different kinds all stay. Score = base score of the kind + 0.3 for a context word within 40 characters before or 20
 after.
 
 Only built-in functions are used. The patterns equal the plain ones but are possessive and start only where a run
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import read
 
-KINDS = ("email", "ip", "card", "phone", "iban", "card13", "localphone")
+KINDS = ("email", "ip", "card", "phone", "iban", "card13", "localphone", "secret")
 BASE_KINDS = KINDS[:4]
 THRESHOLD = 0.6
+MIN_ENTROPY = 2.8
 
 #: Pattern, score without context, context words.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -33,7 +36,8 @@ DIGITS = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL = r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.9, "card13": 0.4, "localphone": 0.4}
+SECRET = r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])"
+SCORES = {"secret": 0.4, "email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.9, "card13": 0.4, "localphone": 0.4}
 CONTEXT = {
     "email": "e-?mail|contact|mailto|write|courriel|correo",
     "ip": r"\bip\b|host|server|address|login",
@@ -41,6 +45,7 @@ CONTEXT = {
     "phone": r"phone|call|tel\b|mobile|fax|telefon|téléphone|teléfono",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "card13": "card|visa|credit|debit|payment|carte|karte|tarjeta",
+    "secret": r"token|secret|passw|pwd\b|api|\bkey\b|_key|auth|bearer|credential|clé|clave|schlüssel|kennwort",
     "localphone": r"phone|call|tel\b|mobile|fax|telefon|téléphone|teléfono",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -72,7 +77,20 @@ def _card(value: Column, low: int, high: int) -> Column:
     return F.length(d).between(low, high) & F.call_function("luhn_check", d)
 
 
+def _entropy(value: Column) -> Column:
+    """Bits of Shannon entropy of the characters of a value."""
+    chars = F.split(value, "")
+    n = F.length(value)
+
+    def share(ch: Column) -> Column:
+        p = (n - F.length(F.replace(value, ch, F.lit("")))) / n
+        return -p * F.log2(p)
+
+    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, ch: acc + share(ch))
+
+
 CHECKS = {
+    "secret": lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (_entropy(v) >= MIN_ENTROPY),
     "email": lambda v: F.lit(True),
     "ip": lambda v: v.rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"),
     "card": lambda v: _card(v, 14, 19),
@@ -132,12 +150,15 @@ def find_pii(df: DataFrame, text: str = "text", added: bool = True) -> DataFrame
     t = F.coalesce(F.col(text), F.lit(""))
     parts = [_spans(t, EMAIL, ("email",)), _spans(t, IP, ("ip",)), _spans(t, DIGITS, ("card", "card13") if added else ("card",)), _spans(t, PHONE, ("phone",))]
     if added:
-        parts += [_spans(t, IBAN, ("iban",)), _spans(t, LOCAL, ("localphone",))]
-    found = df.withColumn("_all", F.concat(*parts))
-    base = F.filter("_all", lambda s: s["rank"] < len(BASE_KINDS))
-    more = F.filter("_all", lambda s: (s["rank"] >= len(BASE_KINDS)) & (s["score"] >= THRESHOLD))
+        parts += [_spans(t, IBAN, ("iban",)), _spans(t, LOCAL, ("localphone",)), _spans(t, SECRET, ("secret",))]
+    every = "_all"
+    while every in df.columns:
+        every += "_"
+    found = df.withColumn(every, F.concat(*parts))
+    base = F.filter(every, lambda s: s["rank"] < len(BASE_KINDS))
+    more = F.filter(every, lambda s: (s["rank"] >= len(BASE_KINDS)) & (s["score"] >= THRESHOLD))
     clear = F.filter(more, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("pii", F.when(F.size("_all") > 0, F.array_sort(F.concat(base, clear))).otherwise(F.col("_all"))).drop("_all")
+    return found.withColumn("pii", F.when(F.size(every) > 0, F.array_sort(F.concat(base, clear))).otherwise(F.col(every))).drop(every)
 
 
 def _is(kind: str):
@@ -152,5 +173,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["rank"] < len(BASE_KINDS))
-    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts[: len(BASE_KINDS)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), *counts[len(BASE_KINDS) :])

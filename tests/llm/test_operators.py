@@ -58,6 +58,66 @@ def test_pii_context_across_other_matches(spark):
     assert got == {0: ["4222222222222"], 1: [number, "555-123-9999"], 2: [number], 3: [number], 4: [], 5: [number, "555-123-9999"], 6: ["555-123-9999"]}
 
 
+def _brute_pii(text):
+    """(base spans, all spans) by Python's re and plain loops."""
+    import re
+    from collections import Counter
+    from math import log2
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda v: re.sub("[^0-9]", "", v)
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            found.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0])):
+            found.append((m.start(), 5 if len(digits(m[0])) == 13 else 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(digits(m[0])) <= 15:
+            found.append((m.start(), 3, m.end()))
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", text):
+        v = m[0].replace(" ", "")
+        if 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1:
+            found.append((m.start(), 4, m.end()))
+    for m in re.finditer(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])", text):
+        found.append((m.start(), 6, m.end()))
+    for m in re.finditer(r"[A-Za-z0-9_-]+", text):
+        v, n = m[0], len(m[0])
+        if 20 <= n <= 200 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and -sum(c / n * log2(c / n) for c in Counter(v).values()) >= pii.MIN_ENTROPY:
+            found.append((m.start(), 7, m.end()))
+    base = sorted(x for x in found if x[1] < 4)
+    more = []
+    for a, rank, b in found:
+        kind = pii.KINDS[rank]
+        near = text[max(0, a - 40) : a] + " " + text[b : b + 20]
+        score = pii.SCORES[kind] + (0.3 if re.search(pii.CONTEXT[kind], near, re.I) else 0)
+        if rank >= 4 and score >= pii.THRESHOLD and not any(x < b and a < y for x, _, y in base):
+            more.append((a, rank, b))
+    return base, sorted(base + more)
+
+
+def test_pii_against_brute_force(spark):
+    bits = ["a.b@c.de", "x@y", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "4222222222222", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", "(555) 123-4567", "555.123.4567"]
+    bits += ["token = ", "api_key: ", "Visa card", "IBAN", "call", "é🙂", "\n", "password", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "aaaaaaaaaaaaaaaaaaaaaaaa1", "a-very-long-hyphenated-word-of-no-digits", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "word", "12", "-", "."]
+    texts = ["".join(random.choice(bits) + random.choice([" ", " ", "", "; "]) for _ in range(random.randrange(25))) for _ in range(300)]
+    texts += [None, "", "key " + "x1y2z3w4v5u6t7s8r9q0p" * 11, words(20000) + " token 04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)] + [(3, texts[3], "a", "b")], "doc_id long, text string, _all string, pii string")
+    rows = pii.find_pii(df).collect()
+    assert len(rows) == len(texts) + 1 and pii.find_pii(df.limit(0)).count() == 0
+    kinds = set()
+    for r in rows:
+        base, every = _brute_pii(texts[r["doc_id"]] or "")
+        got = [(s["start"], s["rank"], s["end"]) for s in r["pii"]]
+        assert got == every and [g for g in got if g[1] < 4] == base and r["_all"] == "a"
+        kinds |= {g[1] for g in got}
+    assert kinds == set(range(8))
+
+
 def test_quality_rules(docs):
     assert quality.text_rules("a b\n\na b\n c|#é\n") == (5, 8, 2, 1, 0)
     w = [f"w{i}" for i in range(8)]
