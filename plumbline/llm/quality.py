@@ -89,22 +89,25 @@ def _groups(texts: list[str], most: int = _GROUP) -> Iterator[tuple[int, list[st
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
-    """Words in windows of ``width`` words that the text holds twice or more."""
+    """Words in windows of ``width`` words (a power of two) that the text holds twice or more."""
     n = len(words) - width + 1
     if n < 2:
         return 0
-    ids: dict[bytes, int] = {}
-    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.uint64, len(words))
+    ids = dict.fromkeys(words)
     if len(ids) == len(words):
         return 0
-    h = mix(w + np.uint64(1))
-    key = np.zeros(n, np.uint64)
-    for j in range(width):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    ids = dict(zip(ids, range(len(ids)), strict=True))
+    w = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+    # a polynomial over the words, of doubled length with each step
+    key, size, power = mix(w + np.uint64(1)), 1, 0x9E3779B97F4A7C15
+    while size < width:
+        key = key[:-size] * np.uint64(power) + key[size:]
+        size, power = 2 * size, power * power % (1 << 64)
+    in_order = np.sort(key)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return 0
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
-        return 0
     a, b = order[1:][same], order[:-1][same]
     if not all(np.array_equal(w[a + j], w[b + j]) for j in range(width)):  # hashes collided: compare the windows themselves
         windows = Counter(tuple(words[i : i + width]) for i in range(n))
@@ -275,7 +278,8 @@ def measure(docs: DataFrame, model: DataFrame, keep: list[str], text: str = "tex
         ppl = np.zeros(len(texts))
         for first, group in _groups(texts):
             g, starts = grams(group)
-            ppl[first : first + len(group)] = _per_symbol(shared.value.log2(g), starts)
+            place, different = pd.factorize(g)
+            ppl[first : first + len(group)] = _per_symbol(shared.value.log2(different)[place], starts)
         return _ruled(texts).assign(log2_ppl=ppl)
 
     return add_columns(docs, keep, [text], _RULES + ", log2_ppl double", run)
