@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import family, ref
+from plumbline.sources.tables import stored
 
 
 def check_link(child: DataFrame, column: str, parent: DataFrame, target: str) -> DataFrame:
@@ -21,10 +22,10 @@ def check_link(child: DataFrame, column: str, parent: DataFrame, target: str) ->
 def discover_links(tables: Mapping[str, DataFrame], min_distinct: int = 2) -> DataFrame:
     """(child_table, child_column, parent_table, parent_column, distinct_values): all values of the child column are in a unique parent column of another table.
 
-    Integer and text columns are reduced to their different values once; all candidate pairs are counted in one join on
-    the value, so work grows with the values, not with the pairs of tables.
+    Integer and text columns are reduced to their different values once; pairs of columns that differ in kind, or whose
+    counts and extremes rule a link out, are left aside, and the values of the others are counted in one join.
     """
-    rows, sizes = None, None
+    rows = None
     for name, df in tables.items():
         # integers of all widths compare; kind keeps them apart from texts
         cols = [f for f in df.schema.fields if f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") or family(f.dataType) == "text"]
@@ -36,11 +37,19 @@ def discover_links(tables: Mapping[str, DataFrame], min_distinct: int = 2) -> Da
         rows = n if rows is None else rows.unionByName(n)
     if rows is None:
         raise ValueError("no table has a column that could be linked")
-    sizes = rows.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("most"))
-    sized = rows.join(F.broadcast(sizes), ["table_name", "column_name"]).where(F.col("d") >= min_distinct)
-    parent = sized.where("most = 1").select("kind", "v", F.col("table_name").alias("parent_table"), F.col("column_name").alias("parent_column"))
-    child = sized.select("kind", "v", F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column"), F.col("d").alias("distinct_values"))
-    met = child.join(parent, ["kind", "v"]).where("child_table <> parent_table").groupBy("child_table", "child_column", "parent_table", "parent_column", "distinct_values").agg(F.count(F.lit(1)).alias("met"))
+    rows = stored(rows.withColumn("number", F.when(F.col("kind") == "integer", F.col("v").cast("long"))), "values")
+    ends = [f(c).alias(f"{side}_{c}") for c in ("v", "number") for f, side in ((F.min, "lo"), (F.max, "hi"))]
+    sizes = stored(rows.groupBy("table_name", "column_name", "kind").agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("most"), *ends).where(F.col("d") >= min_distinct), "sizes")
+    # a pair of columns is worth a look if the child's values are no more and reach no further than the parent's; a row for each pair of columns
+    c, p = (sizes.select(*[F.col(x).alias(f"{side}_{x}") for x in sizes.columns]) for side in ("child", "parent"))
+    within = lambda x: (F.col(f"child_lo_{x}") >= F.col(f"parent_lo_{x}")) & (F.col(f"child_hi_{x}") <= F.col(f"parent_hi_{x}"))
+    fits = (F.col("parent_most") == 1) & (F.col("child_d") <= F.col("parent_d")) & F.when(F.col("child_kind") == "integer", within("number")).otherwise(within("v"))
+    pairs = c.join(p, (F.col("child_kind") == F.col("parent_kind")) & (F.col("child_table_name") != F.col("parent_table_name"))).where(fits)
+    names = ["child_table", "child_column", "parent_table", "parent_column"]
+    pairs = stored(pairs.select(*[F.col(f"{n}_name").alias(n) for n in names], F.col("child_d").alias("distinct_values")), "pairs")
+    child = rows.select("v", F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column")).join(F.broadcast(pairs), names[:2])
+    parent = rows.select("v", F.col("table_name").alias("parent_table"), F.col("column_name").alias("parent_column"))
+    met = child.join(parent, ["v", *names[2:]]).groupBy(*names, "distinct_values").agg(F.count(F.lit(1)).alias("met"))
     return met.where("met = distinct_values").drop("met")
 
 

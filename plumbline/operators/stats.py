@@ -28,6 +28,8 @@ PATTERNS = (
     ("alphanumeric", r"^[A-Za-z0-9]+\z"),
     ("symbolic", r"^[^A-Za-z0-9]+\z"),
 )
+#: Metric groups; moments are variance, deviation, skewness and kurtosis.
+GROUPS = ("text", "numeric", "moments", "datetime")
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 ENTROPY_DISTINCT = 10_000
 CORRELATED_COLUMNS = 12
@@ -42,17 +44,18 @@ def _columns(df: DataFrame, columns: Sequence[str] | None, by: Sequence[str]) ->
     return [f for f in df.schema.fields if f.name not in by and (columns is None or f.name in columns)]
 
 
-def _metrics(f: T.StructField, ordinal: int, as_of: Column) -> Column:
-    """The metrics of one column as a struct of aggregates."""
-    c, kind, none = ref(f.name), family(f.dataType), F.lit(None)
+def _metrics(f: T.StructField, ordinal: int, as_of: Column, groups: Sequence[str]) -> Column:
+    """The metrics of one column as a struct of aggregates; those of other groups are null or zero and cost nothing."""
+    c, none = ref(f.name), F.lit(None)
+    kind = family(f.dataType)
     total, filled = F.count(F.lit(1)), F.count(c)
-    num = c.cast("double") if kind == "numeric" else none.cast("double")
-    stat = lambda f_: f_(num) if kind == "numeric" else none.cast("double")
+    numeric, dates, text = (kind == k and k in groups for k in ("numeric", "datetime", "text"))
+    num = c.cast("double")
+    stat = lambda f_, group="numeric": f_(num) if kind == "numeric" and group in groups else none.cast("double")
     zero = F.lit(0).cast("long")
-    ends = kind in ("numeric", "datetime")
+    ends = numeric or dates
     micros = lambda x: F.unix_micros(x.cast("timestamp"))
-    future = F.count_if(c > as_of) if kind == "datetime" else zero
-    text = kind == "text"
+    future = F.count_if(c > as_of) if dates else zero
     return F.struct(
         F.lit(ordinal).alias("ordinal"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.lit(kind).alias("family"), F.lit(f.nullable).alias("nullable"),
         total.alias("total_rows"), (total - filled).alias("null_count"), percentage(total - filled, total).alias("null_percentage"),
@@ -61,15 +64,15 @@ def _metrics(f: T.StructField, ordinal: int, as_of: Column) -> Column:
         (F.avg(F.length(c)) if text else none.cast("double")).alias("avg_length"),
         (F.min(c).cast("string") if ends else none.cast("string")).alias("min"), (F.max(c).cast("string") if ends else none.cast("string")).alias("max"),
         stat(F.min).alias("min_num"), stat(F.max).alias("max_num"), stat(F.avg).alias("avg"), stat(F.sum).alias("sum"),
-        (F.count_if(c == 0) if kind == "numeric" else zero).alias("zero_count"),
-        stat(F.var_pop).alias("variance"), stat(F.stddev_pop).alias("stddev"), stat(F.skewness).alias("skewness"), stat(F.kurtosis).alias("kurtosis"),
-        future.alias("future_date_count"), (percentage(future, filled) if kind == "datetime" else F.lit(0.0)).alias("future_date_percentage"),
-        ((micros(F.max(c)) - micros(F.min(c))) / F.lit(86_400e6) if kind == "datetime" else none.cast("double")).alias("date_range_days"),
+        (F.count_if(c == 0) if numeric else zero).alias("zero_count"),
+        stat(F.var_pop, "moments").alias("variance"), stat(F.stddev_pop, "moments").alias("stddev"), stat(F.skewness, "moments").alias("skewness"), stat(F.kurtosis, "moments").alias("kurtosis"),
+        future.alias("future_date_count"), (percentage(future, filled) if dates else F.lit(0.0)).alias("future_date_percentage"),
+        ((micros(F.max(c)) - micros(F.min(c))) / F.lit(86_400e6) if dates else none.cast("double")).alias("date_range_days"),
     )
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None) -> DataFrame:
-    """One row per column with every statistic that a single scan gives; no statistics of an empty group."""
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None, groups: Sequence[str] = GROUPS) -> DataFrame:
+    """One row per column with every statistic of the metric ``groups`` that a single scan gives (counts always); no statistics of an empty group."""
     as_of = F.current_timestamp() if as_of is None else as_of
     fields = _columns(df, columns, by)
     order = {f.name: i for i, f in enumerate(df.schema.fields, 1)}
@@ -77,7 +80,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
     for i in range(0, max(1, len(fields)), COLUMN_BATCH):
         part = fields[i : i + COLUMN_BATCH]
         grouped = df.groupBy(*by) if by else df
-        rows = grouped.agg(F.array(*[_metrics(f, order[f.name], as_of) for f in part]).alias("m")).select(*by, F.inline("m"))
+        rows = grouped.agg(F.array(*[_metrics(f, order[f.name], as_of, groups) for f in part]).alias("m")).select(*by, F.inline("m"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -99,19 +102,23 @@ def distinct_counts(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return freq.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("filled"), F.max("n").alias("top_n"))
 
 
-def top_values(freq: DataFrame, totals: DataFrame, by: Sequence[str] = (), k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values of each column, ties by value; percentage of all rows. ``totals`` has (by, column_name, total_rows)."""
+def top_values(freq: DataFrame, totals: DataFrame, df: DataFrame, by: Sequence[str] = (), k: int = 10) -> DataFrame:
+    """The ``k`` most frequent values of each column of ``df``, ties by value (long texts by digest); percentage of all rows. ``totals`` has (by, column_name, total_rows)."""
     w = Window.partitionBy(*by, "column_name").orderBy(F.col("n").desc(), "value")
     top = freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(totals.select(*by, "column_name", "total_rows"), [*by, "column_name"]).select(*by, "column_name", F.col("rank").cast("long").alias("rank"), "value", "long", F.col("n").alias("count"), percentage(F.col("n"), F.col("total_rows")).alias("percentage"))
+    if of_family(df, "text", list(by)):
+        top = top.join(long_values(df, top, by), ["column_name", "value", "long"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
+    return top.join(totals.select(*by, "column_name", "total_rows"), [*by, "column_name"]).select(*by, "column_name", F.col("rank").cast("long").alias("rank"), "value", F.col("n").alias("count"), percentage(F.col("n"), F.col("total_rows")).alias("percentage"))
 
 
-def long_values(df: DataFrame, top: DataFrame) -> DataFrame:
-    """(column_name, value, text): the texts behind the digests among ``top`` (ten rows a column, so it is broadcast)."""
-    wanted = top.where("long").select("column_name", "value").distinct()
-    texts = df.select(*[ref(c).alias(c) for c in of_family(df, "text")])
-    rows = texts.unpivot([], texts.columns, "column_name", "text").where(F.length("text") > LONG_TEXT).withColumn("value", F.sha2("text", 256))
-    return rows.join(F.broadcast(wanted), ["column_name", "value"]).groupBy("column_name", "value").agg(F.min("text").alias("text"))
+def long_values(df: DataFrame, top: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(column_name, value, long, text): the texts behind the digests among ``top``; few of them, so Spark broadcasts them as long as they are."""
+    wanted = top.where("long").select("column_name", "value", "long").distinct()
+    names = of_family(df, "text", list(by))
+    texts = df.select(*[ref(c).alias(f"_{i}") for i, c in enumerate(names)])
+    called = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (f"_{i}", c)])
+    rows = texts.unpivot([], texts.columns, "c", "text").where(F.length("text") > LONG_TEXT).select(called[F.col("c")].alias("column_name"), F.sha2("text", 256).alias("value"), "text")
+    return rows.join(wanted, ["column_name", "value"]).groupBy("column_name", "value", "long").agg(F.min("text").alias("text"))
 
 
 def entropy(freq: DataFrame, text_columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -239,15 +246,17 @@ def approx_distinct(df: DataFrame, columns: Sequence[str] | None = None, rsd: fl
 
 
 def partial_states(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Mergeable statistics of numeric columns for each part of a table: counts, sums, power sums, extremes and an HLL sketch."""
+    """Mergeable statistics of numeric columns for each part of a table: counts, sum, mean, squared deviations from it (m2), extremes and an HLL sketch."""
     names = [c for c in of_family(df, "numeric", list(by)) if columns is None or c in columns]
     v = {c: ref(c).cast("double") for c in names}
-    one = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count(v[c]).alias("n"), F.sum(v[c]).alias("s1"), F.sum(v[c] * v[c]).alias("s2"), F.min(v[c]).alias("lo"), F.max(v[c]).alias("hi"), F.hll_sketch_agg(v[c].cast("string")).alias("sketch"))
+    one = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count(v[c]).alias("n"), F.sum(v[c]).alias("s1"), F.avg(v[c]).alias("mean"), (F.var_pop(v[c]) * F.count(v[c])).alias("m2"), F.min(v[c]).alias("lo"), F.max(v[c]).alias("hi"), F.hll_sketch_agg(v[c].cast("string")).alias("sketch"))
     return df.groupBy(*by).agg(F.array(*[one(c) for c in names]).alias("m")).select(*by, F.inline("m"))
 
 
 def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Statistics of the union of parts from their states, without their rows."""
-    m = states.groupBy(*by, "column_name").agg(F.sum("rows").alias("total_rows"), F.sum("n").alias("n"), F.sum("s1").alias("sum"), F.sum("s2").alias("s2"), F.min("lo").alias("min_num"), F.max("hi").alias("max_num"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct_count"))
-    mean = F.try_divide(F.col("sum"), F.col("n"))
-    return m.select(*by, "column_name", "total_rows", (F.col("total_rows") - F.col("n")).alias("null_count"), mean.alias("avg"), "sum", F.greatest(F.try_divide(F.col("s2"), F.col("n")) - mean * mean, F.when(F.col("n") > 0, 0.0)).alias("variance"), "min_num", "max_num", "approx_distinct_count")
+    """Statistics of the union of parts from their states, without their rows. Deviations are moved to the common mean, so large numbers lose no digits."""
+    key = [*by, "column_name"]
+    common = states.groupBy(*key).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("avg"))
+    moved = F.col("m2") + F.col("n") * (F.col("mean") - F.col("avg")) * (F.col("mean") - F.col("avg"))
+    m = states.join(common, key).groupBy(*key, "avg").agg(F.sum("rows").alias("total_rows"), F.sum("n").alias("n"), F.sum("s1").alias("sum"), F.sum(moved).alias("m2"), F.min("lo").alias("min_num"), F.max("hi").alias("max_num"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct_count"))
+    return m.select(*key, "total_rows", (F.col("total_rows") - F.col("n")).alias("null_count"), "avg", "sum", F.try_divide(F.col("m2"), F.col("n")).alias("variance"), "min_num", "max_num", "approx_distinct_count")

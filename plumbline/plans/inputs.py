@@ -16,4 +16,13 @@ DIRTY_CONTACTS = """SELECT c_custkey AS customer_id,
   CASE WHEN c_custkey % 5 < 3 THEN 'ABCDE1234F' ELSE '123412341234' END AS doc,
   concat('0000000', CAST(c_custkey % 8 AS STRING), '-0000-4000-8000-000000000000') AS token,
   c_mktsegment AS segment FROM {t}"""
+#: Two states of a table: the second has another type, a column less and one more, nulls, outliers, other contents and repeated rows.
+STATE_1 = """SELECT c_custkey AS id, concat('user', CAST(c_custkey % 6 AS STRING), '@example.com') AS contact, c_acctbal AS amount, c_nationkey AS score, c_mktsegment AS segment, 'X' AS flag, c_name AS gone FROM {t}"""
+_STATE_2 = """SELECT c_custkey AS id, concat('+1 555 000 ', lpad(CAST(c_custkey % 5 AS STRING), 4, '0')) AS contact,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 16 = 0 THEN CAST(10000000 AS DOUBLE) ELSE c_acctbal END AS amount, CAST(c_nationkey AS DOUBLE) AS score,
+  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS segment, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'X' END AS flag, c_mktsegment AS extra FROM {t}"""
+STATE_2 = f"{_STATE_2} UNION ALL {_STATE_2} WHERE c_custkey % 10 = 0"
+#: Headers that name personal data, over values that fit them fully, by half and not at all.
+HEADED = """SELECT CASE WHEN c_custkey % 10 = 0 THEN 'none' ELSE concat('user', CAST(c_custkey % 6 AS STRING), '@example.com') END AS email,
+  CASE WHEN c_custkey % 5 < 3 THEN concat('+1 555 000 ', lpad(CAST(c_custkey % 4 AS STRING), 4, '0')) ELSE 'n/a' END AS phone, c_mktsegment AS name, c_mktsegment AS ip_address FROM {t}"""
 AS_OF = "1999-06-01 00:00:00"

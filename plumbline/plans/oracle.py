@@ -53,9 +53,10 @@ def _dates(name: str, c: str) -> str:
     return f"SELECT '{name}' AS table_name, '{c}' AS column_name, CAST(min({c}) AS TIMESTAMP) AS min_ts, CAST(max({c}) AS TIMESTAMP) AS max_ts, {later} AS future_date_count, round({_pct(later, f'count({c})')}, 6) AS future_date_percentage, round((epoch_us(max({c})) - epoch_us(min({c}))) / 86400e6, 6) AS date_range_days FROM {name}"
 
 
-def _top(name: str, table: str, c: str, value: str = "") -> str:
-    value = value or f"CAST({c} AS VARCHAR)"
-    return f"SELECT '{name}' AS table_name, '{c}' AS column_name, rank, value, count, round(100.0 * count / total, 6) AS percentage FROM (SELECT value, n AS count, total, row_number() OVER (ORDER BY n DESC, value) AS rank FROM (SELECT {value} AS value, count(*) AS n, (SELECT count(*) FROM ({table})) AS total FROM ({table}) WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= 10"
+def _top(name: str, table: str, c: str, tie: str = "") -> str:
+    """``tie``: what orders values of equal count."""
+    value = f"CAST({c} AS VARCHAR)"
+    return f"SELECT '{name}' AS table_name, '{c}' AS column_name, rank, value, count, round(100.0 * count / total, 6) AS percentage FROM (SELECT value, n AS count, total, row_number() OVER (ORDER BY n DESC, {tie or 'value'}) AS rank FROM (SELECT {value} AS value, count(*) AS n, (SELECT count(*) FROM ({table})) AS total FROM ({table}) WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= 10"
 
 
 def _like(value: str, pattern: str) -> str:
@@ -118,10 +119,10 @@ def _header() -> str:
     return f"SELECT table_name, column_name, label FROM (SELECT table_name, column_name, {case} AS label FROM duckdb_columns() WHERE table_name IN ({tables})) WHERE label IS NOT NULL"
 
 
-def _profile(table: str, by: str, as_of: str) -> str:
+def _profile(table: str, by: str, as_of: str, columns=DIRTY) -> str:
     """A row per column (and ``by``) with what checks and drift need."""
     out = []
-    for c, family in DIRTY:
+    for c, family in columns:
         text, number, date = family == "text", family == "numeric", family == "datetime"
         far = f"count(*) FILTER (s > 0 AND abs({c} - m) > 3 * s)" if number else "0"
         source = f"SELECT *, {f'avg({c}) OVER w AS m, stddev_pop({c}) OVER w AS s' if number else '0 AS m, 0 AS s'}, CASE WHEN {c} IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY {by}, {c}) END AS top FROM (SELECT * FROM ({table})) WINDOW w AS (PARTITION BY {by})"
@@ -182,6 +183,51 @@ def _drift() -> str:
 _CHANGES = "SELECT CAST(g AS VARCHAR) AS snapshot_id, column_name, kind, severity, old_value, new_value FROM"
 
 
+STATE_1, STATE_2 = inputs.STATE_1.format(t="customer"), inputs.STATE_2.format(t="customer")
+_SHARED = (("id", "numeric"), ("contact", "text"), ("amount", "numeric"), ("score", "numeric"), ("segment", "text"), ("flag", "text"))
+_NOW = "TIMESTAMP '1999-06-02 00:00:00'"
+_P1, _P2 = _profile(STATE_1, "1", _NOW, (*_SHARED, ("gone", "text"))), _profile(STATE_2, "2", _NOW, (*_SHARED, ("extra", "text")))
+_DUP1, _DUP2 = (f"SELECT {g} AS g, sum(n - 1) AS d FROM (SELECT *, count(*) AS n FROM ({t}) GROUP BY ALL)" for g, t in ((1, STATE_1), (2, STATE_2)))
+
+
+def _label(table: str, c: str) -> str:
+    """By the values of a column alone, whose ten most frequent are all it has."""
+    top = f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM ({table}) GROUP BY 2"
+    return f"(SELECT label FROM ({_ratios(top)}) WHERE ratio >= 0.5 ORDER BY {_RANK} LIMIT 1)"
+
+
+def _run_drift() -> str:
+    severity = queries.drift.SEVERITY
+    row = lambda name, kind, old, new, source: f"SELECT {name} AS column_name, '{kind}' AS kind, '{severity[kind]}' AS severity, {old} AS old_value, {new} AS new_value FROM {source}"
+    met = f"({_P1}) a JOIN ({_P2}) b ON b.column_name = a.column_name"
+    text = lambda v: f"CAST(round(CAST({v} AS DOUBLE), 4) AS VARCHAR)"
+    parts = [
+        row("'gone'", "removed", "'string'", "CAST(NULL AS VARCHAR)", "(SELECT 1)"), row("'extra'", "added", "CAST(NULL AS VARCHAR)", "'string'", "(SELECT 1)"),
+        row("'score'", "type", "'int'", "'double'", f"(SELECT typeof(score) AS x FROM ({STATE_1}) LIMIT 1), (SELECT typeof(score) AS y FROM ({STATE_2}) LIMIT 1) WHERE x <> y"),
+        # a literal has no nulls, what a CASE may leave out has
+        row("'flag'", "nullability", "'false'", "'true'", f"(SELECT count(flag) = count(*) AS x FROM ({STATE_1})), (SELECT count(flag) < count(*) AS y FROM ({STATE_2})) WHERE x AND y"),
+        row("'contact'", "pii", "x", "y", f"(SELECT {_label(STATE_1, 'contact')} AS x, {_label(STATE_2, 'contact')} AS y) WHERE x <> y"),
+    ]
+    for f, least in (("distinct_count", None), ("null_percentage", 10), ("distinct_percentage", 10), ("outlier_percentage", 5)):
+        parts.append(row("a.column_name", f, text(f"a.{f}"), text(f"b.{f}"), f"{met} WHERE {'b.distinct_count <> a.distinct_count' if least is None else f'abs(b.{f} - a.{f}) >= {least}'}"))
+    scores = [f"SELECT CAST(greatest(0, 100 - sum(points)) AS DOUBLE) AS v FROM ({_checks(p, d, _DEFAULT)})" for p, d in ((_P1, _DUP1), (_P2, _DUP2))]
+    for kind, (one, two) in (("score", scores), ("duplicate_rows", [f"SELECT d AS v FROM ({d})" for d in (_DUP1, _DUP2)])):
+        parts.append(row("CAST(NULL AS VARCHAR)", kind, text("a.v"), text("b.v"), f"({one}) a, ({two}) b WHERE a.v <> b.v"))
+    return _union(parts)
+
+
+def _headed() -> str:
+    table = inputs.HEADED.format(t="customer")
+    ratio = lambda c, label: f"coalesce((SELECT ratio FROM ({_ratios(_top10(table, c))}) WHERE label = '{label}'), 0)"
+    rows = [("email", "email", "0.75"), ("phone", "phone", "0.75"), ("name", "person_name", "0.65"), ("ip_address", "address", "0.75")]
+    case = lambda c, label, plain: f"CASE WHEN {ratio(c, label)} >= 0.8 THEN 0.95 WHEN {ratio(c, label)} >= 0.5 THEN 0.85 ELSE {plain} END" if label != "person_name" else plain
+    return _union(f"SELECT '{c}' AS column_name, '{label}' AS pii, CAST({case(c, label, plain)} AS DOUBLE) AS pii_confidence" for c, label, plain in rows)
+
+
+def _top10(table: str, c: str) -> str:
+    return f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n FROM ({table}) WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10"
+
+
 def _fk_check() -> str:
     return _union(f"SELECT '{a}.{c}' AS child, '{b}.{p}' AS parent, count({c}) AS filled_rows, count(*) FILTER ({c} IS NOT NULL AND NOT ok) AS orphan_rows, round({_pct(f'(count({c}) - count(*) FILTER ({c} IS NOT NULL AND NOT ok))', f'count({c})')}, 6) AS match_percentage FROM (SELECT {c}, {c} IN (SELECT {p} FROM {b}) AS ok FROM {a})" for a, c, b, p in queries.LINKS)
 
@@ -197,7 +243,7 @@ def _fk_discover() -> str:
 
 
 def _partitions() -> str:
-    return _union(f"SELECT event_type, '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, round(avg({c}), 2) AS avg, round(CAST(sum({c}) AS DOUBLE), 2) AS sum, round(CAST(min({c}) AS DOUBLE), 2) AS min_num, round(CAST(max({c}) AS DOUBLE), 2) AS max_num FROM events GROUP BY event_type" for c in ("value", "user_id"))
+    return _union(f"SELECT event_type, '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, round(avg({c}), 2) AS avg, round(CAST(sum({c}) AS DOUBLE), 2) AS sum, round(CAST(min({c}) AS DOUBLE), 2) AS min_num, round(CAST(max({c}) AS DOUBLE), 2) AS max_num, round(var_pop({c}), 2) AS variance, count(DISTINCT {c}) AS distinct_count FROM events GROUP BY event_type" for c in ("value", "user_id"))
 
 
 def _lineitem() -> str:
@@ -216,11 +262,14 @@ def _lineitem() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    doc = "CASE WHEN length(text) > 256 THEN sha256(text) ELSE text END"
+    doc = "CASE WHEN length(value) > 256 THEN sha256(value) ELSE value END"
     lengths = _union(f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER ({c} = '') AS empty_count, count(*) FILTER ({c} <> '' AND trim({c}) = '') AS whitespace_count, {BIG(f'coalesce(min(length({c})), 0)')} AS min_length, {BIG(f'coalesce(max(length({c})), 0)')} AS max_length, round(avg(length({c})), 6) AS avg_length FROM ({ORDERS})" for c in ("name", "constant_col"))
     month = "SELECT 'o_orderdate' AS column_name, period, n AS count, round(100.0 * n / t, 6) AS percentage FROM (SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, (SELECT count(*) FROM orders) AS t FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 12)"
     masked = "regexp_replace(regexp_replace(regexp_replace(t.value, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"
-    close = ", ".join(f"true AS {p}" for p in queries._PERCENTILES)
+    ranks = lambda c, v: f"SELECT '{c}' AS column_name, " + ", ".join(f"CAST(quantile_disc({v}, {p}) AS DOUBLE) AS p{round(100 * p)}" for p in stats.PERCENTILES) + " FROM lineitem"
+    fields = {"orders": (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")), "lineitem": LINEITEM}
+    basic = [f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) AS total_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, round(100.0 * count(DISTINCT {c}) / count(*), 3) AS distinct_percentage, (SELECT round(100.0 * max(n) / sum(n), 3) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {c})) AS top_percentage, {f'round(avg({c}), 3)' if t in ('bigint', 'double') else 'CAST(NULL AS DOUBLE)'} AS avg, {f'round(stddev_pop({c}), 3)' if t in ('bigint', 'double') else 'CAST(NULL AS DOUBLE)'} AS stddev, false AS more FROM lineitem" for c, t in LINEITEM if c in ("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")]
+    before = f"SELECT snapshot_id, created_at, total_rows, {BIG('d.d')} AS duplicate_rows, score FROM ({_SNAPSHOTS}) s JOIN ({_DY}) d ON CAST(d.g AS VARCHAR) = s.snapshot_id WHERE created_at < TIMESTAMP '1999-01-01 00:00:00' ORDER BY created_at DESC LIMIT 1"
     return {
         "column_completeness": _completeness("SELECT * FROM lineitem", [c for c, _ in LINEITEM]),
         "text_blank_stats": lengths,
@@ -237,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "numeric_correlations": f"SELECT * FROM ({_correlations()}) WHERE coefficient IS NOT NULL AND NOT isnan(coefficient)",
         "duplicate_rows": _DUPLICATES,
         "duplicate_rows_fingerprint": _DUPLICATES,
-        "keyed_sample_profile": _completeness("SELECT * FROM orders WHERE (o_orderkey * 7919) % 1000 < 100", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+        "keyed_sample_profile": _completeness("SELECT * FROM orders WHERE (o_orderkey * 7919) % 1000000 < 100000", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
         "pii_header": _header(),
         "pii_value_ratio": f"SELECT column_name, label, round(ratio, 6) AS ratio FROM ({_ratios(_CONTACT_VALUES)})",
         "pii_detect": _CONTACT_LABELS,
@@ -252,8 +301,14 @@ def oracle_sql() -> dict[str, str]:
         "drift_report": f"SELECT CAST(b.g AS VARCHAR) AS snapshot_id, coalesce(n, 0) > 0 AS changed, b.score - a.score AS score_delta, coalesce(n, 0) AS n_changes FROM ({_SCORES}) a JOIN ({_SCORES}) b ON b.g = a.g + 1 LEFT JOIN (SELECT g, count(*) AS n FROM ({_drift()}) GROUP BY 1) c ON c.g = b.g",
         "fk_check": _fk_check(),
         "fk_discover": _fk_discover(),
-        "approx_distinct": _union(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, true AS close FROM lineitem" for c, _ in LINEITEM),
-        "approx_percentiles": f"SELECT unnest(['l_quantity', 'l_extendedprice']) AS column_name, {close}",
+        "discover_columns": _union(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {BIG(i)} AS ordinal, '{kind}' AS data_type, true AS nullable, count(*) AS total_rows, count(*) - count({c}) AS null_count FROM {t}" for t, cs in fields.items() for i, (c, kind) in enumerate(cs, 1)),
+        "snapshot_previous": _union(f"SELECT '{x}' AS table_name, * FROM ({before})" for x in ("table", "json")),
+        "run_checks": f"SELECT * EXCLUDE (g) FROM ({_checks(_P2, _DUP2, _DEFAULT)})",
+        "run_drift": _run_drift(),
+        "pii_headed": _headed(),
+        "basic_tier_columns": _union(basic),
+        "approx_distinct": _union(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count FROM lineitem" for c, _ in LINEITEM),
+        "approx_percentiles": _union([ranks("l_quantity", "l_quantity"), ranks("thousands", "CAST(floor(l_extendedprice / 1000) AS BIGINT)")]),
         "profile_by_partition": _partitions(),
         "profile_lineitem": _lineitem(),
     }

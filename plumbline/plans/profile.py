@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import of_family, percentage
 from plumbline.operators import drift, pii, quality, stats
 from plumbline.sources import history
-from plumbline.sources.tables import sample_rows
+from plumbline.sources.tables import sample_rows, stored
 
 
-def column_profiles(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None, tier: str = "deep", header_match: str = "contains") -> DataFrame:
+def column_profiles(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None, tier: str = "deep", header_match: str = "contains", base: DataFrame | None = None, freq: DataFrame | None = None) -> DataFrame:
     """One row per column with all scalar metrics, its PII label and its most frequent value's share.
 
-    tier: basic (one scan and value counts), standard (and outliers, entropy), deep (and percentiles).
+    tier: basic (one scan and value counts), standard (and outliers, entropy), deep (and percentiles). ``base`` and
+    ``freq`` (from column_stats and value_freq) are computed and stored once unless given.
     """
     by = list(by)
     key = [*by, "column_name"]
-    base = stats.column_stats(df, columns, by, as_of)
-    freq = stats.value_freq(df, columns, by)
+    base = stored(stats.column_stats(df, columns, by, as_of), "base") if base is None else base
+    freq = stored(stats.value_freq(df, columns, by), "freq") if freq is None else freq
     size = stats.distinct_counts(freq, by).drop("filled")
     out = base.join(size, key, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     out = out.withColumn("distinct_percentage", percentage(F.col("distinct_count"), F.col("total_rows"))).withColumn("top_percentage", percentage(F.coalesce("top_n", F.lit(0)), F.col("total_rows"))).drop("top_n")
@@ -34,7 +35,7 @@ def column_profiles(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
     for name in ("outlier_count", "outlier_percentage"):
         zero = F.lit(0).cast("long") if name.endswith("count") else F.lit(0.0)
         out = out.withColumn(name, F.coalesce(F.col(name), zero) if name in out.columns else zero)
-    top = stats.top_values(freq, base, by)
+    top = stats.top_values(freq, base, df, by)
     return out.join(pii.detect(base.select(*key), top, by, header_match), key, "left")
 
 
@@ -56,21 +57,22 @@ def profile_table(df: DataFrame, sample: int = 0, columns: Sequence[str] | None
     """All metrics of a table. A sample is counted first and drawn once; percentages refer to the rows drawn."""
     if sample > 0:
         df = sample_rows(df, sample, df.count()).persist()
-    base = stats.column_stats(df, columns, as_of=as_of)
-    freq = stats.value_freq(df, columns)
-    return TableProfile(df, column_profiles(df, columns, (), as_of, tier), stats.duplicate_rows(df), stats.top_values(freq, base), stats.string_patterns(df, columns), stats.histogram(df, base, columns), stats.date_distribution(df, columns), stats.correlations(df, columns))
+    base = stored(stats.column_stats(df, columns, as_of=as_of), "base")
+    freq = stored(stats.value_freq(df, columns), "freq")
+    return TableProfile(df, column_profiles(df, columns, (), as_of, tier, base=base, freq=freq), stats.duplicate_rows(df), stats.top_values(freq, base, df), stats.string_patterns(df, columns), stats.histogram(df, base, columns), stats.date_distribution(df, columns), stats.correlations(df, columns))
 
 
 def run_profile(df: DataFrame, schema_name: str, table_name: str, snapshot_id: str, created_at: Column, path: str, rules: quality.QualityRules = quality.QualityRules(), as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """Profile, label, check, compare with the table's last snapshot under ``path``, then save. Returns the checks and the drift changes (empty for a first snapshot)."""
     tag = {"schema_name": F.lit(schema_name), "table_name": F.lit(table_name), "snapshot_id": F.lit(snapshot_id), "created_at": created_at}
-    columns = column_profiles(df, as_of=as_of if as_of is not None else created_at)
-    duplicates = stats.duplicate_rows(df)
-    checked = quality.checks(columns, duplicates, rules)
+    mine = (F.col("schema_name") == schema_name) & (F.col("table_name") == table_name)
+    history.save(column_profiles(df, as_of=as_of if as_of is not None else created_at).withColumns(tag), f"{path}/columns")
+    # from here on the saved rows, so that nothing is computed twice
+    saved = history.load(df.sparkSession, f"{path}/columns").where(mine & (F.col("snapshot_id") == snapshot_id)).drop(*tag)
+    duplicates = stored(stats.duplicate_rows(df), "duplicates")
+    checked = stored(quality.checks(saved, duplicates, rules), "checks")
     table = duplicates.crossJoin(F.broadcast(quality.score(checked)))  # one row each
-    history.save(columns.withColumns(tag), f"{path}/columns")
     history.save(table.withColumns(tag), f"{path}/tables")
     spark = df.sparkSession
-    mine = (F.col("schema_name") == schema_name) & (F.col("table_name") == table_name)
     tables, all_columns = history.load(spark, f"{path}/tables").where(mine), history.load(spark, f"{path}/columns").where(mine)
     return checked, drift.changes(all_columns, tables).where(F.col("snapshot_id") == snapshot_id)

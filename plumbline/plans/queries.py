@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import drift, links, pii, quality, stats
 from plumbline.plans import inputs
-from plumbline.plans.profile import column_profiles, profile_table
+from plumbline.plans.profile import column_profiles, profile_table, run_profile
 from plumbline.sources import history
-from plumbline.sources.tables import discover_columns
+from plumbline.sources.tables import discover_columns, keyed_sample, shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,12 +44,16 @@ def _tagged(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns of orders and lineitem."""
-    return _tagged([(t, discover_columns(_table(spark, sf_dir, t))) for t in ("orders", "lineitem")])
+    """Columns of orders and lineitem, and how far each is filled."""
+    out = []
+    for t in ("orders", "lineitem"):
+        df = _table(spark, sf_dir, t)
+        out.append((t, discover_columns(df).join(stats.column_stats(df, groups=()).select("column_name", "total_rows", "null_count"), "column_name")))
+    return _rounded(_tagged(out))
 
 
 def completeness(df: DataFrame) -> DataFrame:
-    p = stats.column_stats(df).join(stats.distinct_counts(stats.value_freq(df)).drop("filled", "top_n"), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    p = stats.column_stats(df, groups=()).join(stats.distinct_counts(stats.value_freq(df)).drop("filled", "top_n"), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     pct = F.when(F.col("total_rows") > 0, 100.0 * F.col("distinct_count") / F.col("total_rows")).otherwise(0.0)
     return p.select("column_name", "total_rows", "null_count", "null_percentage", "distinct_count", pct.alias("distinct_percentage"))
 
@@ -105,7 +110,7 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for name, cols in (("events", ["event_type", "user_id"]), ("part", ["p_brand", "p_type", "p_size"]), ("documents", ["text"])):
         df = _table(spark, sf_dir, name)
-        out.append((name, stats.top_values(stats.value_freq(df, cols), stats.column_stats(df, cols)).drop("long")))
+        out.append((name, stats.top_values(stats.value_freq(df, cols), stats.column_stats(df, cols, groups=()), df)))
     return _rounded(_tagged(out))
 
 
@@ -133,8 +138,8 @@ def duplicate_rows_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_sample_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampling operator with a key rule that both engines know: a tenth of the orders."""
-    return _rounded(completeness(_table(spark, sf_dir, "orders").where("(o_orderkey * 7919) % 1000 < 100")))
+    """A tenth of the orders by a key hash that both engines know."""
+    return _rounded(completeness(keyed_sample(_table(spark, sf_dir, "orders"), ["o_orderkey"], 0.1, F.col("o_orderkey") * 7919)))
 
 
 def pii_header(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +150,7 @@ def pii_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _contacts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = _derived(spark, sf_dir, inputs.DIRTY_CONTACTS, "customer")
     base = stats.column_stats(df)
-    return base, stats.top_values(stats.value_freq(df), base)
+    return base, stats.top_values(stats.value_freq(df), base, df)
 
 
 def pii_value_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +195,8 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = _derived(spark, sf_dir, inputs.DIRTY_YEARS, "orders")
     made = F.make_timestamp_ntz(F.col("y") + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     tag = {"schema_name": F.lit("s"), "table_name": F.lit("orders"), "snapshot_id": F.col("y").cast("string"), "created_at": made}
-    columns = column_profiles(df, by=["y"], as_of=made, tier="standard")
-    dup = stats.duplicate_rows(df, ["y"])
+    columns = stored(column_profiles(df, by=["y"], as_of=made, tier="standard"), "columns")
+    dup = stored(stats.duplicate_rows(df, ["y"]), "duplicates")
     tables = dup.join(quality.score(quality.checks(columns, dup, by=["y"]), ["y"]), "y")
     return columns.withColumns(tag), tables.withColumns(tag)
 
@@ -206,6 +211,53 @@ def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(t.select("schema_name", "table_name", "snapshot_id", "created_at", "total_rows", "score"))
 
 
+def snapshot_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots saved as a table and loaded again, once as they are and once as JSON documents: the newest of each table before a time."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    tables = _snapshots(spark, sf_dir)[1]
+    history.save(tables, f"{path}/tables")
+    history.save(history.to_json(tables, "schema_name", "table_name"), f"{path}/json")
+    loaded = history.load(spark, f"{path}/tables")
+    parsed = history.from_json(history.load(spark, f"{path}/json"), tables)
+    out = []
+    for name, rows in (("table", loaded), ("json", parsed)):
+        rows = history.previous(rows, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz"))
+        out.append((name, rows.select(F.col("snapshot_id"), "created_at", "total_rows", "duplicate_rows", "score")))
+    return _rounded(_tagged(out))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Checks and drift of a second run over a table that has changed since the first."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    for i, sql in enumerate((inputs.STATE_1, inputs.STATE_2), 1):
+        out = run_profile(_derived(spark, sf_dir, sql, "customer"), "s", "t", str(i), F.lit(f"1999-06-0{i} 00:00:00").cast("timestamp_ntz"), path)
+    return out
+
+
+def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_runs(spark, sf_dir)[0])
+
+
+def run_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eleven kinds of change; numbers rounded, types and labels as they are."""
+    c = _runs(spark, sf_dir)[1]
+    shown = lambda v: F.coalesce(F.round(F.expr(f"try_cast({v} AS double)"), 4).cast("string"), F.col(v))
+    return c.select("column_name", "kind", "severity", shown("old_value").alias("old_value"), shown("new_value").alias("new_value"))
+
+
+def pii_headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that name a kind of personal data, backed by their values or not."""
+    df = _derived(spark, sf_dir, inputs.HEADED, "customer")
+    base = stats.column_stats(df, groups=())
+    return _rounded(pii.detect(base, stats.top_values(stats.value_freq(df), base, df)))
+
+
+def basic_tier_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basic tier over chosen columns: no outliers, entropy or percentiles."""
+    p = column_profiles(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"], as_of=_as_of(), tier="basic")
+    return _rounded(p.select("column_name", "data_type", "total_rows", "null_count", "distinct_count", "distinct_percentage", "top_percentage", "avg", "stddev", F.lit("entropy" in p.columns or "p50" in p.columns).alias("more")), 3)
+
+
 def drift_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All changes of all consecutive snapshots."""
     c = drift.changes(*_snapshots(spark, sf_dir))
@@ -245,26 +297,28 @@ def fk_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each estimate lies within a tenth of the exact count."""
+    """The estimates to one digit beside the exact counts that they come close to, within a tenth; else the estimate itself."""
     df = _table(spark, sf_dir, "lineitem")
     exact = stats.distinct_counts(stats.value_freq(df)).select("column_name", "distinct_count")
     met = stats.approx_distinct(df).join(exact, "column_name")
-    return met.select("column_name", "distinct_count", (F.abs(F.col("approx_distinct_count") - F.col("distinct_count")) <= 0.1 * F.col("distinct_count")).alias("close"))
+    near = F.abs(F.col("approx_distinct_count") - F.col("distinct_count")) <= 0.1 * F.col("distinct_count")
+    return met.select("column_name", F.when(near, F.col("distinct_count")).otherwise(F.col("approx_distinct_count")).alias("distinct_count"))
 
 
 def approx_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each estimate lies within two hundredths of the exact percentile."""
-    df, cols = _table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]
-    exact = stats.percentiles(df, cols).select("column_name", *[F.col(p).alias(f"e{p}") for p in _PERCENTILES])
-    met = stats.approx_percentiles(df, cols).join(exact, "column_name")
-    return met.select("column_name", *[(F.abs(F.col(p) - F.col(f"e{p}")) <= 0.02 * F.col(f"e{p}")).alias(p) for p in _PERCENTILES])
+    """The sketch's percentiles at an accuracy that makes them values at the exact ranks."""
+    df = _table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).cast("int").alias("thousands"))
+    return _rounded(stats.approx_percentiles(df, accuracy=1_000_000_000).select("column_name", *_PERCENTILES))
 
 
 def profile_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of each day of events, merged per event type without reading the rows again."""
     df = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "value", "user_id")
     merged = stats.merge_states(stats.partial_states(df, ["day", "event_type"]), ["event_type"])
-    return _rounded(merged.select("event_type", "column_name", "total_rows", "null_count", "avg", "sum", "min_num", "max_num"), 2)
+    exact = stats.distinct_counts(stats.value_freq(df.select("event_type", "value", "user_id"), by=["event_type"]), ["event_type"]).select("event_type", "column_name", "distinct_count")
+    met = merged.join(exact, ["event_type", "column_name"])
+    near = F.abs(F.col("approx_distinct_count") - F.col("distinct_count")) <= 0.1 * F.col("distinct_count")
+    return _rounded(met.select("event_type", "column_name", "total_rows", "null_count", "avg", "sum", F.col("variance"), "min_num", "max_num", F.when(near, F.col("distinct_count")).otherwise(F.col("approx_distinct_count")).alias("distinct_count")), 2)
 
 
 PROFILED = ("column_name", "data_type", "total_rows", "null_count", "distinct_count", "distinct_percentage", "top_percentage", "min_length", "max_length", "avg", "stddev", "p50", "p99", "outlier_count", "entropy", "pii", "pii_confidence")
@@ -277,7 +331,7 @@ def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         discover, column_completeness, text_blank_stats, numeric_basic, numeric_moments, numeric_percentiles, numeric_outliers, numeric_histogram, datetime_stats, date_distribution, top_values, string_patterns, text_entropy,
-        numeric_correlations, duplicate_rows, duplicate_rows_fingerprint, keyed_sample_profile, pii_header, pii_value_ratio, pii_detect, masked_top_values, quality_checks, quality_score, quality_custom_rules, snapshot_history, snapshot_latest,
+        numeric_correlations, duplicate_rows, duplicate_rows_fingerprint, keyed_sample_profile, pii_header, pii_value_ratio, pii_detect, masked_top_values, quality_checks, quality_score, quality_custom_rules, snapshot_history, snapshot_latest, snapshot_previous, run_checks, run_drift, pii_headed, basic_tier_columns,
         drift_history, drift_changes, drift_report, fk_check, fk_discover, approx_distinct, approx_percentiles, profile_by_partition, profile_lineitem,
     )
     return {("discover_columns" if f is discover else f.__name__): f for f in every}

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_FORMATS = ("parquet", "orc", "json", "csv")
@@ -50,15 +50,18 @@ def sample_rows(df: DataFrame, size: int, total: int, seed: int = 42) -> DataFra
     return df.sample(False, min(1.0, size / total), seed).limit(size)
 
 
-def keyed_sample(df: DataFrame, keys: Sequence[str], fraction: float) -> DataFrame:
-    """The same rows on every run and partitioning: those whose key hash falls below ``fraction``."""
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) < int(fraction * 1_000_000))
+def keyed_sample(df: DataFrame, keys: Sequence[str], fraction: float, hashed: Column | None = None) -> DataFrame:
+    """The same rows on every run and partitioning: those whose key hash falls below ``fraction``. ``hashed`` takes the place of Spark's hash, say to agree with another engine."""
+    h = F.xxhash64(*keys) if hashed is None else hashed
+    return df.where(F.pmod(h, F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset and Spark runs in one process (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir

@@ -136,3 +136,53 @@ def test_links_and_samples(spark, dirty):
     assert sorted(tables.keyed_sample(dirty.repartition(3), ["id"], 0.5).select("id").collect()) == sorted(tables.keyed_sample(dirty, ["id"], 0.5).select("id").collect())
     with pytest.raises(ValueError):
         tables.open_table(spark, "snowflake", "x")
+
+
+def test_merged_variance_of_large_numbers(spark):
+    """Deviations survive a large mean; empty parts and parts of one row count."""
+    df = spark.createDataFrame([("a", 1e9 + 1), ("b", 1e9 + 2), ("b", 1e9 + 3), ("c", None)], "part string, v double")
+    m = stats.merge_states(stats.partial_states(df, ["part"])).first()
+    assert (m["total_rows"], m["null_count"], m["avg"], m["min_num"]) == (4, 1, 1e9 + 2, 1e9 + 1) and m["variance"] == pytest.approx(2 / 3)
+    none = stats.merge_states(stats.partial_states(df.where("v is null"), ["part"])).first()
+    assert none["variance"] is None and none["total_rows"] == 1
+
+
+def test_long_top_values_are_texts(spark):
+    long = "x" * 300
+    df = spark.createDataFrame([(long, "a"), (long, "b"), ("short", None)], "t string, u string")
+    base = stats.column_stats(df)
+    top = {(r["column_name"], r["rank"]): (r["value"], r["count"]) for r in stats.top_values(stats.value_freq(df), base, df).collect()}
+    assert top == {("t", 1): (long, 2), ("t", 2): ("short", 1), ("u", 1): ("a", 1), ("u", 2): ("b", 1)}
+
+
+def test_metric_groups(spark, dirty):
+    counts = {r["column_name"]: r for r in stats.column_stats(dirty, groups=()).collect()}
+    assert (counts["name"]["null_count"], counts["name"]["empty_count"], counts["amount"]["avg"], counts["created_at"]["max"]) == (2, 0, None, None)
+    some = {r["column_name"]: r for r in stats.column_stats(dirty, groups=("numeric",)).collect()}
+    assert some["score"]["sum"] == 55 and some["score"]["skewness"] is None
+
+
+def test_keyed_sample_and_sizes(spark):
+    df = spark.range(10_000)
+    one = {r["id"] for r in tables.keyed_sample(df, ["id"], 0.1).collect()}
+    assert one == {r["id"] for r in tables.keyed_sample(df.repartition(7), ["id"], 0.1).collect()} and 800 < len(one) < 1200
+    assert {r["id"] for r in tables.keyed_sample(df, [], 0.25, F.col("id") * 1000).collect()} == {i for i in range(10_000) if i * 1000 % 1_000_000 < 250_000}
+    assert 0 < tables.sample_rows(df, 500, 10_000).count() <= 500 and tables.sample_rows(df, 0, 10_000).count() == 10_000
+
+
+def test_rules_out_of_range_fall_back():
+    rules = quality.QualityRules(max_null=-1, high_cardinality=101, dominant_value=50)
+    assert [rules.threshold(n) for n in ("max_null", "high_cardinality", "dominant_value")] == [20, 95, 50]
+
+
+def test_every_kind_of_drift(spark):
+    """The registered query shows each kind at least once."""
+    from plumbline.plans import queries
+
+    got = {r["kind"] for r in queries.run_drift(spark, "/root/testdata/sf0.001").collect()}
+    assert got == set(drift.KINDS)
+
+
+def test_declared_links(spark):
+    rows = links.declared_links([("customer_id", "public", "customers", "id")], spark).collect()
+    assert [tuple(r) for r in rows] == [("customer_id", "public", "customers", "id", "foreign_key")]
