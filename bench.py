@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from plumbline.plans import queries
 
-HEADLINE = ("column_completeness", "numeric_percentiles", "numeric_histogram", "top_values", "numeric_correlations", "duplicate_rows", "quality_checks", "drift_history", "fk_discover", "profile_lineitem")
+HEADLINE = ("basic_tier_columns", "column_completeness", "numeric_percentiles", "numeric_histogram", "top_values", "numeric_correlations", "duplicate_rows", "quality_checks", "drift_history", "fk_discover", "profile_lineitem")
 
 
 def main() -> None:
@@ -19,11 +19,17 @@ def main() -> None:
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     every, took = queries.queries(), {}
-    for name in HEADLINE:
+
+    def run(name: str) -> float:
         began = time.time()
         every[name](spark, sf).write.format("noop").mode("overwrite").save()
-        took[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "profiling_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf}))
+        return round(time.time() - began, 3)
+
+    cold = {n: run(n) for n in HEADLINE[:1]}  # the first query also starts Spark
+    for name in HEADLINE:
+        took[name] = run(name)
+    warm = {n: run(n) for n in ("basic_tier_columns", "profile_lineitem")}
+    print(json.dumps({"metric": "profiling_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "cold": cold, "warm": warm, "sf": sf}))
 
 
 if __name__ == "__main__":

@@ -51,7 +51,7 @@ def _metrics(f: T.StructField, ordinal: int, as_of: Column, groups: Sequence[str
     total, filled = F.count(F.lit(1)), F.count(c)
     numeric, dates, text = (kind == k and k in groups for k in ("numeric", "datetime", "text"))
     num = c.cast("double")
-    stat = lambda f_, group="numeric": f_(num) if kind == "numeric" and group in groups else none.cast("double")
+    stat = lambda f_: f_(num) if numeric else none.cast("double")
     zero = F.lit(0).cast("long")
     ends = numeric or dates
     micros = lambda x: F.unix_micros(x.cast("timestamp"))
@@ -65,14 +65,17 @@ def _metrics(f: T.StructField, ordinal: int, as_of: Column, groups: Sequence[str
         (F.min(c).cast("string") if ends else none.cast("string")).alias("min"), (F.max(c).cast("string") if ends else none.cast("string")).alias("max"),
         stat(F.min).alias("min_num"), stat(F.max).alias("max_num"), stat(F.avg).alias("avg"), stat(F.sum).alias("sum"),
         (F.count_if(c == 0) if numeric else zero).alias("zero_count"),
-        stat(F.var_pop, "moments").alias("variance"), stat(F.stddev_pop, "moments").alias("stddev"), stat(F.skewness, "moments").alias("skewness"), stat(F.kurtosis, "moments").alias("kurtosis"),
         future.alias("future_date_count"), (percentage(future, filled) if dates else F.lit(0.0)).alias("future_date_percentage"),
         ((micros(F.max(c)) - micros(F.min(c))) / F.lit(86_400e6) if dates else none.cast("double")).alias("date_range_days"),
     )
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None, groups: Sequence[str] = GROUPS) -> DataFrame:
-    """One row per column with every statistic of the metric ``groups`` that a single scan gives (counts always); no statistics of an empty group."""
+    """One row per column with the statistics of the metric ``groups`` (counts always); no statistics of an empty group.
+
+    One scan; the moments take a second one, over rows of (column, number), as many aggregates in one row would be too
+    much code for the JVM to compile.
+    """
     as_of = F.current_timestamp() if as_of is None else as_of
     fields = _columns(df, columns, by)
     order = {f.name: i for i, f in enumerate(df.schema.fields, 1)}
@@ -82,7 +85,12 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
         grouped = df.groupBy(*by) if by else df
         rows = grouped.agg(F.array(*[_metrics(f, order[f.name], as_of, groups) for f in part]).alias("m")).select(*by, F.inline("m"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    moments = _numbers(df, columns, by) if "moments" in groups and any(family(f.dataType) == "numeric" for f in fields) else None
+    if moments is None:
+        return out.withColumns({c: F.lit(None).cast("double") for c in ("variance", "stddev", "skewness", "kurtosis")})
+    moments = moments.groupBy(*by, "column_name").agg(F.var_pop("v").alias("variance"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
+    moments = moments.select(*by, "column_name", "variance", F.sqrt("variance").alias("stddev"), "skewness", "kurtosis")
+    return out.join(moments, [*by, "column_name"], "left")
 
 
 def value_freq(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -218,14 +226,11 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, cap: int =
     schema = "column_a string, column_b string, coefficient double"
     if not 2 <= len(names) <= cap:
         return df.sparkSession.createDataFrame([], schema)
-    pairs = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            x, y = ref(a).cast("double"), ref(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            pairs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("coefficient")))
-    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p")).where("coefficient is not null and not isnan(coefficient)")
+    # a row for each pair, added up before the shuffle; corr leaves out rows where one side is null
+    number = {c: ref(c).cast("double") for c in names}
+    pairs = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), number[a].alias("x"), number[b].alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    rows = df.select(F.inline(F.array(*pairs)))
+    return rows.groupBy("column_a", "column_b").agg(F.corr("x", "y").alias("coefficient")).where("coefficient is not null and not isnan(coefficient)")
 
 
 def duplicate_rows(df: DataFrame, by: Sequence[str] = (), fingerprint: bool = False) -> DataFrame:
