@@ -69,7 +69,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 class Encoder(dict):
     """A dict from word to its ids (little-endian uint32 bytes), filled as words come and emptied at ``keep`` words."""
 
-    def __init__(self, tokens: list[bytes], splits: np.ndarray, pattern: str, keep: int = 150_000):
+    def __init__(self, tokens: list[bytes], splits: np.ndarray, pattern: str, keep: int = 60_000):
         super().__init__()
         self.tokens, self.keep, self.words = tokens, keep, regex.compile(pattern)
         self.ids = {t: i for i, t in enumerate(tokens)}
@@ -130,7 +130,7 @@ class Encoder(dict):
                     key = out[-1] * base + token
                     fits = pairs.get(key)
                     if fits is None:
-                        if len(pairs) > 200_000:
+                        if len(pairs) > 100_000:
                             pairs.clear()
                         fits = pairs[key] = self.neighbours(out[-1], token)
                     if fits:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "give_back", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
 
 BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,6 +30,15 @@ def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
     return pd.DataFrame({n: c.to_pandas(types_mapper=NULLABLE.get if c.null_count else None) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and would keep it beside what the next one needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 8 MB in this session, so that long texts do not fill a Python worker; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -41,8 +52,10 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     to = to_arrow_schema(T._parse_datatype_string(schema))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for out in run(_frame(b) for b in batches):
             yield pa.RecordBatch.from_pandas(out, to, preserve_index=False)
+        give_back()
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(each, schema)
@@ -53,8 +66,12 @@ def add_columns(df: DataFrame, keep: Sequence[str], used: Sequence[str], schema:
     new = T._parse_datatype_string(schema)
     to = to_arrow_schema(new)
     names = list(used)
+    new_task = [True]
 
     def each(*columns: pa.Array) -> pa.Array:
+        if new_task:
+            new_task.clear()
+            give_back()
         made = pa.RecordBatch.from_pandas(make(_frame(pa.RecordBatch.from_arrays(list(columns), names))), to, preserve_index=False)
         return pa.StructArray.from_arrays(made.columns, fields=list(to))
 
@@ -97,7 +114,7 @@ def ascii_lower(col: Column) -> Column:
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered for up to ``keep`` words of a task."""
 
-    def __init__(self, keep: int = 200_000):
+    def __init__(self, keep: int = 100_000):
         super().__init__()
         self.keep = keep
 
