@@ -81,8 +81,9 @@ class Encoder(dict):
             if self.left[i] != -2:
                 self.found.add_word(t.decode("latin-1")[::-1], i)
         self.found.make_automaton()
-        self.right_edge = [self.edge(i, self.right) for i in range(len(tokens))]
-        self.left_edge = [self.edge(i, self.left) for i in range(len(tokens))]
+        # edges of the tokens met so far: those of the whole vocabulary take tens of MB in every worker
+        self.right_edge: dict[int, list[tuple[bytes, int]]] = {}
+        self.left_edge: dict[int, list[tuple[bytes, int]]] = {}
         self.shorter = [-1] * len(tokens)
         for i, t in enumerate(tokens):
             for n in range(len(t) - 1, 0, -1):
@@ -91,18 +92,21 @@ class Encoder(dict):
                     self.shorter[i] = j
                     break
 
-    def edge(self, token: int, side: list[int]) -> list[tuple[bytes, int]]:
+    def edge(self, token: int, side: list[int], known: dict[int, list[tuple[bytes, int]]]) -> list[tuple[bytes, int]]:
         """The pieces that stand at one edge of a token while it is merged: (bytes, rank of the merge that takes it up)."""
-        out, until = [], NEVER
-        while token >= 0:
-            out.append((self.tokens[token], until))
-            token, until = side[token], token
+        out = known.get(token)
+        if out is None:
+            out = known[token] = []
+            until = NEVER
+            while token >= 0:
+                out.append((self.tokens[token], until))
+                token, until = side[token], token
         return out
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether BPE of the bytes of a and b gives a, b: no merge across the border may come before the merges that take up its two sides."""
-        rank, ends = self.ids.get, self.left_edge[b]
-        for x, x_until in self.right_edge[a]:
+        rank, ends = self.ids.get, self.edge(b, self.left, self.left_edge)
+        for x, x_until in self.edge(a, self.right, self.right_edge):
             for y, y_until in ends:
                 m = rank(x + y)
                 # of equal ranks the leftmost goes first
