@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "give_back", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "give_back", "join_counted", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
 
 BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -102,6 +102,24 @@ def maybe_in(df: DataFrame, key: str, name: str, words: DataFrame, size: int) ->
     return met.withColumn(name, F.coalesce(F.col(f"{name}_bits").bitwiseAND(bit) != 0, F.lit(False))).drop(f"{name}_word", f"{name}_bits")
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], hot: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) to the distinct keys ``keyed``, whose column n, which is dropped, counts their rows.
+
+    A key of over ``hot`` rows would fill one task. Such keys are at most the number of rows divided by ``hot``, so they are
+    broadcast; the others are shuffled. Rows with a null in their key meet nothing and are not shuffled.
+    """
+    many, few = keyed.where(F.col("n") > hot).drop("n"), keyed.where(F.col("n") <= hot).drop("n")
+    named = rows.dropna(subset=list(on))
+    rest = named.join(F.broadcast(many.select(*on)), list(on), "left_anti").join(few, list(on), how)
+    out = named.join(F.broadcast(many), list(on)).unionByName(rest)
+    if how == "left":
+        null = F.lit(False)
+        for c in on:
+            null = null | F.col(c).isNull()
+        out = out.unionByName(rows.where(null), allowMissingColumns=True)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import bit_filter, bound_batches, map_frames, maybe_in, read, stored
+from plumbline.llm.common import bit_filter, bound_batches, join_counted, map_frames, maybe_in, read, stored
 
 MIN_WORDS = 50
+#: A key of more than this part of all lines is joined by a broadcast; there are fewer than a thousand in a round.
+HOT_SHARE = 1000
 
 
 def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,7 +65,7 @@ def document_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def ranked(keys: DataFrame, *cols: str) -> DataFrame:
-    """Distinct ``keys`` with ``rank``, a number that grows with their order."""
+    """Distinct ``keys`` of ``cols`` (other columns are kept) with ``rank``, a number that grows with their order."""
     # ids grow with the partition and the row in it, and partitions and rows are in order
     return stored(keys.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
@@ -71,8 +73,8 @@ def ranked(keys: DataFrame, *cols: str) -> DataFrame:
 def line_sequences(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(seg, doc_id, th, l): the stretches of repeated lines with at least ``min_words`` words; l has (at, line_no, words, id) in order."""
     lines = stored(document_lines(docs, doc_id, text), "lines")
-    ids = ranked(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "h1", "h2")
-    again = lines.join(ids, ["h1", "h2"]).select("doc_id", "th", "at", "line_no", "words", F.col("rank").alias("id"))
+    ids = ranked(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "h1", "h2")
+    again = join_counted(lines, ids, ["h1", "h2"], lines.count() // HOT_SHARE).select("doc_id", "th", "at", "line_no", "words", F.col("rank").alias("id"))
     again = stored(again.dropDuplicates(["doc_id", "th", "at"]), "again")
     order = Window.partitionBy("doc_id", "th").orderBy("at")
     stretch = again.withColumn("gap", F.col("at") - F.row_number().over(order))
@@ -83,15 +85,15 @@ def line_sequences(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
 
 def suffix_ranks(names: DataFrame) -> list[DataFrame]:
     """Prefix doubling over ``names`` (seg, p, rank). Item k: (seg, p, rank) of the suffixes whose first 2^k lines occur again, rank in the order of these lines; the last item is the suffix array of what is then left."""
-    out = [names]
+    out, hot = [names], names.count() // HOT_SHARE
     while True:
         step = 1 << (len(out) - 1)
         second = F.first("rank").over(Window.partitionBy("seg").orderBy("p").rangeBetween(step, step))
         pairs = stored(out[-1].select("seg", "p", F.col("rank").alias("a"), second.alias("b")).where("b is not null"), "pairs")
-        numbers = ranked(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "a", "b")
+        numbers = ranked(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a", "b")
         if numbers.isEmpty():
             return out
-        out.append(stored(pairs.join(numbers, ["a", "b"]).select("seg", "p", "rank"), "names"))
+        out.append(stored(join_counted(pairs, numbers, ["a", "b"], hot).select("seg", "p", "rank"), "names"))
 
 
 def _least(words: np.ndarray, least: int) -> np.ndarray:
@@ -118,6 +120,7 @@ def candidates(segments: DataFrame, least: int) -> DataFrame:
 def repeated_runs(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(seg, p, len, first: struct(seg, p)): every suffix's longest common prefix with an earlier suffix, of those with ``min_words`` words or more."""
     ranks = suffix_ranks(stored(segments.select("seg", F.posexplode("l.id").alias("p", "rank")), "names"))
+    hot = ranks[0].count() // HOT_SHARE
     at = lambda k: ranks[k].withColumnRenamed("rank", "b")
     # suffixes whose first 2^k and last 2^k of the needed lines occur again
     wanted = stored(candidates(segments, min_words), "wanted")
@@ -132,9 +135,10 @@ def repeated_runs(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for k in reversed(range(len(ranks))):
         here = state.withColumn("q", F.col("p") + F.col("len")).join(at(k).withColumnRenamed("p", "q"), ["seg", "q"], "left").drop("q")
         here = stored(here, "here")
-        longer = here.where("b is not null").groupBy("len", "first", "b").agg(F.min(F.struct("seg", "p")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        longer = here.where("b is not null").groupBy("len", "first", "b").agg(F.min(F.struct("seg", "p")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1")
         longer = stored(longer, "longer")
-        met = here.join(longer, ["len", "first", "b"], "left").drop("b")
+        # all copies of one passage share a key
+        met = join_counted(here, longer, ["len", "first", "b"], hot, "left").drop("b")
         more = F.col("to").isNotNull() & (F.col("to") != F.struct("seg", "p")) & F.col("own")
         moved = met.select("seg", "p", "need", F.when(more, F.col("len") + (1 << k)).otherwise(F.col("len")).alias("len"), F.when(more, F.col("to")).otherwise(F.col("first")).alias("first"), "own")
         heads = longer.select("to.seg", "to.p", F.lit(0).alias("need"), (F.col("len") + (1 << k)).alias("len"), F.col("to").alias("first"), F.lit(False).alias("own")).distinct()

@@ -198,8 +198,10 @@ def test_line_dedup(spark):
     assert out[99]["text"] is None and lines.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_common_prefixes_with_earlier_suffixes(spark):
-    """Every suffix's longest prefix that an earlier suffix shares, and the first copy of it, by brute force; long repeats take many rounds."""
+@pytest.mark.parametrize("hot_share", [1, 12, 1000])
+def test_common_prefixes_with_earlier_suffixes(spark, monkeypatch, hot_share):
+    """Every suffix's longest prefix that an earlier suffix shares, and the first copy of it, by brute force; long repeats take many rounds. No key, some and all are hot."""
+    monkeypatch.setattr(lines, "HOT_SHARE", hot_share)
     pool = [f"l{i} " + "w " * (i % 4) for i in range(5)]
     block = [random.choice(pool) for _ in range(70)]
     texts = ["\n".join(x) for x in (block, block[10:], ["once"] + block[3:40] + ["twice"] + block[20:], pool * 9, [pool[0]] * 40, [])]
