@@ -54,7 +54,7 @@ def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         for out in run(_frame(b) for b in batches):
-            yield pa.RecordBatch.from_pandas(out, to, preserve_index=False)
+            yield from pa.Table.from_pandas(out, to, preserve_index=False).to_batches()
         give_back()
 
     bound_batches(df.sparkSession)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, chat, decontaminate, html, katz, lines, minhash, pii, quality, urls
+from plumbline.llm import bpe, chat, decontaminate, html, katz, lines, minhash, pii, quality, repair, simhash, spelling, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (urls.op1_url_filters, pii.op2_pii, quality.op3_quality_rules, lines.op4_line_dedup, minhash.op5_near_duplicates, decontaminate.op6_decontamination, katz.op7_katz_scoring, chat.op8_chat_formatting, bpe.op9_bpe, html.op10_html_extraction)
+    every = (urls.op1_url_filters, pii.op2_pii, quality.op3_quality_rules, lines.op4_line_dedup, minhash.op5_near_duplicates, decontaminate.op6_decontamination, katz.op7_katz_scoring, chat.op8_chat_formatting, bpe.op9_bpe, html.op10_html_extraction, spelling.op11_spelling_variants, repair.op12_conversation_repair, simhash.op13_simhash)
     return {f.__name__: f for f in every}
 
 
