@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbline.functions.columns import as_text, family, of_family, percentage, ref
+from plumbline.functions.columns import as_text, family, joined, of_family, percentage, ref, row_values, unpivoted
 from plumbline.sources.tables import stored
 
 #: String classes in order of precedence; the first three ignore case.
@@ -40,6 +40,11 @@ LONG_TEXT = 256
 COLUMN_BATCH = 60
 
 
+def finite(v: Column) -> Column:
+    """A number; null for NaN and infinity."""
+    return F.when((v - v) == 0, v)
+
+
 def _columns(df: DataFrame, columns: Sequence[str] | None, by: Sequence[str]) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name not in by and (columns is None or f.name in columns)]
 
@@ -63,7 +68,7 @@ def _metrics(f: T.StructField, ordinal: int, as_of: Column, groups: Sequence[str
         (F.coalesce(F.min(F.length(c)), F.lit(0)).cast("long") if text else none.cast("long")).alias("min_length"), (F.coalesce(F.max(F.length(c)), F.lit(0)).cast("long") if text else none.cast("long")).alias("max_length"),
         (F.avg(F.length(c)) if text else none.cast("double")).alias("avg_length"),
         (F.min(c).cast("string") if ends else none.cast("string")).alias("min"), (F.max(c).cast("string") if ends else none.cast("string")).alias("max"),
-        stat(F.min).alias("min_num"), stat(F.max).alias("max_num"), stat(F.avg).alias("avg"), stat(F.sum).alias("sum"),
+        stat(F.min).alias("min_num"), stat(F.max).alias("max_num"), stat(lambda v: F.min(finite(v))).alias("min_bin"), stat(lambda v: F.max(finite(v))).alias("max_bin"), stat(F.avg).alias("avg"), stat(F.sum).alias("sum"),
         (F.count_if(c == 0) if numeric else zero).alias("zero_count"),
         future.alias("future_date_count"), (percentage(future, filled) if dates else F.lit(0.0)).alias("future_date_percentage"),
         ((micros(F.max(c)) - micros(F.min(c))) / F.lit(86_400e6) if dates else none.cast("double")).alias("date_range_days"),
@@ -78,19 +83,21 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, by: Sequen
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     fields = _columns(df, columns, by)
+    if not fields:
+        raise ValueError("no column to profile")
     order = {f.name: i for i, f in enumerate(df.schema.fields, 1)}
     out = None
-    for i in range(0, max(1, len(fields)), COLUMN_BATCH):
+    for i in range(0, len(fields), COLUMN_BATCH):
         part = fields[i : i + COLUMN_BATCH]
-        grouped = df.groupBy(*by) if by else df
+        grouped = df.groupBy(*[ref(b).alias(b) for b in by]) if by else df
         rows = grouped.agg(F.array(*[_metrics(f, order[f.name], as_of, groups) for f in part]).alias("m")).select(*by, F.inline("m"))
         out = rows if out is None else out.unionByName(rows)
-    moments = _numbers(df, columns, by) if "moments" in groups and any(family(f.dataType) == "numeric" for f in fields) else None
+    moments = numbers(df, columns, by) if "moments" in groups and any(family(f.dataType) == "numeric" for f in fields) else None
     if moments is None:
         return out.withColumns({c: F.lit(None).cast("double") for c in ("variance", "stddev", "skewness", "kurtosis")})
     moments = moments.groupBy(*by, "column_name").agg(F.var_pop("v").alias("variance"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
     moments = moments.select(*by, "column_name", "variance", F.sqrt("variance").alias("stddev"), "skewness", "kurtosis")
-    return out.join(moments, [*by, "column_name"], "left")
+    return joined(out, moments, [*by, "column_name"], "left")
 
 
 def value_freq(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -99,11 +106,9 @@ def value_freq(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence
     One shuffle for all columns; hot values are added up before it.
     """
     fields = _columns(df, columns, by)
-    texts = df.select(*by, *[as_text(f.name, f.dataType).alias(f"_{i}") for i, f in enumerate(fields)])
-    names = F.create_map(*[F.lit(x) for i, f in enumerate(fields) for x in (f"_{i}", f.name)])
-    long = texts.unpivot(list(by), [f"_{i}" for i in range(len(fields))], "c", "v").where("v is not null")
+    long = unpivoted(df, {f.name: as_text(f.name, f.dataType) for f in fields}, by)
     long = long.withColumn("long", F.length("v") > LONG_TEXT).withColumn("value", F.when(F.col("long"), F.sha2("v", 256)).otherwise(F.col("v")))
-    return long.groupBy(*by, "c", "value", "long").agg(F.count(F.lit(1)).alias("n")).select(*by, names[F.col("c")].alias("column_name"), "value", "long", "n")
+    return long.groupBy(*by, "column_name", "value", "long").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_counts(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -115,33 +120,38 @@ def top_values(freq: DataFrame, totals: DataFrame, df: DataFrame, by: Sequence[s
     w = Window.partitionBy(*by, "column_name").orderBy(F.col("n").desc(), "value")
     top = freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if of_family(df, "text", list(by)):
-        top = top.join(long_values(df, top, by), ["column_name", "value", "long"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
-    return top.join(totals.select(*by, "column_name", "total_rows"), [*by, "column_name"]).select(*by, "column_name", F.col("rank").cast("long").alias("rank"), "value", F.col("n").alias("count"), percentage(F.col("n"), F.col("total_rows")).alias("percentage"))
+        top = stored(top, "top")
+        if top.where("long").take(1):  # else the texts need not be read again
+            top = top.join(long_values(df, top, by), ["column_name", "value", "long"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
+    top = joined(top, totals.select(*by, "column_name", "total_rows"), [*by, "column_name"])
+    return top.select(*by, "column_name", F.col("rank").cast("long").alias("rank"), "value", F.col("n").alias("count"), percentage(F.col("n"), F.col("total_rows")).alias("percentage"))
 
 
 def long_values(df: DataFrame, top: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(column_name, value, long, text): the texts behind the digests among ``top``; few of them, so Spark broadcasts them as long as they are."""
     wanted = top.where("long").select("column_name", "value", "long").distinct()
-    names = of_family(df, "text", list(by))
-    texts = df.select(*[ref(c).alias(f"_{i}") for i, c in enumerate(names)])
-    called = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (f"_{i}", c)])
-    rows = texts.unpivot([], texts.columns, "c", "text").where(F.length("text") > LONG_TEXT).select(called[F.col("c")].alias("column_name"), F.sha2("text", 256).alias("value"), "text")
+    texts = unpivoted(df, {c: ref(c) for c in of_family(df, "text", list(by))}).where(F.length("v") > LONG_TEXT)
+    rows = texts.select("column_name", F.sha2("v", 256).alias("value"), F.col("v").alias("text"))
     return rows.join(wanted, ["column_name", "value"]).groupBy("column_name", "value", "long").agg(F.min("text").alias("text"))
 
 
 def entropy(freq: DataFrame, text_columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Shannon entropy (bits) and its share of log2(distinct) for text columns of 2 to ENTROPY_DISTINCT values."""
     size = distinct_counts(freq, by).where((F.col("distinct_count") > 1) & (F.col("distinct_count") <= ENTROPY_DISTINCT))
-    rows = freq.where(F.col("column_name").isin(*text_columns)).join(F.broadcast(size), [*by, "column_name"])
+    rows = joined(freq.where(F.col("column_name").isin(*text_columns)), size, [*by, "column_name"], small=not by)
     p = F.col("n") / F.col("filled")
     out = rows.groupBy(*by, "column_name").agg((-F.sum(p * F.log2(p))).alias("entropy"), F.first("distinct_count").alias("d"))
     return out.select(*by, "column_name", "entropy", (F.col("entropy") / F.log2("d")).alias("normalized_entropy"))
 
 
+def texts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, column_name, v): the non-null texts of all text columns, whole."""
+    return unpivoted(df, {c: ref(c) for c in of_family(df, "text", list(by)) if columns is None or c in columns}, by)
+
+
 def string_patterns(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Per text column and string class: count and share of non-null values."""
-    names = [c for c in of_family(df, "text", list(by)) if columns is None or c in columns]
-    rows = df.select(*by, *[ref(c).alias(c) for c in names]).unpivot(list(by), names, "column_name", "v").where("v is not null")
+    rows = texts(df, columns, by)
     kind = F.lit("mixed")
     for name, pattern in reversed(PATTERNS):
         kind = F.when(F.col("v").rlike(pattern), name).otherwise(kind)
@@ -152,34 +162,35 @@ def string_patterns(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
 def date_distribution(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), months: int = 12) -> DataFrame:
     """Counts of the ``months`` most recent months of each datetime column; share of all rows."""
     names = [c for c in of_family(df, "datetime", list(by)) if columns is None or c in columns]
-    rows = df.select(*by, *[F.date_format(F.date_trunc("month", ref(c)), "yyyy-MM").alias(c) for c in names]).unpivot(list(by), names, "column_name", "period")
-    n = rows.groupBy(*by, "column_name", "period").agg(F.count(F.lit(1)).alias("count"))
+    # a null date is the empty month, which counts towards all rows
+    rows = unpivoted(df, {c: F.coalesce(F.date_format(F.date_trunc("month", ref(c)), "yyyy-MM"), F.lit("")) for c in names}, by)
+    n = rows.groupBy(*by, "column_name", F.col("v").alias("period")).agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy(*by, "column_name")
-    n = n.withColumn("total", F.sum("count").over(w)).where("period is not null").withColumn("rank", F.row_number().over(w.orderBy(F.col("period").desc())))
+    n = n.withColumn("total", F.sum("count").over(w)).where("period <> ''").withColumn("rank", F.row_number().over(w.orderBy(F.col("period").desc())))
     return n.where(F.col("rank") <= months).select(*by, "column_name", "period", "count", percentage(F.col("count"), F.col("total")).alias("percentage"))
 
 
-def _numbers(df: DataFrame, columns: Sequence[str] | None, by: Sequence[str]) -> DataFrame:
+def numbers(df: DataFrame, columns: Sequence[str] | None, by: Sequence[str]) -> DataFrame:
     """(by, column_name, v): the non-null numbers of all numeric columns."""
-    names = [c for c in of_family(df, "numeric", list(by)) if columns is None or c in columns]
-    return df.select(*by, *[ref(c).cast("double").alias(c) for c in names]).unpivot(list(by), names, "column_name", "v").where("v is not null")
+    return unpivoted(df, {c: ref(c) for c in of_family(df, "numeric", list(by)) if columns is None or c in columns}, by, "double")
 
 
-def percentiles(df: DataFrame, columns: Sequence[str] | None = None, at: Sequence[float] = PERCENTILES) -> DataFrame:
-    """Exact interpolated percentiles of numeric columns as p50, p75, ...
+def percentiles(df: DataFrame, columns: Sequence[str] | None = None, at: Sequence[float] = PERCENTILES, by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated percentiles of numeric columns as p50, p75, ..., for each value of ``by``.
 
-    Different values with their counts are range-sorted, cumulated by partition, and only the neighbours of each rank
-    are picked, so no task holds a column. NaN is left out.
+    Different values with their counts are range-sorted by (by, column, value), cumulated by partition, and only the
+    neighbours of each rank are picked, so no task holds a column or a group. NaN is left out.
     """
-    counts = _numbers(df, columns, ()).where(~F.isnan("v")).groupBy("column_name", (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    part = counts.repartitionByRange("column_name", "v").sortWithinPartitions("column_name", "v").withColumn("part", F.spark_partition_id())
+    key = [*by, "column_name"]
+    counts = numbers(df, columns, by).where(~F.isnan("v")).groupBy(*key, (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    part = counts.repartitionByRange(*key, "v").sortWithinPartitions(*key, "v").withColumn("part", F.spark_partition_id())
     part = stored(part, "values")
-    sums = part.groupBy("column_name", "part").agg(F.sum("n").alias("s"))  # a row for each column and partition
-    w = Window.partitionBy("column_name")
+    sums = part.groupBy(*key, "part").agg(F.sum("n").alias("s"))  # a row for each group and partition that holds some of it
+    w = Window.partitionBy(*key)
     before = F.coalesce(F.sum("s").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("column_name", "part", before.alias("before"), F.sum("s").over(w).alias("all"))
-    upto = F.sum("n").over(Window.partitionBy("column_name", "part").orderBy("v"))
-    rows = part.withColumn("upto", upto).join(F.broadcast(sums), ["column_name", "part"]).withColumn("upto", F.col("upto") + F.col("before"))
+    sums = sums.select(*key, "part", before.alias("before"), F.sum("s").over(w).alias("all"))
+    upto = F.sum("n").over(Window.partitionBy(*key, "part").orderBy("v"))
+    rows = joined(part.withColumn("upto", upto), sums, [*key, "part"], small=not by).withColumn("upto", F.col("upto") + F.col("before"))
     picks, out = [], []
     for p in at:
         rank = F.lit(p) * (F.col("all") - 1)
@@ -188,11 +199,11 @@ def percentiles(df: DataFrame, columns: Sequence[str] | None = None, at: Sequenc
             picks.append(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"{name}_{side}"))
         share = F.lit(p) * (F.col("all") - 1) - F.floor(F.lit(p) * (F.col("all") - 1))
         out.append((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * share).alias(name))
-    return rows.groupBy("column_name", "all").agg(*picks).select("column_name", *out)
+    return rows.groupBy(*key, "all").agg(*picks).select(*key, *out)
 
 
 def approx_percentiles(df: DataFrame, columns: Sequence[str] | None = None, at: Sequence[float] = PERCENTILES, accuracy: int = 10_000, by: Sequence[str] = ()) -> DataFrame:
-    found = _numbers(df, columns, by).groupBy(*by, "column_name").agg(F.percentile_approx("v", list(at), accuracy).alias("q"))
+    found = numbers(df, columns, by).groupBy(*by, "column_name").agg(F.percentile_approx("v", list(at), accuracy).alias("q"))
     return found.select(*by, "column_name", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(at)])
 
 
@@ -200,21 +211,16 @@ def outliers(df: DataFrame, stats: DataFrame, columns: Sequence[str] | None = No
     """Values further than three standard deviations from the mean; share of non-null values. ``stats`` as from column_stats."""
     s = stats.select(*by, "column_name", F.col("avg").alias("m"), "stddev")
     far = (F.col("stddev") > 0) & (F.abs(F.col("v") - F.col("m")) > 3 * F.col("stddev"))
-    n = _numbers(df, columns, by).join(_small(s, by), [*by, "column_name"]).groupBy(*by, "column_name").agg(F.count_if(far).alias("outlier_count"), F.count(F.lit(1)).alias("filled"))
+    n = joined(numbers(df, columns, by), s, [*by, "column_name"], small=not by).groupBy(*by, "column_name").agg(F.count_if(far).alias("outlier_count"), F.count(F.lit(1)).alias("filled"))
     return n.select(*by, "column_name", "outlier_count", percentage(F.col("outlier_count"), F.col("filled")).alias("outlier_percentage"))
 
 
-def _small(stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Statistics of a whole table are a row for each column, and are broadcast; those of its parts may be many, and are joined as Spark sees fit."""
-    return stats if by else F.broadcast(stats)
-
-
 def histogram(df: DataFrame, stats: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Ten equal-width bins per numeric column, empty ones left out; one bin if all values are equal; share of non-null values."""
-    s = stats.select(*by, "column_name", F.col("min_num").alias("lo"), F.col("max_num").alias("hi"))
+    """Ten equal-width bins per numeric column, empty ones left out; one bin if all values are equal; share of the values in bins. NaN and infinity are in none and bound none."""
+    s = stats.select(*by, "column_name", F.col("min_bin").alias("lo"), F.col("max_bin").alias("hi"))
     width = F.col("hi") - F.col("lo")
     bin_ = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / width * BINS))).otherwise(0).cast("long")
-    n = _numbers(df, columns, by).join(_small(s, by), [*by, "column_name"]).groupBy(*by, "column_name", "lo", "hi", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    n = joined(numbers(df, columns, by).where(finite(F.col("v")).isNotNull()), s, [*by, "column_name"], small=not by).groupBy(*by, "column_name", "lo", "hi", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     upper = F.when((F.col("bin") == BINS - 1) | (width == 0), F.col("hi")).otherwise(F.col("lo") + width * (F.col("bin") + 1) / BINS)
     share = percentage(F.col("count"), F.sum("count").over(Window.partitionBy(*by, "column_name")))
     return n.select(*by, "column_name", "bin", (F.col("lo") + width * F.col("bin") / BINS).alias("lower"), upper.alias("upper"), "count", share.alias("percentage"))
@@ -235,10 +241,9 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, cap: int =
 
 def duplicate_rows(df: DataFrame, by: Sequence[str] = (), fingerprint: bool = False) -> DataFrame:
     """Rows beyond the first of each equal row (nulls are equal), and their share; ``fingerprint`` groups by two 64-bit hashes instead of the row."""
-    cols = [ref(c) for c in df.columns if c not in by]
-    # maps cannot be hashed: their entries can
-    key = [F.xxhash64(*cols).alias("_h1"), F.xxhash64(F.lit(7), *cols).alias("_h2")] if fingerprint else cols
-    n = df.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("_n"))
+    cols = row_values(df, by)
+    key = [F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)] if fingerprint else cols
+    n = df.groupBy(*[ref(b).alias(b) for b in by], *[c.alias(f"_{i}") for i, c in enumerate(key)]).agg(F.count(F.lit(1)).alias("_n"))
     n = (n.groupBy(*by) if by else n).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"))
     return n.select(*by, "total_rows", "duplicate_rows", percentage(F.col("duplicate_rows"), F.col("total_rows")).alias("duplicate_percentage"))
 
@@ -248,20 +253,3 @@ def approx_distinct(df: DataFrame, columns: Sequence[str] | None = None, rsd: fl
     fields = _columns(df, columns, ())
     rows = [F.struct(F.lit(f.name).alias("column_name"), F.approx_count_distinct(as_text(f.name, f.dataType), rsd).alias("approx_distinct_count")) for f in fields]
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-
-
-def partial_states(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Mergeable statistics of numeric columns for each part of a table: counts, sum, mean, squared deviations from it (m2), extremes and an HLL sketch."""
-    names = [c for c in of_family(df, "numeric", list(by)) if columns is None or c in columns]
-    v = {c: ref(c).cast("double") for c in names}
-    one = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("rows"), F.count(v[c]).alias("n"), F.sum(v[c]).alias("s1"), F.avg(v[c]).alias("mean"), (F.var_pop(v[c]) * F.count(v[c])).alias("m2"), F.min(v[c]).alias("lo"), F.max(v[c]).alias("hi"), F.hll_sketch_agg(v[c].cast("string")).alias("sketch"))
-    return df.groupBy(*by).agg(F.array(*[one(c) for c in names]).alias("m")).select(*by, F.inline("m"))
-
-
-def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Statistics of the union of parts from their states, without their rows. Deviations are moved to the common mean, so large numbers lose no digits."""
-    key = [*by, "column_name"]
-    common = states.groupBy(*key).agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("avg"))
-    moved = F.col("m2") + F.col("n") * (F.col("mean") - F.col("avg")) * (F.col("mean") - F.col("avg"))
-    m = states.join(common, key).groupBy(*key, "avg").agg(F.sum("rows").alias("total_rows"), F.sum("n").alias("n"), F.sum("s1").alias("sum"), F.sum(moved).alias("m2"), F.min("lo").alias("min_num"), F.max("hi").alias("max_num"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct_count"))
-    return m.select(*key, "total_rows", (F.col("total_rows") - F.col("n")).alias("null_count"), "avg", "sum", F.try_divide(F.col("m2"), F.col("n")).alias("variance"), "min_num", "max_num", "approx_distinct_count")

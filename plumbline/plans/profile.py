@@ -1,4 +1,4 @@
-"""Composite jobs: profile a table, and validate and compare it."""
+"""Composite jobs: profile a table, and validate, compare and save it."""
 
 from __future__ import annotations
 
@@ -8,40 +8,63 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import of_family, percentage
-from plumbline.operators import drift, pii, quality, stats
+from plumbline.functions.columns import joined, of_family, percentage
+from plumbline.operators import drift, links, pii, quality, stats, topk
 from plumbline.sources import history
-from plumbline.sources.tables import sample_rows, stored
+from plumbline.sources.tables import exact_sample, stored
 
+#: Columns with more different values (by estimate) are not counted by value in the basic tier.
+COUNTED_DISTINCT = 1_000_000
 
-def column_profiles(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None, tier: str = "deep", header_match: str = "contains", base: DataFrame | None = None, freq: DataFrame | None = None) -> DataFrame:
+
+def _counts(df: DataFrame, columns: Sequence[str] | None, base: DataFrame, limit: int) -> DataFrame:
+    """(column_name, distinct_count, top_n, distinct_exact) without shuffling values of columns that an estimate finds too many for; their top value is counted by a summary and a second scan."""
+    seen = stored(stats.approx_distinct(df, columns), "distinct")
+    large = [r["column_name"] for r in seen.where(F.col("approx_distinct_count") > limit).collect()]  # a row for each column
+    small = [c for c in df.columns if c not in large and (columns is None or c in columns)]
+    counted = stats.distinct_counts(stats.value_freq(df, small)).drop("filled").withColumn("distinct_exact", F.lit(True))
+    if not large:
+        return counted
+    top = topk.heavy_hitters(df, large, k=1).groupBy("column_name").agg(F.max("count").alias("top_n"))
+    filled = base.select("column_name", (F.col("total_rows") - F.col("null_count")).alias("filled"))
+    estimated = joined(joined(seen.where(F.col("column_name").isin(large)), filled, ["column_name"]), top, ["column_name"], "left")
+    return counted.unionByName(estimated.select("column_name", F.least("approx_distinct_count", "filled").alias("distinct_count"), "top_n", F.lit(False).alias("distinct_exact")))
+
+
+def column_profiles(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), as_of: Column | None = None, tier: str = "deep", header_match: str = "contains", base: DataFrame | None = None, freq: DataFrame | None = None, top: DataFrame | None = None, counted: int = COUNTED_DISTINCT) -> DataFrame:
     """One row per column with all scalar metrics, its PII label and its most frequent value's share.
 
-    tier: basic (one scan and value counts), standard (and outliers, entropy), deep (and percentiles). ``base`` and
-    ``freq`` (from column_stats and value_freq) are computed and stored once unless given.
+    tier: basic (scans; values are counted only of columns with up to ``counted`` different ones by estimate, and
+    distinct_exact marks the others, whose distinct_count is the estimate and whose label goes by the header and the values
+    of a sketch), standard (values of all columns are counted; and outliers, entropy), deep (and exact percentiles). Parts
+    (``by``) are always counted. ``base``, ``freq`` and ``top`` (from column_stats, value_freq and top_values) are computed
+    and stored once unless given.
     """
     by = list(by)
     key = [*by, "column_name"]
     base = stored(stats.column_stats(df, columns, by, as_of), "base") if base is None else base
-    freq = stored(stats.value_freq(df, columns, by), "freq") if freq is None else freq
-    size = stats.distinct_counts(freq, by).drop("filled")
-    out = base.join(size, key, "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    if tier == "basic" and not by and freq is None:
+        size = stored(_counts(df, columns, base, counted), "counts")
+        top = topk.heavy_hitters(df, columns) if top is None else top
+    else:
+        freq = stored(stats.value_freq(df, columns, by), "freq") if freq is None else freq
+        size = stats.distinct_counts(freq, by).drop("filled").withColumn("distinct_exact", F.lit(True))
+        top = stats.top_values(freq, base, df, by) if top is None else top
+    out = joined(base.drop("min_bin", "max_bin"), size, key, "left").withColumns({"distinct_count": F.coalesce("distinct_count", F.lit(0)), "distinct_exact": F.coalesce("distinct_exact", F.lit(True))})
     out = out.withColumn("distinct_percentage", percentage(F.col("distinct_count"), F.col("total_rows"))).withColumn("top_percentage", percentage(F.coalesce("top_n", F.lit(0)), F.col("total_rows"))).drop("top_n")
     if tier != "basic":
-        out = out.join(stats.outliers(df, base, columns, by), key, "left").join(stats.entropy(freq, of_family(df, "text", by), by), key, "left")
+        out = joined(joined(out, stats.outliers(df, base, columns, by), key, "left"), stats.entropy(freq, of_family(df, "text", by), by), key, "left")
     if tier == "deep":
-        found = stats.approx_percentiles(df, columns, by=by) if by else stats.percentiles(df, columns)
-        out = out.join(found, key, "left")
+        out = joined(out, stats.percentiles(df, columns, by=by), key, "left")
     for name in ("outlier_count", "outlier_percentage"):
         zero = F.lit(0).cast("long") if name.endswith("count") else F.lit(0.0)
         out = out.withColumn(name, F.coalesce(F.col(name), zero) if name in out.columns else zero)
-    top = stats.top_values(freq, base, df, by)
-    return out.join(pii.detect(base.select(*key), top, by, header_match), key, "left")
+    return joined(out, pii.detect(base.select(*key), top, by, header_match), key, "left")
 
 
 @dataclass
 class TableProfile:
-    """The flat tables of one run; each is lazy."""
+    """The flat tables of one run; each is lazy but what several share, which is stored."""
 
     rows: DataFrame
     columns: DataFrame
@@ -51,28 +74,59 @@ class TableProfile:
     histograms: DataFrame
     dates: DataFrame
     correlations: DataFrame
+    links: DataFrame
+    total_rows: int
+    sampled: bool
 
+    def parts(self) -> dict[str, DataFrame]:
+        """The tables by name, without the rows themselves."""
+        return {n: getattr(self, n) for n in ("columns", "duplicates", "top_values", "patterns", "histograms", "dates", "correlations", "links")}
 
-def profile_table(df: DataFrame, sample: int = 0, columns: Sequence[str] | None = None, as_of: Column | None = None, tier: str = "deep") -> TableProfile:
-    """All metrics of a table. A sample is counted first and drawn once; percentages refer to the rows drawn."""
-    if sample > 0:
-        df = sample_rows(df, sample, df.count()).persist()
+
+def profile_table(df: DataFrame, sample: int = 0, columns: Sequence[str] | None = None, as_of: Column | None = None, tier: str = "deep", relationships: DataFrame | None = None, seed: int = 42) -> TableProfile:
+    """All metrics of a table of any columns.
+
+    ``sample`` rows are drawn if the table has more: exactly so many, the same ones every time, stored, so that a lost
+    executor draws no others; percentages then refer to the rows drawn, total_rows to the table. ``relationships`` are
+    declared links, say from ``links.catalogue_links``.
+    """
+    total = df.count()
+    sampled = 0 < sample < total
+    if sampled:
+        df = stored(exact_sample(df, sample, seed=seed), "sample")
     base = stored(stats.column_stats(df, columns, as_of=as_of), "base")
-    freq = stored(stats.value_freq(df, columns), "freq")
-    return TableProfile(df, column_profiles(df, columns, (), as_of, tier, base=base, freq=freq), stats.duplicate_rows(df), stats.top_values(freq, base, df), stats.string_patterns(df, columns), stats.histogram(df, base, columns), stats.date_distribution(df, columns), stats.correlations(df, columns))
+    spark = df.sparkSession
+    declared = links.declared_links([], spark) if relationships is None else relationships
+    if tier == "basic":
+        freq, top = None, stored(topk.heavy_hitters(df, columns), "top")
+    else:
+        freq = stored(stats.value_freq(df, columns), "freq")
+        top = stored(stats.top_values(freq, base, df), "top")
+    profiles = column_profiles(df, columns, (), as_of, tier, base=base, freq=freq, top=top)
+    return TableProfile(df, profiles, stats.duplicate_rows(df), top, stats.string_patterns(df, columns), stats.histogram(df, base, columns), stats.date_distribution(df, columns), stats.correlations(df, columns), declared, total, sampled)
 
 
-def run_profile(df: DataFrame, schema_name: str, table_name: str, snapshot_id: str, created_at: Column, path: str, rules: quality.QualityRules = quality.QualityRules(), as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """Profile, label, check, compare with the table's last snapshot under ``path``, then save. Returns the checks and the drift changes (empty for a first snapshot)."""
-    tag = {"schema_name": F.lit(schema_name), "table_name": F.lit(table_name), "snapshot_id": F.lit(snapshot_id), "created_at": created_at}
-    mine = (F.col("schema_name") == schema_name) & (F.col("table_name") == table_name)
-    history.save(column_profiles(df, as_of=as_of if as_of is not None else created_at).withColumns(tag), f"{path}/columns")
-    # from here on the saved rows, so that nothing is computed twice
-    saved = history.load(df.sparkSession, f"{path}/columns").where(mine & (F.col("snapshot_id") == snapshot_id)).drop(*tag)
-    duplicates = stored(stats.duplicate_rows(df), "duplicates")
-    checked = stored(quality.checks(saved, duplicates, rules), "checks")
-    table = duplicates.crossJoin(F.broadcast(quality.score(checked)))  # one row each
-    history.save(table.withColumns(tag), f"{path}/tables")
+def run_profile(df: DataFrame, schema_name: str, table_name: str, snapshot_id: str, created_at: Column, path: str, rules: quality.QualityRules = quality.QualityRules(), as_of: Column | None = None, sample: int = 0, relationships: DataFrame | None = None, tier: str = "deep") -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """Profile, label, check, save under ``path``, and compare with the table's snapshot before. Returns the checks and the drift changes (empty for a first snapshot).
+
+    All parts of the profile appear together (see ``history.commit``). A snapshot that is there is not computed again: a
+    retried run gives its checks and changes.
+    """
     spark = df.sparkSession
-    tables, all_columns = history.load(spark, f"{path}/tables").where(mine), history.load(spark, f"{path}/columns").where(mine)
-    return checked, drift.changes(all_columns, tables).where(F.col("snapshot_id") == snapshot_id)
+    name = (schema_name, table_name, snapshot_id)
+    if not history.committed(spark, path, *name):
+        p = profile_table(df, sample, as_of=as_of if as_of is not None else created_at, tier=tier, relationships=relationships)
+        columns, duplicates = stored(p.columns, "columns"), stored(p.duplicates, "duplicates")
+        checks = stored(quality.checks(columns, duplicates, rules), "checks")
+        table = duplicates.withColumnRenamed("total_rows", "profiled_rows").crossJoin(F.broadcast(quality.score(checks)))  # one row each
+        table = table.withColumns({"total_rows": F.lit(p.total_rows).cast("long"), "sampled": F.lit(p.sampled), "sample_size": F.lit(sample).cast("long")})
+        parts = p.parts() | {"columns": columns, "checks": checks, "tables": table}
+        history.commit({k: v for k, v in parts.items() if k != "duplicates"}, path, *name, created_at)
+    mine = (F.col("schema_name") == schema_name) & (F.col("table_name") == table_name)
+    of = lambda part: history.load_part(spark, path, part).where(mine)
+    tables = of("tables")
+    pair = [x for r in drift.consecutive(tables).where(F.col("snapshot_id") == snapshot_id).collect() for x in (r["snapshot_id"], r["previous_id"]) if x is not None]  # one row
+    two = F.col("snapshot_id").isin(pair)
+    tag = ("schema_name", "table_name", "snapshot_id", "created_at")
+    checks = of("checks").where(F.col("snapshot_id") == snapshot_id).drop(*tag)
+    return checks, drift.changes(of("columns").where(two), tables.where(two)).where(F.col("snapshot_id") == snapshot_id)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import drift, links, pii, quality, stats
+from plumbline.operators import drift, links, pii, quality, states, stats
 from plumbline.plans import inputs
 from plumbline.plans.profile import column_profiles, profile_table, run_profile
 from plumbline.sources import history
@@ -314,7 +314,7 @@ def approx_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of each day of events, merged per event type without reading the rows again."""
     df = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "value", "user_id")
-    merged = stats.merge_states(stats.partial_states(df, ["day", "event_type"]), ["event_type"])
+    merged = states.merge_states(states.partial_states(df, ["day", "event_type"]), ["event_type"])
     exact = stats.distinct_counts(stats.value_freq(df.select("event_type", "value", "user_id"), by=["event_type"]), ["event_type"]).select("event_type", "column_name", "distinct_count")
     met = merged.join(exact, ["event_type", "column_name"])
     near = F.abs(F.col("approx_distinct_count") - F.col("distinct_count")) <= 0.1 * F.col("distinct_count")

@@ -8,6 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plumbline.functions.columns import ref, row_values
 
 FILE_FORMATS = ("parquet", "orc", "json", "csv")
 #: Source names and the URL scheme of each.
@@ -34,7 +37,13 @@ def open_table(spark: SparkSession, kind: str, location: str, table: str = "", *
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+    """Names of the base tables of a catalog's database: no views, no temporary ones."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.tableType != "VIEW")
+
+
+def list_jdbc_tables(catalogue: DataFrame, schema_name: str) -> DataFrame:
+    """(table_schema, table_name) of the base tables of a schema, from a database's information_schema.tables as ``open_table`` reads it."""
+    return catalogue.where((F.col("table_schema") == schema_name) & (F.col("table_type") == "BASE TABLE")).select("table_schema", "table_name")
 
 
 def discover_columns(df: DataFrame) -> DataFrame:
@@ -50,6 +59,46 @@ def sample_rows(df: DataFrame, size: int, total: int, seed: int = 42) -> DataFra
     return df.sample(False, min(1.0, size / total), seed).limit(size)
 
 
+#: Rows of one range of hashes that are ranked in one task.
+RANKED = 100_000
+
+
+def exact_sample(df: DataFrame, size: int, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Exactly ``size`` rows (all, if there are no more): those with the least hashes of ``keys`` (all columns if none are given), so the same rows on any run and partitioning.
+
+    The hash that bounds the sample is found from counts by ranges of hashes, of 2^16 ranges at a time, until a range holds
+    few enough rows to be ranked in a task; the rows are then filtered, not sorted. Rows of equal keys go by a hash of all
+    columns; rows equal in all are counted.
+    """
+    if size <= 0:
+        return df
+    every = row_values(df)
+    hashes = {"_h0": F.xxhash64(F.lit(seed), *([ref(k) for k in keys] or every)), "_h1": F.xxhash64(F.lit(seed + 1), *every)}
+    rows = df.withColumns(hashes)
+    known = stored(rows.select("_h0", "_h1"), "hashes")
+    inside, missing, taken = known, size, F.lit(False)  # of the rows that may lie on the bound, so many are still to take
+    edge = F.lit(True)
+    for h in hashes:
+        for shift in (48, 32, 16, 0):
+            ranges = inside.groupBy(F.shiftright(h, shift).alias("r")).agg(F.count(F.lit(1)).alias("n"))  # at most 2^16 ranges
+            upto = F.sum("n").over(Window.orderBy("r"))
+            bound = ranges.withColumn("upto", upto).where(F.col("upto") >= missing).orderBy("r").first()
+            if bound is None:
+                return df
+            here = F.shiftright(h, shift)
+            taken = taken | (edge & (here < bound["r"]))
+            edge = edge & (here == bound["r"])
+            inside, missing = inside.where(here == bound["r"]), missing - (bound["upto"] - bound["n"])
+            if bound["n"] == missing:
+                return rows.where(taken | edge).drop(*hashes)
+            if bound["n"] <= RANKED and inside.distinct().count() == bound["n"]:
+                last = inside.orderBy("_h0", "_h1").limit(missing).agg(F.max(F.struct("_h0", "_h1")).alias("x")).first()["x"]
+                at_most = (F.col("_h0") < last["_h0"]) | (F.col("_h0") == last["_h0"]) & (F.col("_h1") <= last["_h1"])
+                return rows.where(taken | (edge & at_most)).drop(*hashes)
+    copies = rows.where(edge).limit(1).withColumn("_h0", F.explode(F.sequence(F.lit(1), F.lit(missing))))
+    return rows.where(taken).unionByName(copies.withColumn("_h0", F.lit(0).cast("long"))).drop(*hashes)
+
+
 def keyed_sample(df: DataFrame, keys: Sequence[str], fraction: float, hashed: Column | None = None) -> DataFrame:
     """The same rows on every run and partitioning: those whose key hash falls below ``fraction``. ``hashed`` takes the place of Spark's hash, say to agree with another engine."""
     h = F.xxhash64(*keys) if hashed is None else hashed

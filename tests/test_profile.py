@@ -1,11 +1,13 @@
 import datetime as dt
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import drift, links, pii, quality, stats
-from plumbline.plans.profile import column_profiles, run_profile
+from plumbline.operators import drift, links, pii, quality, states, stats, topk
+from plumbline.plans import document, incremental
+from plumbline.plans.profile import column_profiles, profile_table, run_profile
 from plumbline.sources import history, tables
 
 ROWS = [
@@ -141,9 +143,9 @@ def test_links_and_samples(spark, dirty):
 def test_merged_variance_of_large_numbers(spark):
     """Deviations survive a large mean; empty parts and parts of one row count."""
     df = spark.createDataFrame([("a", 1e9 + 1), ("b", 1e9 + 2), ("b", 1e9 + 3), ("c", None)], "part string, v double")
-    m = stats.merge_states(stats.partial_states(df, ["part"])).first()
+    m = states.merge_states(states.partial_states(df, ["part"])).first()
     assert (m["total_rows"], m["null_count"], m["avg"], m["min_num"]) == (4, 1, 1e9 + 2, 1e9 + 1) and m["variance"] == pytest.approx(2 / 3)
-    none = stats.merge_states(stats.partial_states(df.where("v is null"), ["part"])).first()
+    none = states.merge_states(states.partial_states(df.where("v is null"), ["part"])).first()
     assert none["variance"] is None and none["total_rows"] == 1
 
 
@@ -186,3 +188,193 @@ def test_every_kind_of_drift(spark):
 def test_declared_links(spark):
     rows = links.declared_links([("customer_id", "public", "customers", "id")], spark).collect()
     assert [tuple(r) for r in rows] == [("customer_id", "public", "customers", "id", "foreign_key")]
+
+
+ODD = {
+    "no_dates": ([(1, "a"), (2, None)], "n int, t string"),
+    "no_numbers": ([("a",), ("b",), (None,)], "t string"),
+    "no_texts": ([(1, dt.datetime(2026, 1, 1)), (2, None)], "n int, d timestamp_ntz"),
+    "only_dates": ([(dt.date(2026, 1, 1),), (dt.date(2026, 1, 1),)], "d date"),
+    "only_flags": ([(True,), (None,)], "b boolean"),
+    "dotted": ([(1.5, "x", dt.datetime(2026, 1, 1), 3), (2.5, "", None, 4)], "`a.b` double, `c.d` string, `e f.g` timestamp_ntz, `h``i` int"),
+    "maps": ([({"a": 1, "b": 2}, [{"k": 1.0}], 1), ({"b": 2, "a": 1}, [{"k": 1.0}], 1), (None, None, 1)], "m map<string,int>, l array<map<string,double>>, n int"),
+    "structs": ([((1, {"x": "y"}), bytearray(b"z")), ((1, {"x": "y"}), bytearray(b"z"))], "s struct<a:int,m:map<string,string>>, b binary"),
+    "empty": ([], "n int, t string, d date"),
+    "not_a_number": ([(float("nan"),), (float("inf"),), (1.0,), (3.0,)], "x double"),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+@pytest.mark.parametrize("tier", ["basic", "deep"])
+def test_every_table_has_a_profile(spark, name, tier):
+    rows, schema = ODD[name]
+    df = spark.createDataFrame(rows, schema)
+    p = profile_table(df, as_of=as_of(), tier=tier)
+    found = {r["column_name"]: r for r in p.columns.collect()}
+    assert list(found) and set(found) == set(df.columns) and all(r["total_rows"] == len(rows) for r in found.values())
+    every = {n: part.collect() for n, part in p.parts().items()}
+    families = {r["column_name"]: r["family"] for r in found.values()}
+    for part, family in (("patterns", "text"), ("histograms", "numeric"), ("dates", "datetime")):
+        assert {r["column_name"] for r in every[part]} == {c for c, f in families.items() if f == family and found[c]["null_count"] < len(rows)}
+    if name == "dotted":
+        assert (found["a.b"]["variance"], found["c.d"]["empty_count"], found["h`i"]["sum"]) == (0.25, 1, 7)
+    if name == "maps":
+        assert every["duplicates"][0]["duplicate_rows"] == 1 and found["m"]["distinct_count"] == 1
+        assert stats.duplicate_rows(df, fingerprint=True).first()["duplicate_rows"] == 1
+    if name == "structs":
+        assert every["duplicates"][0]["duplicate_rows"] == 1
+    if name == "not_a_number":
+        assert sorted((r["bin"], r["lower"], r["upper"], r["count"]) for r in every["histograms"]) == [(0, 1.0, 1.2, 1), (9, 2.8, 3.0, 1)]
+
+
+def test_grouped_percentiles_are_exact(spark):
+    rows = [(g, i * i % 97 / 7) for g, n in (("a", 500), ("b", 3), (None, 40)) for i in range(n)] + [("c", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: [r[p] for p in ("p50", "p75", "p90", "p95", "p99")] for r in stats.percentiles(df, by=["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, found in got.items():
+        v = sorted(x for k, x in rows if k == g and x is not None and x == x)
+        for p, x in zip(stats.PERCENTILES, found, strict=True):
+            at = p * (len(v) - 1)
+            lo, hi = v[math.floor(at)], v[math.ceil(at)]
+            assert x == pytest.approx(lo + (hi - lo) * (at - math.floor(at)))
+    whole = {r["g"]: r["p90"] for r in column_profiles(df, by=["g"], as_of=as_of()).collect()}
+    assert whole["a"] == pytest.approx(got["a"][2]) and whole[None] == pytest.approx(got[None][2])
+
+
+def test_long_texts_have_shapes(spark):
+    """A text of over 256 characters counts by itself, not by its digest."""
+    mail = "x" * 300 + "@example.com"
+    values = stats.texts(spark.createDataFrame([(mail,), ("n/a",)], "contact string"))
+    ratios = {r["label"]: r["ratio"] for r in pii.value_ratios(values.select("column_name", F.col("v").alias("value"), F.lit(1).alias("count"))).collect()}
+    assert ratios["email"] == 0.5 and ratios["uuid"] == 0
+
+
+def test_exact_sample(spark):
+    rows = [(i, i % 3, "x") for i in range(5000)] + [(7, 1, "same")] * 40
+    df = spark.createDataFrame(rows, "id int, k int, t string")
+    for n in (1, 7, 100, 4999, 5039, 5040, 9000):
+        one = sorted(tables.exact_sample(df, n).collect())
+        assert len(one) == min(n, len(rows))
+        assert one == sorted(tables.exact_sample(df.repartition(7), n).collect())
+    assert set(tables.exact_sample(df, 50).collect()) <= set(tables.exact_sample(df, 60).collect())
+    by_key = sorted(tables.exact_sample(df, 1000, ["k"]).collect())
+    assert len(by_key) == 1000 and by_key == sorted(tables.exact_sample(df.repartition(3), 1000, ["k"]).collect())
+    same = spark.createDataFrame([("a",)] * 50, "t string")
+    assert tables.exact_sample(same, 20).count() == 20 and tables.exact_sample(same.limit(0), 5).count() == 0
+
+
+def test_sampled_profile(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id as string) as t")
+    p = profile_table(df, sample=100, as_of=as_of())
+    assert (p.total_rows, p.sampled, p.rows.count()) == (1000, True, 100)
+    assert {r["total_rows"] for r in p.columns.collect()} == {100}
+    assert not profile_table(df, sample=1000, as_of=as_of()).sampled
+
+
+def test_snapshots_appear_whole_and_once(spark, dirty, tmp_path):
+    path = str(tmp_path / "h")
+    made = F.lit(dt.datetime(2026, 6, 1))
+    p = profile_table(dirty, as_of=as_of())
+    history.stage({"columns": p.columns, "top_values": p.top_values}, path, "s", "t", "1", made)  # and a crash
+    assert history.manifest(spark, path).count() == 0 and history.load_part(spark, path, "columns").count() == 0
+    first = run_profile(dirty, "s", "t", "1", made, path, sample=4)
+    again = run_profile(dirty, "s", "t", "1", made, path, sample=4)
+    for a, b in zip(first, again, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert history.load_part(spark, path, "columns").count() == 5
+    table = history.load_part(spark, path, "tables").collect()
+    assert [(r["total_rows"], r["profiled_rows"], r["sampled"], r["sample_size"]) for r in table] == [(10, 4, True, 4)]
+    # two attempts that both end: one is seen
+    for _ in range(2):
+        attempt = history.stage({"columns": p.columns, "tables": history.load_part(spark, path, "tables").drop(*history._SNAPSHOT, "created_at")}, path, "s", "t", "2", made)
+        history.publish(spark, path, "s", "t", "2", attempt)
+    assert history.load_part(spark, path, "columns").where("snapshot_id = '2'").count() == 5
+    assert history.load_part(spark, path, "tables").count() == 2
+
+
+def test_documents_hold_a_whole_profile(spark, dirty, tmp_path):
+    path = str(tmp_path / "h")
+    known = links.declared_links([("id", "s", "other", "key")], spark)
+    for i, df in enumerate((dirty, dirty.select("score"))):
+        run_profile(df, "s", "t", str(i), F.lit(dt.datetime(2026, 6, 1 + i)), path, relationships=known)
+    names = ("columns", "tables", *document.PER_COLUMN, *document.PER_TABLE)
+    parts = {n: history.load_part(spark, path, n) for n in names}
+    docs = document.documents(parts)
+    assert docs.count() == 2
+    back = document.parsed(docs, document.document_schema(parts))
+    for n in names:
+        one, two = ([tuple(str(r[c]) for c in sorted(parts[n].columns)) for r in x.collect()] for x in (parts[n], back[n]))
+        assert sorted(one) == sorted(two), n
+
+
+def test_incremental_profile(spark, tmp_path):
+    table, path = str(tmp_path / "t"), str(tmp_path / "h")
+    rows = [(d, i * 1.5 + d, f"u{i % 7}" if i % 5 else None, dt.datetime(2026, 1, 1 + d, i % 24)) for d in range(4) for i in range(100)]
+    df = spark.createDataFrame(rows, "day int, v double, t string, at timestamp")
+    df.write.partitionBy("day").parquet(table)
+    read = lambda: spark.read.parquet(table)
+
+    def check(run, parts_read, rows_read, parts):
+        assert (run.parts_read, run.rows_read, run.parts) == (parts_read, rows_read, parts)
+        got = {r["column_name"]: r for r in run.columns.collect()}
+        want = {r["column_name"]: r for r in column_profiles(read().drop("day"), as_of=as_of()).collect()}
+        assert set(got) == set(want) == {"v", "t", "at"}
+        for c, w in want.items():
+            for f in ("total_rows", "null_count", "avg", "sum", "variance", "stddev", "skewness", "kurtosis", "min_num", "max_num"):
+                assert got[c][f] == (w[f] if w[f] is None else pytest.approx(w[f])), (c, f)
+            assert got[c]["approx_distinct_count"] == pytest.approx(w["distinct_count"], rel=0.05)
+        assert (got["t"]["min_length"], got["t"]["empty_count"], str(got["at"]["min_ts"])) == (2, 0, want["at"]["min"])
+        assert got["v"]["p90"] == pytest.approx(want["v"]["p90"], rel=0.05)
+
+    check(incremental.profile(read(), ["day"], path, "t"), 4, 400, 4)
+    check(incremental.profile(read(), ["day"], path, "t"), 0, 0, 4)
+    df.where("day = 2").limit(30).withColumn("v", F.col("v") + 1000).drop("day").write.mode("append").parquet(f"{table}/day=2")
+    check(incremental.profile(read(), ["day"], path, "t"), 1, 130, 4)
+    spark.createDataFrame([(1.0, "new", dt.datetime(2026, 2, 1))], "v double, t string, at timestamp").write.parquet(f"{table}/day=9")
+    shutil.rmtree(f"{table}/day=0")
+    check(incremental.profile(read(), ["day"], path, "t"), 1, 1, 4)
+
+
+def test_sketched_percentiles(spark):
+    df = spark.range(20_000).selectExpr("cast(id % 5000 as double) as v", "pmod(hash(id), 1000) * 1.0 as w", "id % 50 as part")
+    merged = states.merge_states(states.partial_states(df, ["part"]))
+    errors = states.rank_errors(df.drop("part"), merged).collect()
+    assert len(errors) == 10 and all(r["rank_error"] <= states.RANK_ERROR for r in errors)
+
+
+def test_heavy_hitters(spark):
+    rows = [("hot" if i % 3 == 0 else f"w{i % 40}" if i % 3 == 1 else f"r{i}", i % 4, "y" * 300 if i % 2 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "t string, k int, long string")
+    want = [tuple(r) for r in stats.top_values(stats.value_freq(df), stats.column_stats(df), df).collect()]
+    got = topk.heavy_hitters(df, exact=True).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted((c, k, v, n, p) for c, k, v, n, p in want)
+    assert all(r["proven"] for r in got)
+    flat = spark.range(20_000).selectExpr("id", "id % 2 as two")
+    exact = topk.heavy_hitters(flat, exact=True).collect()
+    assert sorted({(r["column_name"], r["proven"]) for r in exact}) == [("id", False), ("two", True)] and len(exact) == 12
+    sure = topk.heavy_hitters(flat).collect()
+    assert {(r["column_name"], r["value"], r["count"]) for r in sure} == {("two", "0", 10_000), ("two", "1", 10_000)}
+    assert topk.candidates(flat).where("column_name = 'id' and n > bound").count() == 0
+
+
+def test_basic_tier_estimates_large_columns(spark):
+    df = spark.range(30_000).selectExpr("id", "id % 3 as few", "if(id % 10 < 8, 'same', cast(id as string)) as mostly")
+    p = {r["column_name"]: r for r in column_profiles(df, as_of=as_of(), tier="basic", counted=1000).collect()}
+    assert {c: r["distinct_exact"] for c, r in p.items()} == {"id": False, "few": True, "mostly": False}
+    assert p["few"]["distinct_count"] == 3 and p["id"]["distinct_count"] == pytest.approx(30_000, rel=0.1) and p["id"]["distinct_count"] <= 30_000
+    assert p["mostly"]["top_percentage"] == 80 and p["id"]["top_percentage"] == 0
+    assert all(r["distinct_exact"] for r in column_profiles(df, as_of=as_of(), tier="basic").collect())
+
+
+def test_listed_tables(spark):
+    spark.sql("create database if not exists listed")
+    try:
+        spark.range(3).write.mode("overwrite").saveAsTable("listed.b")
+        spark.range(3).write.mode("overwrite").saveAsTable("listed.a")
+        spark.sql("create or replace view listed.v as select * from listed.a")
+        assert tables.list_tables(spark, "listed") == ["a", "b"]
+    finally:
+        spark.sql("drop database listed cascade")
+    catalogue = spark.createDataFrame([("s", "t", "BASE TABLE"), ("s", "v", "VIEW"), ("x", "t", "BASE TABLE")], "table_schema string, table_name string, table_type string")
+    assert [tuple(r) for r in tables.list_jdbc_tables(catalogue, "s").collect()] == [("s", "t")]
