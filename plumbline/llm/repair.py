@@ -208,7 +208,7 @@ def chained(parts: DataFrame) -> DataFrame:
     """A row for each segment with the edits chosen for it (edits, from state start); the conversation's figures on its first."""
     small = parts.drop("roles", "texts", "rows").repartition("conv").sortWithinPartitions("conv", "part", "seq")
 
-    def whole(pieces: list[tuple[int, int]], figures: dict, states: dict[str, tuple[int, str, tuple | None]]) -> pd.DataFrame:
+    def whole(pieces: list[tuple[int, int]], figures: dict, states: dict[str, tuple[int, str, tuple | None]]) -> list[dict]:
         cost, audit, chain = min((states[e] for e in ("", *ENDS) if e in states), key=lambda x: x[:2])
         steps = []
         while chain:
@@ -218,8 +218,10 @@ def chained(parts: DataFrame) -> DataFrame:
         rows = [{"part": p, "seq": s, "start": start, "edits": edits, "conv": figures["conv"]} for (p, s), (start, edits) in zip(pieces, steps, strict=True)]
         low, high, turns = figures["low"], figures["high"], figures["turns"]
         rows[0] |= {"gaps": 0 if low is None else high - low + 1 - turns, "cost": cost, "audit": audit} | {k: figures[k] for k in ("blank", "duplicate", "truncated", "illegal")}
-        frame = pd.DataFrame(rows)
-        return frame.astype({k: "Int64" for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")})
+        return rows
+
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    frame = lambda rows: pd.DataFrame(rows, columns=["conv", *counts, "audit", "part", "seq", "start", "edits"]).astype(dict.fromkeys(counts, "Int64"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, pieces, figures, states = None, [], {}, {}
@@ -228,7 +230,7 @@ def chained(parts: DataFrame) -> DataFrame:
             for row in batch.itertuples(index=False):
                 if row.conv != conv:
                     if pieces:
-                        out.append(whole(pieces, figures, states))
+                        out += whole(pieces, figures, states)
                     conv, pieces, states = row.conv, [], {"0": (0, "", None)}
                     figures = {"conv": conv, "low": None, "high": None, "turns": 0, "role": None} | dict.fromkeys(("blank", "duplicate", "truncated", "illegal"), 0)
                 pieces.append((row.part, row.seq))
@@ -250,9 +252,9 @@ def chained(parts: DataFrame) -> DataFrame:
                             on[path["end"]] = new
                 states = on
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield frame(out)
         if pieces:
-            yield whole(pieces, figures, states)
+            yield frame(whole(pieces, figures, states))
 
     return map_frames(small, each, _CHAIN)
 
