@@ -7,14 +7,14 @@ fixed reference fingerprints are its coordinates: by the triangle inequality, tw
 
 Coordinates do two things. First they deal classes over cells: a cell of more than ``CELL`` members is cut at its median
 distance from a pivot, and members within ``bits`` of the cut go to both sides, so that a pair within reach always shares
-a cell. Every round cuts all crowded cells along three pivots, each only if both sides lose a quarter of the members; a
-cell along whose pivots the distances hardly spread (a tight ball of near copies) is left whole. Then, inside a cell, pairs are discarded by their
+a cell. A round cuts every crowded cell along as many pivots as its size asks for, each only if both sides lose a quarter
+of the members; a cell along whose pivots the distances hardly spread (a tight ball of near copies) is left whole. Then, inside a cell, pairs are discarded by their
 largest difference of coordinates, pivot by pivot, and the survivors verified on the fingerprints. A cell that stays
 crowded is compared in blocks of two chunks of at most ``CELL`` members, each a group of its own. Groups emit links that
 tie components together, not all pairs. Components come from alternating large-star and small-star steps.
 
 Members of a cell fall to about 0.6 of them by a cut and grow to 1.2 in all, so n classes are copied about
-(n / CELL) ** 0.36 times: 4 at 200,000 and 90 at a billion, 16 bytes each.
+(n / CELL) ** 0.36 times: 2.6 at 240,000 and 50 at a billion, 16 bytes each.
 
 Defined cases: null text and text without words give fingerprint zero, linked like any other; fewer words than a shingle
 give one shingle; doc_id has to fit a long; rows that share a doc_id are judged each by its own text; a row without
@@ -24,7 +24,8 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import map_frames, read, stored
 from plumbline.llm.minhash import components
 
-PIVOTS, CELL, SEED = 48, 4096, 42
-#: Pivots that cut in one round; each is used once.
-CUTS = 3
+PIVOTS, CELL, SEED = 48, 16384, 42
+#: Pivots that may cut in one round, each used once, and the share of a cell that a cut leaves on a side.
+CUTS, LEFT = 8, 0.6
 #: Members that are compared with a whole chunk at a time.
 BLOCK = 128
 
@@ -77,6 +78,11 @@ def distance_to(pivot: int) -> Column:
     return F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(_REFERENCES[pivot % PIVOTS].view(np.int64)))))
 
 
+def _onwards(sides: Column) -> Callable[[Column], Column]:
+    """Paths down a tree of cuts, each led on to the given sides of the next."""
+    return lambda path: F.transform(sides, lambda side: 2 * path + side)
+
+
 def cells(classes: DataFrame, bits: int, limit: int = CELL) -> DataFrame:
     """(cell, fp): every class in at least one cell, two within ``bits`` of each other in a common one."""
     rows, done, first = stored(classes.select(F.lit(0).cast("long").alias("cell"), "fp"), "cells"), None, 0
@@ -85,23 +91,21 @@ def cells(classes: DataFrame, bits: int, limit: int = CELL) -> DataFrame:
         quartiles = [F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}") for k, d in enumerate(at)]  # of at most 65 values
         sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") > limit)
         # left of a cut: up to it; right of it: from just so far below that a pair within reach stays together
+        wanted = F.ceil(F.log(F.col("n") / limit) / -math.log(LEFT))
         middle = [F.floor(F.col(f"q{k}")[1]).cast("int") for k in range(CUTS)]
-        cuts = [F.when((F.col(f"q{k}")[0] <= m - bits) & (F.col(f"q{k}")[2] > m), m).alias(f"c{k}") for k, m in enumerate(middle)]
+        cuts = [F.when((wanted > k) & (F.col(f"q{k}")[0] <= m - bits) & (F.col(f"q{k}")[2] > m), m).alias(f"c{k}") for k, m in enumerate(middle)]
         crowded = stored(sizes.select("cell", *cuts).where(F.coalesce(*[f"c{k}" for k in range(CUTS)]).isNotNull()), "crowded")
         if first + CUTS > PIVOTS or not crowded.take(1):
             return rows if done is None else done.unionByName(rows)
         whole = rows.join(crowded.select("cell"), "cell", "left_anti")
         done = whole if done is None else done.unionByName(whole)
-        sides = []
+        paths = F.array(F.lit(0))
         for k, d in enumerate(at):
             c = F.col(f"c{k}")
-            low, high = F.when(d <= c, F.lit(0)), F.when(d > c - bits, F.lit(1))
-            sides.append(F.when(c.isNull(), F.array(F.lit(0))).otherwise(F.array_compact(F.array(low, high))))
-        split = rows.join(crowded, "cell")
-        for k, side in enumerate(sides):
-            split = split.withColumn(f"s{k}", F.explode(side))
-        child = F.xxhash64("cell", F.lit(first), *[f"s{k}" for k in range(CUTS)])
-        rows, first = stored(split.select(child.alias("cell"), "fp"), "cells"), first + CUTS
+            sides = F.when(c.isNull() | (d <= c - bits), F.array(F.lit(0))).when(d <= c, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+            paths = F.flatten(F.transform(paths, _onwards(sides)))
+        split = rows.join(crowded, "cell").select("cell", "fp", F.explode(paths).alias("path"))
+        rows, first = stored(split.select(F.xxhash64("cell", F.lit(first), "path").alias("cell"), "fp"), "cells"), first + CUTS
 
 
 def links(members: DataFrame, bits: int, limit: int = CELL) -> DataFrame:
