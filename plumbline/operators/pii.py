@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.columns import percentage
+from plumbline.functions.columns import as_text, percentage, unpivoted
 
 #: Labels in order of precedence, and the words that a header equals or contains.
 HEADER_RULES = (
@@ -74,6 +74,12 @@ def value_ratios(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return n.select(*by, "column_name", "label", (percentage(F.col("hits"), F.col("total")) / 100).alias("ratio"))
 
 
+def column_ratios(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``value_ratios`` over all rows of ``df``: whole values, one scan, and only sums are shuffled."""
+    values = unpivoted(df, {f.name: as_text(f.name, f.dataType) for f in df.schema.fields if f.name not in by and (columns is None or f.name in columns)}, by)
+    return value_ratios(values.select(*by, "column_name", F.col("v").alias("value"), F.lit(1).alias("count")), by)
+
+
 def detect(columns: DataFrame, values: DataFrame, by: Sequence[str] = (), match: str = "contains") -> DataFrame:
     """(by, column_name, pii, pii_confidence) of every column; the empty label where there is none.
 

@@ -261,6 +261,112 @@ def _lineitem() -> str:
     return _union(out)
 
 
+def _catalogue(tables) -> str:
+    """Names, order and types as DuckDB finds them in the tables."""
+    kinds = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+    case = "CASE data_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items()) + " END"
+    names = ", ".join(f"'{t}'" for t in tables)
+    return f"SELECT table_name, column_name, {BIG('column_index')} AS ordinal, {case} AS data_type, is_nullable AS nullable FROM duckdb_columns() WHERE table_name IN ({names})"
+
+
+def _far_counts(table: str, n: int) -> str:
+    return f"CASE WHEN count(DISTINCT {table}) <= {n} THEN true ELSE false END"
+
+
+def _estimated() -> str:
+    top = lambda c: f"(SELECT round(CASE WHEN 100.0 * max(n) / sum(n) >= 1 THEN 100.0 * max(n) / sum(n) ELSE 0 END, 3) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {c}))"
+    return _union(f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, {_far_counts(c, 500)} AS distinct_exact, {top(c)} AS top_percentage FROM lineitem" for c, _ in LINEITEM)
+
+
+def _all_parts() -> str:
+    row = lambda part, c, item, amount, source: f"SELECT '{part}' AS part, '{c}' AS column_name, {item} AS item, round(CAST({amount} AS DOUBLE), 6) AS amount FROM {source}"
+    out = []
+    for c, family in DIRTY:
+        out += [row("total_rows", c, "'count'", "count(*)", f"({ORDERS})"), row("null_count", c, "'count'", f"count(*) - count({c})", f"({ORDERS})"), row("distinct_count", c, "'count'", f"count(DISTINCT {c})", f"({ORDERS})")]
+        if c in ("id", "score", "created_at"):
+            out += [row(f, c, f"CAST({f}({c}) AS VARCHAR)", "count(*)", f"({ORDERS})") for f in ("min", "max")]
+        if c != "amount":
+            out.append(row("top_values", c, "rank || ':' || value", "count", f"({_top('x', ORDERS, c)})"))
+        if family == "text":
+            out.append(row("patterns", c, "pattern", "count", f"({_patterns('x', ORDERS, c)})"))
+        if family == "numeric":
+            out.append(row("histograms", c, "CAST(bin AS VARCHAR)", "count", f"({_histogram(c).replace('FROM orders)', f'FROM ({ORDERS}))')})"))
+    out.append(row("dates", "created_at", "period", "n", f"(SELECT strftime(created_at, '%Y-%m') AS period, count(*) AS n FROM ({ORDERS}) WHERE created_at IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 12)"))
+    numbers = [c for c, f in DIRTY if f == "numeric"]
+    out += [row("correlations", a, f"'{b}'", f"corr({a}, {b})", f"({ORDERS})") for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
+    out += [row("links", "score", f"'{k}'", "1", f"(SELECT 1 WHERE (SELECT bool_and(score IN (SELECT {k} FROM nation)) FROM ({ORDERS}) WHERE score IS NOT NULL) AND (SELECT count({k}) = count(DISTINCT {k}) FROM nation))") for k in ("n_nationkey", "n_regionkey")]
+    out.append(row("duplicates", "", "'rows'", "d", f"({_D})"))
+    return _union(out)
+
+
+def _retried() -> str:
+    out = []
+    for g, state, p, d, columns in (("1", STATE_1, _P1, _DUP1, (*_SHARED, ("gone", "text"))), ("2", STATE_2, _P2, _DUP2, (*_SHARED, ("extra", "text")))):
+        tops = " + ".join(f"(SELECT least(10, count(DISTINCT {c})) FROM ({state}))" for c, _ in columns)
+        out.append(f"SELECT '{g}' AS snapshot_id, (SELECT count(*) FROM ({state})) AS total_rows, {BIG(f'(SELECT d FROM ({d}))')} AS duplicate_rows, (SELECT CAST(greatest(0, 100 - sum(points)) AS DOUBLE) FROM ({_checks(p, d, _DEFAULT)})) AS score, {BIG(len(columns))} AS n_columns, (SELECT count(*) FROM ({_checks(p, d, _DEFAULT)})) AS n_checks, {BIG(tops)} AS n_top_values")
+    return _union(out)
+
+
+def _documents() -> str:
+    none, out = "CAST(NULL AS BIGINT)", []
+    for c, family in DIRTY:
+        lists = {"top_values": f"({_top('x', ORDERS, c)})", "patterns": f"({_patterns('x', ORDERS, c)})" if family == "text" else None, "histograms": f"({_histogram(c).replace('FROM orders)', f'FROM ({ORDERS}))')})" if family == "numeric" else None}
+        lists["dates"] = f"(SELECT strftime({c}, '%Y-%m') AS period, count(*) AS count FROM ({ORDERS}) WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 12)" if family == "datetime" else None
+        sums = ", ".join(f"{none if q is None else f'(SELECT count(*) FROM {q})'} AS n_{n}, {none if q is None else BIG(f'(SELECT sum(count) FROM {q})')} AS sum_{n}" for n, q in lists.items())
+        out.append(f"SELECT '1' AS snapshot_id, '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, {sums}, (SELECT CAST(greatest(0, 100 - sum(points)) AS DOUBLE) FROM ({_checks(_P, _D, _DEFAULT)})) AS score FROM ({ORDERS})")
+    return _union(out)
+
+
+def _incremental() -> str:
+    day = "CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)"
+    table = f"(SELECT ts, user_id, event_type, CASE WHEN {day} THEN value + 1000 ELSE value END AS value FROM events)"
+    out = []
+    for c, family in (("ts", "datetime"), ("user_id", "numeric"), ("event_type", "text"), ("value", "numeric")):
+        n, t = family == "numeric", family == "text"
+        v = f"CAST({c} AS DOUBLE)"
+        num = (lambda x: f"round({x}, 4)") if n else (lambda x: "CAST(NULL AS DOUBLE)")
+        moment = lambda k: f"(SELECT avg(power({v} - m, {k})) / power(any_value(s), {k / 2}) FROM (SELECT {c}, (SELECT avg({v}) FROM {table}) AS m, (SELECT var_pop({v}) FROM {table}) AS s FROM {table}))"
+        out.append(f"""SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, {num(f"avg({v})")} AS avg, {num(f"var_pop({v})")} AS variance, {num(moment(3))} AS skewness, {num(f"{moment(4)} - 3")} AS kurtosis, {num(f"min({v})")} AS min_num, {num(f"max({v})")} AS max_num,
+  {BIG(f"count(*) FILTER ({c} = 0)" if n else "NULL")} AS zero_count, {BIG(f"min(length({c}))" if t else "NULL")} AS min_length, {BIG(f"max(length({c}))" if t else "NULL")} AS max_length, {f"round(avg(length({c})), 4)" if t else "CAST(NULL AS DOUBLE)"} AS avg_length,
+  {f"round((epoch_us(max({c})) - epoch_us(min({c}))) / 86400e6, 4)" if family == "datetime" else "CAST(NULL AS DOUBLE)"} AS date_range_days, count(DISTINCT {c}) AS distinct_count, CAST(1 AS BIGINT) AS parts_read, (SELECT count(*) FROM events WHERE {day}) AS rows_read FROM {table}""")
+    return _union(out)
+
+
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": " ".join(c for c, _ in LINEITEM), "events": "event_id ts user_id event_type value props", "conversations": "conv_id turn role text", "labels": "doc_id quality toxic",
+}
+LINKED = {
+    "integer": "region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey supplier.s_suppkey supplier.s_nationkey part.p_partkey part.p_size orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber events.event_id events.user_id documents.doc_id documents.n_chars embeddings.vec_id embeddings.label pages.page_id benchmark.item_id labels.doc_id labels.quality labels.toxic conversations.conv_id conversations.turn",
+    "text": "region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus events.event_type events.props documents.text documents.lang documents.source pages.url pages.html benchmark.text conversations.role conversations.text",
+}
+
+
+def _unique_keys() -> str:
+    out = []
+    for t, names in COLUMNS.items():
+        names = names.split()
+        single = lambda c, t=t: f"(SELECT count({c}) = count(*) AND count(DISTINCT {c}) = count(*) FROM {t})"
+        out += [f"SELECT '{t}' AS table_name, '{c}' AS key_columns, CAST(1 AS BIGINT) AS n_columns WHERE {single(c)}" for c in names]
+        out += [f"SELECT '{t}', '{a},{b}', 2 WHERE NOT {single(a)} AND NOT {single(b)} AND (SELECT count({a}) = count(*) AND count({b}) = count(*) AND count(DISTINCT ({a}, {b})) = count(*) FROM {t})" for i, a in enumerate(names) for b in names[i + 1 :]]
+    return _union(out)
+
+
+def _fk_discover_all() -> str:
+    """Different values by column, counted once; then pairs of columns that share all of the child's."""
+    parts = []
+    for kind, names in LINKED.items():
+        for x in names.split():
+            t, c = x.split(".")
+            value = f"CAST({c} AS VARCHAR)" if kind == "integer" else c
+            parts.append(f"SELECT '{kind}' AS kind, '{t}' AS t, '{c}' AS c, {value} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}")
+    return f"""WITH v AS ({_union(parts)}), s AS (SELECT kind, t, c, count(*) AS d, max(n) AS most FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column, a.d AS distinct_values
+FROM s a JOIN s b ON a.kind = b.kind AND a.t <> b.t AND b.most = 1 AND a.d <= b.d
+JOIN v x ON x.t = a.t AND x.c = a.c JOIN v y ON y.t = b.t AND y.c = b.c AND y.v = x.v
+GROUP BY ALL HAVING count(*) = a.d"""
+
+
 def oracle_sql() -> dict[str, str]:
     doc = "CASE WHEN length(value) > 256 THEN sha256(value) ELSE value END"
     lengths = _union(f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER ({c} = '') AS empty_count, count(*) FILTER ({c} <> '' AND trim({c}) = '') AS whitespace_count, {BIG(f'coalesce(min(length({c})), 0)')} AS min_length, {BIG(f'coalesce(max(length({c})), 0)')} AS max_length, round(avg(length({c})), 6) AS avg_length FROM ({ORDERS})" for c in ("name", "constant_col"))
@@ -301,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
         "drift_report": f"SELECT CAST(b.g AS VARCHAR) AS snapshot_id, coalesce(n, 0) > 0 AS changed, b.score - a.score AS score_delta, coalesce(n, 0) AS n_changes FROM ({_SCORES}) a JOIN ({_SCORES}) b ON b.g = a.g + 1 LEFT JOIN (SELECT g, count(*) AS n FROM ({_drift()}) GROUP BY 1) c ON c.g = b.g",
         "fk_check": _fk_check(),
         "fk_discover": _fk_discover(),
-        "discover_columns": _union(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {BIG(i)} AS ordinal, '{kind}' AS data_type, true AS nullable, count(*) AS total_rows, count(*) - count({c}) AS null_count FROM {t}" for t, cs in fields.items() for i, (c, kind) in enumerate(cs, 1)),
+        "discover_columns": "SELECT d.table_name, d.column_name, d.ordinal, d.data_type, d.nullable, n.total_rows, n.null_count FROM (" + _catalogue(fields) + ") d JOIN (" + _union(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count FROM {t}" for t, cs in fields.items() for c, _ in cs) + ") n ON n.table_name = d.table_name AND n.column_name = d.column_name",
         "snapshot_previous": _union(f"SELECT '{x}' AS table_name, * FROM ({before})" for x in ("table", "json")),
         "run_checks": f"SELECT * EXCLUDE (g) FROM ({_checks(_P2, _DUP2, _DEFAULT)})",
         "run_drift": _run_drift(),
@@ -311,4 +417,16 @@ def oracle_sql() -> dict[str, str]:
         "approx_percentiles": _union([ranks("l_quantity", "l_quantity"), ranks("thousands", "CAST(floor(l_extendedprice / 1000) AS BIGINT)")]),
         "profile_by_partition": _partitions(),
         "profile_lineitem": _lineitem(),
+        "percentiles_by_group": "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {p}), 4) AS p{round(100 * p)}" for p in stats.PERCENTILES) + " FROM events GROUP BY event_type",
+        "kll_percentiles": _union(f"SELECT '{c}' AS column_name, 'p{round(100 * p)}' AS percentile, round(quantile_cont(CAST({c} AS DOUBLE), {p}), 4) AS value FROM lineitem" for c in ("l_extendedprice", "l_quantity", "l_partkey") for p in stats.PERCENTILES),
+        "heavy_hitters": _union([_top("events", "SELECT * FROM events", c) for c in ("event_type", "user_id", "event_id")] + [_top("part", "SELECT * FROM part", c) for c in ("p_brand", "p_type", "p_size")] + [_top("documents", "SELECT * FROM documents", "lang"), _top("documents", "SELECT * FROM documents", "text", doc)]),
+        "exact_size_sample": "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_orderkey * 7919 % 1000003 LIMIT 1000",
+        "basic_tier_estimated": _estimated(),
+        "profile_all_parts": _all_parts(),
+        "snapshot_retried": _retried(),
+        "profile_documents": _documents(),
+        "incremental_profile": _incremental(),
+        "unique_keys": _unique_keys(),
+        "fk_discover_all": _fk_discover_all(),
+        "composite_link": f"SELECT count(*) AS filled_rows, count(*) FILTER (NOT ok) AS orphan_rows, round({_pct('count(*) FILTER (ok)', 'count(*)')}, 6) AS match_percentage FROM (SELECT (o_custkey, o_orderstatus) IN (SELECT (o_custkey, o_orderstatus) FROM orders WHERE o_orderkey % 2 = 0) AS ok FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL)",
     }

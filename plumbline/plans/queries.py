@@ -8,11 +8,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import drift, links, pii, quality, states, stats
-from plumbline.plans import inputs
+from plumbline.operators import drift, links, pii, quality, states, stats, topk
+from plumbline.plans import document, incremental, inputs
 from plumbline.plans.profile import column_profiles, profile_table, run_profile
 from plumbline.sources import history
-from plumbline.sources.tables import discover_columns, keyed_sample, shared_dir, stored
+from plumbline.sources.tables import discover_columns, exact_sample, keyed_sample, shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -154,10 +154,9 @@ def _contacts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pii_value_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all values, not the top ten."""
+    """Over all values, not the top ten; whole texts, which are not shuffled."""
     df = _derived(spark, sf_dir, inputs.DIRTY_CONTACTS, "customer")
-    freq = stats.value_freq(df, ["contact", "reach", "payment_value", "host", "doc", "token", "segment"])
-    return _rounded(pii.value_ratios(freq.withColumnRenamed("n", "count")))
+    return _rounded(pii.column_ratios(df, ["contact", "reach", "payment_value", "host", "doc", "token", "segment"]))
 
 
 def pii_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,10 +327,142 @@ def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profile_table(_table(spark, sf_dir, "lineitem"), as_of=_as_of()).columns.select(*PROFILED), 3)
 
 
+def percentiles_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of the values of each type of event."""
+    return _rounded(stats.percentiles(_table(spark, sf_dir, "events").select("event_type", "value"), by=["event_type"]).drop("column_name"), 4)
+
+
+def kll_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from KLL sketches of the months of lineitem: the exact value where the estimate's rank is within the error, else the estimate."""
+    df = _table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_extendedprice", "l_quantity", "l_partkey")
+    merged = stored(states.merge_states(states.partial_states(df, ["month"])), "merged")
+    rows = df.drop("month")
+    exact = stats.percentiles(rows)
+    exact = exact.select("column_name", F.inline(F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(p).alias("exact")) for p in _PERCENTILES])))
+    met = states.rank_errors(rows, merged).join(exact, ["column_name", "percentile"])
+    return _rounded(met.select("column_name", "percentile", F.when(F.col("rank_error") <= states.RANK_ERROR, F.col("exact")).otherwise(F.col("estimate")).alias("value")), 4)
+
+
+def heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent values, by summary and second scan where that proves them."""
+    out = [(t, topk.heavy_hitters(_table(spark, sf_dir, t), cols, exact=True).drop("proven")) for t, cols in (("events", ["event_type", "user_id", "event_id"]), ("part", ["p_brand", "p_type", "p_size"]), ("documents", ["lang", "text"]))]
+    return _rounded(_tagged(out))
+
+
+def exact_size_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand orders by a hash of their keys that both engines know."""
+    df = _table(spark, sf_dir, "orders")
+    return _rounded(exact_sample(df, 1000, ["o_orderkey"], hashed=F.col("o_orderkey") * 7919 % 1000003).select("o_orderkey", "o_custkey", "o_totalprice"), 2)
+
+
+def basic_tier_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basic tier where values are counted only of columns with up to 500 different ones; estimates within a tenth show the exact count, as in approx_distinct, and top values of under a hundredth are left out."""
+    df = _table(spark, sf_dir, "lineitem")
+    p = column_profiles(df, as_of=_as_of(), tier="basic", counted=500)
+    exact = stats.distinct_counts(stats.value_freq(df)).select("column_name", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.1 * F.col("exact")
+    return _rounded(p.join(exact, "column_name").select("column_name", "total_rows", "null_count", F.when(near, F.col("exact")).otherwise(F.col("distinct_count")).alias("distinct_count"), "distinct_exact", F.when(F.col("top_percentage") >= 1, F.col("top_percentage")).otherwise(0.0).alias("top_percentage")), 3)
+
+
+def profile_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of one profile as rows (part, column_name, item, amount): columns, duplicates, top values, patterns, histograms, months, correlations and links."""
+    df = _derived(spark, sf_dir, inputs.DIRTY_ORDERS, "orders")
+    found = links.discover_links({"orders": df.select("id", "score"), "nation": _table(spark, sf_dir, "nation")})
+    declared = links.declared_links(found.select(F.col("child_column").alias("column_name"), F.lit("s").alias("target_schema"), F.col("parent_table").alias("target_table"), F.col("parent_column").alias("target_column")).where("target_table = 'nation'"))
+    p = profile_table(df, as_of=_as_of(), relationships=declared)
+    row = lambda part, rows, item, amount, name="column_name": rows.select(F.lit(part).alias("part"), F.col(name).alias("column_name"), item.cast("string").alias("item"), amount.cast("double").alias("amount"))
+    c = F.col
+    ends = [row(x, p.columns.where("column_name in ('id', 'score', 'created_at')"), c(x), c("total_rows")) for x in ("min", "max")]
+    counts = [row(x, p.columns, F.lit("count"), c(x)) for x in ("total_rows", "null_count", "distinct_count")]
+    tops = row("top_values", p.top_values.where("column_name <> 'amount'"), F.concat_ws(":", c("rank").cast("string"), c("value")), c("count"))
+    rest = [
+        tops, row("patterns", p.patterns, c("pattern"), c("count")), row("histograms", p.histograms, c("bin"), c("count")), row("dates", p.dates, c("period"), c("count")),
+        row("correlations", p.correlations, c("column_b"), c("coefficient"), "column_a"), row("links", p.links, c("target_column"), F.lit(1)), row("duplicates", p.duplicates.withColumn("x", F.lit("")), F.lit("rows"), c("duplicate_rows"), "x"),
+    ]
+    out = None
+    for part in (*ends, *counts, *rest):
+        out = part if out is None else out.unionByName(part)
+    return _rounded(out)
+
+
+def snapshot_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots, of which the first crashed once before its parts were whole and was then run twice: figures of what is there, a row for each."""
+    path = f"{shared_dir(spark)}/retried-{uuid.uuid4().hex}"
+    states_ = [_derived(spark, sf_dir, sql, "customer") for sql in (inputs.STATE_1, inputs.STATE_2)]
+    made = [F.lit(f"1999-06-0{i} 00:00:00").cast("timestamp_ntz") for i in (1, 2)]
+    history.stage({"checks": states_[0].select(F.lit("left by a crash").alias("name"))}, path, "s", "t", "1", made[0])
+    for i in (0, 0, 1):
+        run_profile(states_[i], "s", "t", str(i + 1), made[i], path)
+    part = lambda name: history.load_part(spark, path, name)
+    n = lambda name: part(name).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    out = part("tables").select("snapshot_id", "total_rows", "duplicate_rows", "score")
+    for name in ("columns", "checks", "top_values"):
+        out = out.join(n(name), "snapshot_id")
+    return _rounded(out)
+
+
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved profile as one nested JSON document, read back: figures of each column's lists."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    df = _derived(spark, sf_dir, inputs.DIRTY_ORDERS, "orders")
+    run_profile(df, "s", "orders", "1", _as_of(), path)
+    parts = {n: history.load_part(spark, path, n) for n in ("columns", "tables", *document.PER_COLUMN, *document.PER_TABLE)}
+    docs = stored(document.documents(parts), "documents")
+    back = document.parsed(docs, document.document_schema(parts))
+    total = lambda part: back[part].groupBy("column_name").agg(F.count(F.lit(1)).alias(f"n_{part}"), F.sum("count").alias(f"sum_{part}"))
+    out = back["columns"].select("snapshot_id", "column_name", "total_rows", "null_count", "distinct_count")
+    for part in document.PER_COLUMN:
+        out = out.join(total(part), "column_name", "left")
+    return _rounded(out.join(back["tables"].select("snapshot_id", "score"), "snapshot_id"))
+
+
+def incremental_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by day, profiled, then again after the first day's values have changed: the merged profile, and what the second run read."""
+    base = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    df = _table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "user_id", "event_type", "value")
+    df.repartition("day").write.partitionBy("day").parquet(f"{base}/events")
+    read = lambda: spark.read.parquet(f"{base}/events")
+    incremental.profile(read(), ["day"], f"{base}/states", "events")
+    day = df.agg(F.min("day")).first()[0]
+    changed = stored(df.where(F.col("day") == day).withColumn("value", F.col("value") + 1000), "changed")
+    changed.drop("day").write.mode("overwrite").parquet(f"{base}/events/day={day}")
+    run = incremental.profile(read(), ["day"], f"{base}/states", "events")
+    exact = stats.distinct_counts(stats.value_freq(read().drop("day"))).select("column_name", F.col("distinct_count").alias("exact"))
+    met = run.columns.join(exact, "column_name")
+    near = F.abs(F.col("approx_distinct_count") - F.col("exact")) <= 0.1 * F.col("exact")
+    shown = ("column_name", "total_rows", "null_count", "avg", "variance", "skewness", "kurtosis", "min_num", "max_num", "zero_count", "min_length", "max_length", "avg_length", "date_range_days")
+    return _rounded(met.select(*shown, F.when(near, F.col("exact")).otherwise(F.col("approx_distinct_count")).alias("distinct_count"), F.lit(run.parts_read).cast("long").alias("parts_read"), F.lit(run.rows_read).cast("long").alias("rows_read")), 4)
+
+
+KEYED = {"region": 2, "nation": 2, "customer": 2, "orders": 2, "lineitem": 2, "events": 2, "conversations": 2, "labels": 2}
+
+
+def unique_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least unique sets of up to two columns."""
+    out = _tagged([(t, links.unique_keys(_table(spark, sf_dir, t), n)) for t, n in KEYED.items()])
+    return _rounded(out.select("table_name", F.array_join("key_columns", ",").alias("key_columns"), "n_columns"))
+
+
+ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def fk_discover_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between all integer and text columns of all tables."""
+    return links.discover_links({t: _table(spark, sf_dir, t) for t in ALL_TABLES})
+
+
+def composite_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pairs of customer and status in orders are among those of the orders with an even key, and how many rows are orphans."""
+    orders = _table(spark, sf_dir, "orders")
+    keys = ["o_custkey", "o_orderstatus"]
+    return _rounded(links.check_link(orders, keys, orders.where("o_orderkey % 2 = 0"), keys))
+
+
 def queries() -> dict[str, Query]:
     every = (
         discover, column_completeness, text_blank_stats, numeric_basic, numeric_moments, numeric_percentiles, numeric_outliers, numeric_histogram, datetime_stats, date_distribution, top_values, string_patterns, text_entropy,
         numeric_correlations, duplicate_rows, duplicate_rows_fingerprint, keyed_sample_profile, pii_header, pii_value_ratio, pii_detect, masked_top_values, quality_checks, quality_score, quality_custom_rules, snapshot_history, snapshot_latest, snapshot_previous, run_checks, run_drift, pii_headed, basic_tier_columns,
         drift_history, drift_changes, drift_report, fk_check, fk_discover, approx_distinct, approx_percentiles, profile_by_partition, profile_lineitem,
+        percentiles_by_group, kll_percentiles, heavy_hitters, exact_size_sample, basic_tier_estimated, profile_all_parts, snapshot_retried, profile_documents, incremental_profile, unique_keys, fk_discover_all, composite_link,
     )
     return {("discover_columns" if f is discover else f.__name__): f for f in every}

@@ -8,9 +8,11 @@ repeated run adds nothing.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +62,14 @@ def stage(parts: Mapping[str, DataFrame], path: str, schema_name: str, table_nam
     """Write the parts of a snapshot, not yet to be seen; gives the attempt's id."""
     attempt = uuid.uuid4().hex
     tag = {"schema_name": F.lit(schema_name), "table_name": F.lit(table_name), "snapshot_id": F.lit(snapshot_id), "created_at": created_at, "attempt": F.lit(attempt)}
+    kinds = []
     for name, rows in parts.items():
-        save(rows.withColumns(tag), f"{path}/{name}")
+        rows = rows.withColumns(tag)
+        save(rows, f"{path}/{name}")
+        kinds.append((name, rows.schema.json()))
+    # a part without rows has no file that would tell its columns
+    spark = rows.sparkSession
+    spark.createDataFrame(kinds, "part string, columns string").coalesce(1).write.mode("append").parquet(f"{path}/kinds")
     return attempt
 
 
@@ -83,7 +91,14 @@ def commit(parts: Mapping[str, DataFrame], path: str, schema_name: str, table_na
 def load_part(spark: SparkSession, path: str, part: str) -> DataFrame:
     """The rows of a part of all committed snapshots. The manifest has a row for each snapshot and is broadcast while Spark finds it small."""
     seen = manifest(spark, path).select(*_SNAPSHOT, "attempt")
-    return load(spark, f"{path}/{part}").join(seen, [*_SNAPSHOT, "attempt"], "left_semi").drop("attempt")
+    try:
+        rows = load(spark, f"{path}/{part}")
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        kind = spark.read.parquet(f"{path}/kinds").where(F.col("part") == part).first()
+        return spark.createDataFrame([], T.StructType.fromJson(json.loads(kind["columns"]))).drop("attempt")
+    return rows.join(seen, [*_SNAPSHOT, "attempt"], "left_semi").drop("attempt")
 
 
 def history(snapshots: DataFrame, limit: int = 20, key: Sequence[str] = KEY) -> DataFrame:

@@ -63,17 +63,17 @@ def sample_rows(df: DataFrame, size: int, total: int, seed: int = 42) -> DataFra
 RANKED = 100_000
 
 
-def exact_sample(df: DataFrame, size: int, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
+def exact_sample(df: DataFrame, size: int, keys: Sequence[str] = (), seed: int = 42, hashed: Column | None = None) -> DataFrame:
     """Exactly ``size`` rows (all, if there are no more): those with the least hashes of ``keys`` (all columns if none are given), so the same rows on any run and partitioning.
 
     The hash that bounds the sample is found from counts by ranges of hashes, of 2^16 ranges at a time, until a range holds
     few enough rows to be ranked in a task; the rows are then filtered, not sorted. Rows of equal keys go by a hash of all
-    columns; rows equal in all are counted.
+    columns; rows equal in all are counted. ``hashed`` takes the place of the hash of the keys, say to agree with another engine.
     """
     if size <= 0:
         return df
     every = row_values(df)
-    hashes = {"_h0": F.xxhash64(F.lit(seed), *([ref(k) for k in keys] or every)), "_h1": F.xxhash64(F.lit(seed + 1), *every)}
+    hashes = {"_h0": F.xxhash64(F.lit(seed), *([ref(k) for k in keys] or every)) if hashed is None else hashed.cast("long"), "_h1": F.xxhash64(F.lit(seed + 1), *every)}
     rows = df.withColumns(hashes)
     known = stored(rows.select("_h0", "_h1"), "hashes")
     inside, missing, taken = known, size, F.lit(False)  # of the rows that may lie on the bound, so many are still to take
