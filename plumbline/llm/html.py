@@ -12,20 +12,23 @@ Hot hosts are safe: counts are aggregated before the shuffle, and only hashes on
 count of different pages; pages meet them in a join on (host, hash).
 
 Defined cases: null or empty html gives empty text; a null url is a host of its own (empty); repeated rows count as one
-page and each get the text; html without any markup is one block; unclosed and stray tags are repaired;
-extra columns are kept (text and n_chars are overwritten).
+page and each get the text; html without any markup is one block; unclosed and stray tags are repaired, of any number and
+depth: time and memory grow with the length of the html alone; an empty table gives an empty table; extra columns are
+kept, whatever their names (text and n_chars are overwritten).
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import ref
 from plumbline.llm.common import add_columns, read, stored
 from plumbline.llm.urls import url_host
 
@@ -67,6 +70,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.attrs, self.kids = ["#root"], [-1], [{}], [[]]
         self.open = [0]
+        self.at: dict[str, list[int]] = {}  # where in ``open`` each tag stands, so that nothing is searched for
         at, size, token = 0, len(html), TOKEN.match
         while at < size:
             m = token(html, at)
@@ -86,13 +90,13 @@ class Page:
                     at = close.start() if close else size
 
     def _pop_to(self, tag: str, stop: frozenset[str] | set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.tags[self.open[i]]
-            if name == tag:
-                del self.open[i:]
-                return
-            if name in stop:
-                return
+        """Close the innermost open ``tag`` and what is in it, unless an element of ``stop`` stands between."""
+        found = self.at.get(tag)
+        if not found or any(self.at.get(s) and self.at[s][-1] > found[-1] for s in stop):
+            return
+        for node in reversed(self.open[found[-1] :]):
+            self.at[self.tags[node]].pop()
+            self.open.pop()
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in ENDS_P:
@@ -116,6 +120,7 @@ class Page:
         self.kids.append([])
         self.kids[self.open[-1]].append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def end(self, tag: str) -> None:
@@ -146,8 +151,8 @@ class Page:
                 break
         return out or [0]
 
-    def parsed(self) -> tuple[list[tuple[str, list[int]]], list[int], list[int], int]:
-        """Pieces of main text with the hashes of the counted elements around them, the different ones of these, those of elements outside the article that are around no piece, and the hash of the main text."""
+    def parsed(self) -> tuple[list[str], list[tuple[int, int, int]], list[int], int]:
+        """Pieces of main text; counted elements around them as (hash, first piece, last piece); hashes of counted elements outside the article that are around no piece; and the hash of the main text."""
         regions = self.regions()
         n = len(self.tags)
         inside = [False] * n
@@ -174,14 +179,15 @@ class Page:
             if filled[i] and self.tags[i] in COUNTED:
                 counted[i] = signed(digest[i])
 
-        pieces: list[tuple[str, list[int]]] = []
+        pieces: list[str] = []
+        nodes: list[tuple[int, int, int]] = []
         now: list[str] = []
-        around: list[int] = []
+        begun: dict[int, int] = {}
 
         def close() -> None:
             line = " ".join("".join(now).split())
             if line:
-                pieces.append((line, list(around)))
+                pieces.append(line)
             now.clear()
 
         for region in regions:
@@ -192,48 +198,58 @@ class Page:
                     now.append(k)
                 elif k < 0:
                     close()
-                    if -k in counted:
-                        around.pop()
+                    if -k in begun and begun[-k] < len(pieces):
+                        nodes.append((counted[-k], begun[-k], len(pieces) - 1))
                 elif k == region or not self.dropped(k, region > 0):
                     if self.tags[k] in BLOCKS:
                         close()
                         if k in counted:
-                            around.append(counted[k])
+                            begun[k] = len(pieces)
                         todo.append(-k)
                     elif self.tags[k] == "br":
                         now.append(" ")
                     todo += reversed(self.kids[k])
             close()
-        whole = "\n".join(t for t, _ in pieces)
-        if not any(h for _, h in pieces):
-            pieces = [(whole, [])]
+        whole = "\n".join(pieces)
+        if not nodes:
+            pieces = [whole]
         # inside an article only what stands around its text can matter
-        hashes = set().union(*(h for _, h in pieces))
-        others = {h for i, h in counted.items() if not inside[i]} - hashes
-        return pieces, list(hashes), list(others), signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
+        others = {h for i, h in counted.items() if not inside[i]} - {h for h, _, _ in nodes}
+        return pieces, nodes, list(others), signed(xxhash.xxh3_64_intdigest(whole.encode("utf-8", "surrogatepass")))
 
 
-PARSED = "pieces array<struct<t: string, h: array<bigint>>>, hashes array<bigint>, others array<bigint>, content bigint"
+PARSED = "pieces array<string>, nodes array<struct<h: bigint, a: int, b: int>>, others array<bigint>, content bigint"
 
 
 def parse(pages: DataFrame, kept: list[str], html: str = "html") -> DataFrame:
-    """Each page's pieces and hashes, in place of its html."""
+    """Each page's pieces and elements, in place of its html."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         done = [Page(h or "").parsed() for h in batch[html]]
-        return pd.DataFrame({"pieces": [[{"t": t, "h": h} for t, h in p] for p, _, _, _ in done], "hashes": [h for _, h, _, _ in done], "others": [h for _, _, h, _ in done], "content": [c for _, _, _, c in done]})
+        return pd.DataFrame({"pieces": [p for p, _, _, _ in done], "nodes": [[{"h": h, "a": a, "b": b} for h, a, b in n] for _, n, _, _ in done], "others": [o for _, _, o, _ in done], "content": [c for _, _, _, c in done]})
 
-    return add_columns(pages, [*kept, "row_id", "host"], [html], PARSED, run)
+    return add_columns(pages, kept, [html], PARSED, run)
+
+
+def without(pieces: list[str], nodes: list[tuple[int, int, int]], template: set[int]) -> str:
+    """The pieces around which no element is template."""
+    depth = [0] * (len(pieces) + 1)
+    for h, a, b in nodes:
+        if h in template:
+            depth[a] += 1
+            depth[b + 1] -= 1
+    return "\n".join(p for p, d in zip(pieces, accumulate(depth), strict=False) if not d)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` without its html, plus text and n_chars."""
-    names = {html, "text", "n_chars", "row_id", "host", "pieces", "hashes", "others", "content", "template"}
-    kept = [c for c in pages.columns if c not in names]
-    rows = pages.select(*kept, html, url_host(F.col(url)).alias("host"), F.monotonically_increasing_id().alias("row_id"))
-    rows = stored(parse(rows, kept, html), "parsed")  # written once, so that row_id stays what it is
+    own = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    pad = "_" * (1 + max(map(len, own), default=0))
+    kept = F.struct(*[ref(c).alias(c) for c in own], F.lit(0).alias(pad)).alias("kept")  # under one name, which clashes with none of ours
+    rows = pages.select(kept, ref(html).alias("html"), url_host(ref(url)).alias("host"), F.monotonically_increasing_id().alias("row_id"))
+    rows = stored(parse(rows, ["kept", "row_id", "host"]), "parsed")  # written once, so that row_id stays what it is
     site = F.xxhash64("host").alias("site")
-    around = F.transform("hashes", lambda h: F.struct(h.alias("hash"), F.lit(True).alias("around")))
+    around = F.transform(F.array_distinct(F.transform("nodes", lambda x: x["h"])), lambda h: F.struct(h.alias("hash"), F.lit(True).alias("around")))
     others = F.transform("others", lambda h: F.struct(h.alias("hash"), F.lit(False).alias("around")))
     found = rows.select("row_id", site, "content", F.explode(F.concat(around, others)).alias("e")).select("row_id", "site", "content", "e.hash", "e.around")
     often = stored(found.groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("site", "hash"), "often")
@@ -242,13 +258,19 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", min_pages: i
     pages_of = rows.select(site, "content").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     template = stored(on.join(pages_of, "site").where(F.col("n") >= min_share * F.col("of")).select("site", "hash"), "template")
     # pages without elements around their text have no piece that could be template
-    parts = F.exists("pieces", lambda p: F.size(p["h"]) > 0)
+    parts = F.size("nodes") > 0
     # stored, so that its size is known: the texts are shuffled only if it cannot be broadcast
     mine = stored(found.where("around").join(template, ["site", "hash"]).groupBy("row_id").agg(F.collect_set("hash").alias("template")), "mine")
-    left = F.filter("pieces", lambda p: F.col("template").isNull() | ~F.arrays_overlap(p["h"], F.col("template")))
-    cut = rows.where(parts).join(mine, "row_id", "left").select(*kept, F.array_join(F.transform(left, lambda p: p["t"]), "\n").alias("text"))
-    whole = rows.where(~parts).select(*kept, F.array_join(F.transform("pieces", lambda p: p["t"]), "\n").alias("text"))
-    return whole.unionByName(cut).withColumn("n_chars", F.length("text").cast("long"))
+
+    def cut(batch: pd.DataFrame) -> pd.DataFrame:
+        each = zip(batch["pieces"], batch["nodes"], batch["template"], strict=True)
+        return pd.DataFrame({"text": [without(list(p), [(x["h"], x["a"], x["b"]) for x in n], set(t.tolist())) for p, n, t in each]})
+
+    met = rows.where(parts).join(mine, "row_id", "left")
+    whole = rows.where(~parts).select("kept", "pieces").unionByName(met.where("template is null").select("kept", "pieces")).select("kept", F.array_join("pieces", "\n").alias("text"))
+    less = add_columns(met.where("template is not null"), ["kept"], ["pieces", "nodes", "template"], "text string", cut)
+    out = whole.unionByName(less)
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in own], "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import repair, simhash, spelling
+from plumbline.llm import html, repair, simhash, spelling
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -308,3 +309,116 @@ def test_repair_edges(spark, size):
 
 def test_repair_empty(spark):
     assert repair.repaired(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).collect() == []
+
+
+# operator 10
+
+
+def plain_tree(rng, host, page):
+    """A page as nested (tag, class, kids)."""
+    words = lambda n: " ".join(f"w{rng.integers(0, 400)}" for _ in range(n))
+    own = lambda tag="p": (tag, "", [words(3), ("b", "", [words(1)]), words(2)])
+    box = lambda k: ("div", f"c{k}", [("p", "", [f"box {host} {k}"]), ("section", "", [("p", "", [f"more {host} {k}"]), " tail "])])
+    some = lambda n: [own() if rng.random() < 0.7 else box(int(rng.integers(0, 3))) if rng.random() < 0.7 else ("ul", "", [("li", "", [words(2)]), ("li", "", [own()])]) for _ in range(n)]
+    top = [("nav", "", [("p", "", ["menu"])]), box(0) if rng.random() < 0.8 else own("div")]
+    body = [("article", "", [("h1", "", [words(2)]), *some(4), ("aside", "", ["aside"]), ("div", "ad", [("p", "", ["buy"])]), box(1)])] if rng.random() < 0.6 else some(3)
+    return ("body", "", [*top, *body, ("footer", "", [("p", "", [f"foot {host}"])])])
+
+
+def written(node):
+    tag, name, kids = node
+    return f"<{tag}{f' class={name}' if name else ''}>" + "".join(k if isinstance(k, str) else written(k) for k in kids) + f"</{tag}>"
+
+
+COUNTED = {"p", "div", "section", "ul", "li", "h1", "nav", "footer", "aside"}
+GONE = {"nav", "footer", "aside"}
+
+
+def plain_page(root):
+    """(pieces with the canonical elements around them, canonical elements outside articles)."""
+    gone = lambda n: n[0] in GONE or n[1] == "ad"
+
+    def articles(n):
+        if gone(n):
+            return []
+        return [n] if n[0] == "article" else [a for k in n[2] if not isinstance(k, str) for a in articles(k)]
+
+    regions = articles(root) or [root]
+
+    def canonical(n):
+        if n[0] == "article":
+            return ("article",)
+        return (n[0], *[k if isinstance(k, str) else canonical(k) for k in n[2]])
+
+    outside = set()
+
+    def look(n):
+        if n[0] == "article":
+            return
+        if n[0] in COUNTED:
+            outside.add(canonical(n))
+        for k in n[2]:
+            if not isinstance(k, str):
+                look(k)
+
+    look(root)
+    pieces, now = [], []
+
+    def close(around):
+        if line := " ".join("".join(now).split()):
+            pieces.append((line, around))
+        now.clear()
+
+    def walk(n, around):
+        for k in n[2]:
+            if isinstance(k, str):
+                now.append(k)
+            elif not gone(k):
+                if k[0] == "b":
+                    walk(k, around)
+                else:
+                    close(around)
+                    inner = around | {canonical(k)} if k[0] in COUNTED else around
+                    walk(k, inner)
+                    close(inner)
+
+    for r in regions:
+        walk(r, frozenset())
+        close(frozenset())
+    return pieces, outside
+
+
+def test_html_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    pages = [(f"host{h}", plain_tree(rng, h, i)) for h, n in enumerate((1, 4, 6, 30, 60)) for i in range(n)]
+    pages += [pages[5]] * 6
+    seen = [plain_page(t) for _, t in pages]
+    whole = ["\n".join(t for t, _ in p) for p, _ in seen]
+    rows, contents, of = Counter(), defaultdict(set), defaultdict(set)
+    for (h, _), (p, outside), text in zip(pages, seen, whole, strict=True):
+        of[h].add(text)
+        for e in set().union(outside, *(a for _, a in p)):
+            rows[h, e] += 1
+            contents[h, e].add(text)
+    template = {(h, e) for (h, e), n in rows.items() if n >= 5 and len(contents[h, e]) >= max(5, 0.5 * len(of[h]))}
+    want = ["\n".join(t for t, a in p if not any((h, e) in template for e in a)) for (h, _), (p, _) in zip(pages, seen, strict=True)]
+    assert sum(a != b for a, b in zip(want, whole, strict=True)) > 50
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", written(t), h, i, "x") for i, (h, t) in enumerate(pages)], "page_id long, url string, html string, host string, row_id int, kept string").repartition(4)
+    got = html.extract(df)
+    assert got.columns == ["page_id", "url", "host", "row_id", "kept", "text", "n_chars"]
+    found = {r["page_id"]: r for r in got.collect()}
+    assert [found[i]["text"] for i in range(len(pages))] == want
+    assert all((r["host"], r["row_id"], r["kept"]) == (pages[i][0], i, "x") for i, r in found.items())
+
+
+def test_html_deep_and_stray(spark):
+    """Pages of a hundred thousand tags take linear time and memory."""
+    n = 30_000
+    rows = ["<div>a" * n, "<b>" * n + "</i>" * n + "x", "<b>" * n + "<div>y</div>" * n + "</b>" * n, "<article>" + "<b>" * n + "<p>z</i></u></p>" * n, "a " * 300_000]
+    began = time.time()
+    pages = [html.Page(h).parsed() for h in rows]
+    assert time.time() - began < 60
+    assert [len(p[0]) for p in pages] == [n, 1, n, n, 1]
+    df = spark.createDataFrame([(i, "http://a/", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert [out[i] for i in range(5)] == ["\n".join("a" * n), "x", "\n".join("y" * n), "\n".join("z" * n), ("a " * 300_000).strip()]
