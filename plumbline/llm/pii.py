@@ -4,7 +4,7 @@
 exclusive, ordered by start, then kind. Base kinds (email, ip, card, phone) are leftmost non-overlapping matches per
 kind; what fails its check is dropped without a retry. Their score only reports confidence, base spans always stay. The
 method adds four kinds: ``iban`` (mod 97 confirms), ``card13`` (a 13-digit number that passes Luhn), ``localphone`` (a
-national number such as 555-123-4567, which no checksum can confirm) and ``secret`` (a key or token: one run of 20 to 200
+national number such as 555-123-4567, which no checksum can confirm) and ``secret`` (a key or token: one run of 20 or more
 letters, digits, ``_`` and ``-`` with letters and digits in it whose characters have at least ``MIN_ENTROPY`` bits of
 entropy, as random ones do and words do not); an added span has to reach ``THRESHOLD`` and
 must not overlap a base span. Of overlapping added spans of different kinds all stay. Score = base score of the kind + 0.3 for a context word within 40 characters before or 20
@@ -13,7 +13,8 @@ after.
 Only built-in functions are used. The patterns equal the plain ones but are possessive and start only where a run
 starts, so that long runs cost linear time and no stack.
 
-Defined cases: null and empty texts have no spans; repeated rows each get their own; extra columns are kept (``pii`` is
+Defined cases: null and empty texts have no spans; repeated rows each get their own; an empty table gives an empty
+table; extra columns are kept (``pii`` is
 overwritten).
 """
 
@@ -36,7 +37,7 @@ DIGITS = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL = r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])"
-SECRET = r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])"
+SECRET = r"(?:\G|(?<![A-Za-z0-9_-]))[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])"
 SCORES = {"secret": 0.4, "email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.9, "card13": 0.4, "localphone": 0.4}
 CONTEXT = {
     "email": "e-?mail|contact|mailto|write|courriel|correo",
