@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.sources.tables import shared_dir, stored
 
-__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "give_back", "join_counted", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
+__all__ = ["WordHashes", "add_columns", "ascii_lower", "bit_filter", "bound_batches", "fresh", "give_back", "join_counted", "map_frames", "maybe_in", "mix", "read", "shared_dir", "stored"]
 
 BATCH_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -102,6 +102,15 @@ def maybe_in(df: DataFrame, key: str, name: str, words: DataFrame, size: int) ->
     return met.withColumn(name, F.coalesce(F.col(f"{name}_bits").bitwiseAND(bit) != 0, F.lit(False))).drop(f"{name}_word", f"{name}_bits")
 
 
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as tell them from the columns ``taken``, in any case."""
+    known = {t.lower() for t in taken}
+    pad = "_"
+    while known & {(pad + n).lower() for n in names}:
+        pad += "_"
+    return [pad + n for n in names]
+
+
 def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], hot: int, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left) to the distinct keys ``keyed``, whose column n, which is dropped, counts their rows.
 

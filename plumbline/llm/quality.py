@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import add_columns, bound_batches, map_frames, mix, read, stored
+from plumbline.llm.common import add_columns, bound_batches, fresh, map_frames, mix, read, stored
 
 ORDER, BITS = 4, 16
 MAX_ENTRIES = 1 << 22
@@ -345,12 +345,13 @@ def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
 def verdicts(measured: DataFrame, lang: str = "lang") -> DataFrame:
     """``measured`` plus kept: not base_failed and log2_ppl inside its language's band."""
     limits = stored(bands(measured, lang), "bands")
-    own = limits.where("band_lang is not null").select("band_lang", F.col("low").alias("_low"), F.col("high").alias("_high"))
+    at, bottom, top = fresh(measured.columns, "band_lang", "low", "high")
+    own = limits.where("band_lang is not null").select(F.col("band_lang").alias(at), F.col("low").alias(bottom), F.col("high").alias(top))
     rest = (limits.where("band_lang is null").select("low", "high").first() or (None, None))
-    low, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("_low", "_high"), rest, strict=True))
+    low, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip((bottom, top), rest, strict=True))
     fits = F.coalesce((F.col("log2_ppl") >= low) & (F.col("log2_ppl") <= high), F.lit(True))
-    met = measured.join(own, F.coalesce(measured[lang], F.lit("")) == own["band_lang"], "left")
-    return met.withColumn("kept", ~F.col("base_failed") & fits).drop("band_lang", "_low", "_high")
+    met = measured.join(own, F.coalesce(measured[lang], F.lit("")) == own[at], "left")
+    return met.withColumn("kept", ~F.col("base_failed") & fits).drop(at, bottom, top)
 
 
 def quality(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", max_entries: int = MAX_ENTRIES) -> DataFrame:
