@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WordHashes, bit_filter, bound_batches, map_frames, maybe_in, mix, read, stored
+from plumbline.llm.common import WordHashes, bit_filter, bound_batches, join_counted, map_frames, maybe_in, mix, read, stored
 
 BANDS, ROWS, AGREE_SD = 32, 5, 5.0
 #: A bit filter of 16 MB at most.
@@ -238,10 +238,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
 
     buckets = stored(band_keys(classes), "buckets")
     shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    inside = stored(buckets.join(shared, "bucket"), "inside")
+    hot = buckets.count() // 1000 + 1  # of fuller buckets there are fewer than a thousand: these are broadcast
+    inside = stored(join_counted(buckets, shared.withColumn("n", F.col("size")), ["bucket"], hot), "inside")
     weight = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
-    central = inside.join(stored(weight, "weight"), "rep").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("rep"), "rep")).alias("c"))
-    stars = inside.join(stored(central.select("bucket", F.col("c.rep").alias("b")), "central"), "bucket").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    central = inside.join(stored(weight, "weight"), "rep").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("rep"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
+    stars = join_counted(inside, stored(central.select("bucket", F.col("c.rep").alias("b"), "n"), "central"), ["bucket"], hot).where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
     first = stored(agreeing(best, classes, threshold), "pairs")
     met = stored(classes.join(inside.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key"), "met")
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     where = inside.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     where = stored(where, "where")
     mixed = where.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).where("r1 <> r2").select("bucket", "size")
-    open_ = stored(where.join(mixed, "bucket"), "open")
+    open_ = stored(join_counted(where, stored(mixed.withColumn("n", F.col("size")), "mixed"), ["bucket"], hot), "open")
     large, open_ = open_.where(F.col("size") > SMALL_BUCKET).drop("size"), open_.where(F.col("size") <= SMALL_BUCKET)
     x = open_.select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra"))
     y = open_.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"))
