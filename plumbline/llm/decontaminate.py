@@ -11,8 +11,9 @@ sequence (an all-looking mask of each short length that the benchmark has), so v
 in a text. A benchmark item of one or two words thus claims every document that says it; a caller who does not want that
 leaves such items out.
 
-A seed that many items share (a benchmark's standing phrase) meets each passage once for every such item; passages and
-seeds are joined by Spark, so such a seed is split like any skewed join key.
+A seed that many items share (a benchmark's standing phrase) meets each passage once for every such item. Where that is
+over ``PAIRS`` pairs, the items of the seed are dealt over as many salts as keep each at that many, and its hits go to
+all of them, so that no task makes all its pairs.
 
 Defined cases: null and empty texts have no tokens and no overlaps; ids have to fit a long; a null item_id or doc_id is carried as null; repeated documents and repeated items
 each give their pairs; empty tables give an empty table; extra columns are kept by ``remove_contaminated``.
@@ -35,6 +36,8 @@ MASKS = ("111111", "110101011", "111001101", "1011010011", "11000001011", "11001
 SPAN = max(map(len, MASKS))
 WINDOW, MATCHES, MIN_ITEM = 17, 12, 8
 BITS_PER_SEED, FILTER_HASHES, MAX_FILTER_BITS = 64, 3, 1 << 27
+#: Pairs of a hit and an item that one key of the join may make.
+PAIRS = 1_000_000
 #: Hits closer than this belong to one passage row.
 JOIN_HITS = 32
 _GROUP = 200_000
@@ -172,6 +175,20 @@ def verify(found: DataFrame) -> DataFrame:
     return map_frames(found, run, "doc_id bigint, item_id bigint, item bigint, matched bigint, doc_token bigint, item_token bigint")
 
 
+def join_seeds(hits: DataFrame, seed_rows: DataFrame) -> DataFrame:
+    """Hits joined to the items of their seeds; seeds that make too many pairs are salted."""
+    items_of = seed_rows.groupBy("seed").agg(F.count(F.lit(1)).alias("items")).where("items > 1")
+    hits_of = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("hits"))
+    salts = hits_of.join(items_of, "seed").where(F.col("hits") * F.col("items") > PAIRS)
+    salts = stored(salts.select("seed", F.least("items", F.ceil(F.col("hits") * F.col("items") / PAIRS)).cast("int").alias("salts")), "salts")
+    if not salts.take(1):
+        return hits.join(seed_rows, "seed")
+    dealt = lambda rows: rows.join(salts, "seed", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = dealt(hits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = dealt(seed_rows).withColumn("salt", F.pmod(F.xxhash64("item", "at"), F.col("salts")).cast("int")).drop("salts")
+    return left.join(right, ["seed", "salt"])
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Contaminated pairs (doc_id, item_id, matched, doc_token, item_token): the best window of each pair, the first on ties."""
     items, seed_rows, short = benchmark_items(benchmark, item_id, item_text)
@@ -179,7 +196,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     got = passages(docs, bits, log2, short, doc_id, text).withColumn("passage", F.monotonically_increasing_id())
     got = stored(got, "passages")
     hits = got.select("passage", F.explode(F.arrays_zip("seeds", "ats")).alias("s")).select("passage", F.col("s.seeds").alias("seed"), F.col("s.ats").alias("here"))
-    met = hits.join(seed_rows, "seed").select("passage", "item", (F.col("here") - F.col("at")).alias("shift")).distinct()
+    met = join_seeds(hits, seed_rows).select("passage", "item", (F.col("here") - F.col("at")).alias("shift")).distinct()
     met = met.join(got.select("passage", "doc_id", "first", "toks"), "passage").join(items.withColumnRenamed("toks", "item_toks"), "item")
     best = verify(met.select("doc_id", "first", "toks", "item", "item_id", "item_toks", "shift"))
     top = F.max(F.struct("matched", (-F.col("doc_token")).alias("d"), (-F.col("item_token")).alias("i"))).alias("b")
