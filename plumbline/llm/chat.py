@@ -7,7 +7,8 @@ smallest msg_id). ``format_paths`` then writes every chosen path as one conversa
 ``parse_conversation`` reads it back.
 
 Defined cases: a parent_id that names no message of the tree makes its message a root; messages on a parent cycle have
-no root and are left out; null text is empty; null role is the empty role; null score is 0; an empty table gives an
+no root and are left out; rows that share tree_id and msg_id are one message
+(the least by parent_id, role, text and score); null text is empty; null role is the empty role; null score is 0; an empty table gives an
 empty table; extra columns are ignored. Trees are identified by any non-null key (the query maps a null conv_id to a
 key of its own). One conversation is one output string, so its turns have to fit one row.
 """
@@ -69,7 +70,9 @@ def parse_conversation(formatted: str) -> list[tuple[str, str]]:
 def reply_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     """Rows (tree_id, leaf_id, path_rank, path_score, depth, role, text): the messages of each chosen path; depth counts from 0 at the root."""
     m = messages.select("tree_id", "msg_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    m = stored(m, "messages")
+    # a message that is there several times is one
+    once = m.groupBy("tree_id", "msg_id").agg(F.min(F.struct("parent_id", "role", "text", "score")).alias("x"))
+    m = stored(once.select("tree_id", "msg_id", "x.parent_id", "x.role", "x.text", "x.score"), "messages")
     known = m.select("tree_id", F.col("msg_id").alias("anc"))
     state = stored(
         m.select("tree_id", F.col("msg_id").alias("node"), F.col("parent_id").alias("anc"), "score")
