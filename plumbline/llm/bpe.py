@@ -10,7 +10,8 @@ if and only if each adjacent pair is the BPE result of its own bytes.
 The ranks file is a parameter. The driver reads it once and broadcasts the tokens and their splits (a few MB, fixed by
 the vocabulary).
 
-Defined cases: null text counts as empty and has no tokens; repeated rows are encoded each; extra columns are kept.
+Defined cases: null text counts as empty and has no tokens; repeated rows are encoded each; an empty table gives an empty
+table; extra columns are kept, but for those called like a result (n_tokens, ids, the digests), which are overwritten.
 """
 
 from __future__ import annotations

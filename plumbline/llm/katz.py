@@ -14,7 +14,7 @@ words are dealt over several shards in proportion to their frequency; blocks add
 are stored, partitioned by shard; the driver sees eight numbers. Each token is then scored in its block: the pair's
 discounted probability, or else its context's backoff weight times the unigram.
 
-Words are known by 64-bit hashes. Defined cases: null and empty texts consist of the end alone; a null doc_id counts as
+Words are known by 64-bit hashes. Defined cases: null and empty texts consist of the end alone; doc_id has to fit a long; a null doc_id counts as
 the empty id (crc32 0, a training document); rows equal in doc_id and text are scored each; without training documents
 every word is unknown; an empty table gives an empty table; extra columns are ignored.
 """

@@ -88,7 +88,7 @@ def _brute_pii(text):
         found.append((m.start(), 6, m.end()))
     for m in re.finditer(r"[A-Za-z0-9_-]+", text):
         v, n = m[0], len(m[0])
-        if 20 <= n <= 200 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and -sum(c / n * log2(c / n) for c in Counter(v).values()) >= pii.MIN_ENTROPY:
+        if n >= 20 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and -sum(c / n * log2(c / n) for c in Counter(v).values()) >= pii.MIN_ENTROPY:
             found.append((m.start(), 7, m.end()))
     base = sorted(x for x in found if x[1] < 4)
     more = []

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import html, repair, simhash, spelling
+from plumbline.llm import chat, decontaminate, html, pii, quality, repair, simhash, spelling
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -422,3 +422,45 @@ def test_html_deep_and_stray(spark):
     df = spark.createDataFrame([(i, "http://a/", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
     out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert [out[i] for i in range(5)] == ["\n".join("a" * n), "x", "\n".join("y" * n), "\n".join("z" * n), ("a " * 300_000).strip()]
+
+
+# clashing names, repeated rows, long keys, hot seeds and buckets of earlier operators
+
+
+def test_quality_keeps_clashing_columns(spark):
+    text = " ".join(f"wort{i % 37}" for i in range(60))
+    df = spark.createDataFrame([(i, text, "de", i, 2.0, "x", 3) for i in range(5)], "doc_id long, text string, lang string, _low int, _high double, band_lang string, __low int")
+    out = quality.quality(df)
+    assert set(df.columns) <= set(out.columns)
+    assert sorted((r["_low"], r["_high"], r["band_lang"], r["__low"]) for r in out.collect()) == [(i, 2.0, "x", 3) for i in range(5)]
+
+
+def test_chat_repeated_messages_and_long_paths(spark):
+    """A message given twice is one; a path of a thousand messages; a text of a million characters; a broad tree."""
+    schema = "tree_id string, msg_id long, parent_id long, role string, text string, score double"
+    twice = [("t", 1, None, "user", "q", 0.0)] * 2 + [("t", 2, 1, "assistant", "a", 1.0)] * 3 + [("t", 2, 1, "assistant", "b", 1.0)]
+    path = [("p", i, i - 1 if i else None, ["user", "assistant"][i % 2], f"m{i}", 0.0) for i in range(1000)]
+    broad = [("b", 0, None, "user", "x" * 1_000_000, 0.0)] + [("b", i, 0, "assistant", f"r{i}", float(i)) for i in range(1, 500)]
+    got = {r["tree_id"]: chat.parse_conversation(r["formatted"]) for r in chat.format_paths(chat.reply_paths(spark.createDataFrame(twice + path + broad, schema))).collect()}
+    assert got["t"] == [("user", "q"), ("assistant", "a")]
+    assert got["p"] == [(["user", "assistant"][i % 2], f"m{i}") for i in range(1000)]
+    assert got["b"] == [("user", "x" * 1_000_000), ("assistant", "r499")]
+
+
+def test_long_secrets(spark):
+    key = "".join(f"{i * i % 97:02d}aZ" for i in range(75)) + "q9"
+    df = spark.createDataFrame([(1, f"token = {key}"), (2, f"api_key: {key * 40} end"), (3, "token " + "a" * 300)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["pii"]] for r in pii.find_pii(df).collect()}
+    assert got == {1: [("secret", 8, 8 + len(key))], 2: [("secret", 9, 9 + 40 * len(key))], 3: []}
+
+
+def test_decontamination_of_a_standing_phrase(spark, monkeypatch):
+    """A phrase that all items and passages share, with keys of a few pairs and without."""
+    phrase = " ".join(f"s{i}" for i in range(14))
+    items = [(j, f"{phrase} q{j} r{j} t{j}") for j in range(40)]
+    docs = [(i, f"x{i} y{i} {phrase} q{i % 50} end{i}") for i in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.overlaps(df, bench).collect()))
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == whole
+    assert {(d, i) for d, i, *_ in whole} == {(d, i) for d in range(60) for i in range(40)}
