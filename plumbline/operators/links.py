@@ -133,12 +133,12 @@ def unique_keys(df: DataFrame, max_columns: int = 2, columns: Sequence[str] | No
         # of a set that could be one, all but one column may have so many values only as the rows need
         if width > 1:
             sets = [s for s in sets if NEAR_UNIQUE * total <= distinct[s[:1]] * distinct[s[1:]] * 1.2]
+        distinct |= {s: total for s in combinations(whole, width) if s not in sets}  # not estimated: no bound on larger sets
         if not sets:
             continue
         estimates = df.agg(*[F.approx_count_distinct(F.xxhash64(*[value[c] for c in s]), 0.02).alias(f"s{i}") for i, s in enumerate(sets)]).first()
         distinct |= {s: estimates[f"s{i}"] for i, s in enumerate(sets)}
         near = [s for s in sets if distinct[s] >= NEAR_UNIQUE * total]
-        distinct |= {s: total for s in combinations(whole, width) if s not in distinct}
         if near:
             hashes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(*[value[c] for c in s]).alias("a"), F.xxhash64(F.lit(7), *[value[c] for c in s]).alias("b")) for i, s in enumerate(near)]))
             again = df.select(hashes.alias("h")).groupBy("h.i", "h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()  # at most a row for each set

@@ -175,14 +175,25 @@ def numbers(df: DataFrame, columns: Sequence[str] | None, by: Sequence[str]) ->
     return unpivoted(df, {c: ref(c) for c in of_family(df, "numeric", list(by)) if columns is None or c in columns}, by, "double")
 
 
-def percentiles(df: DataFrame, columns: Sequence[str] | None = None, at: Sequence[float] = PERCENTILES, by: Sequence[str] = ()) -> DataFrame:
+def number_counts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), freq: DataFrame | None = None) -> DataFrame:
+    """(by, column_name, v, n): how often each number occurs; from ``freq`` (of value_freq), which need not be shuffled again, if it is given."""
+    key = [*by, "column_name"]
+    if freq is None:
+        return numbers(df, columns, by).groupBy(*key, (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    fields = [f for f in df.schema.fields if family(f.dataType) == "numeric" and f.name not in by and (columns is None or f.name in columns)]
+    single = [f.name for f in fields if isinstance(f.dataType, T.FloatType)]  # their text is shorter than that of the same double
+    v = F.when(F.col("column_name").isin(single), F.col("value").try_cast("float").cast("double")).otherwise(F.col("value").try_cast("double"))
+    return freq.where(F.col("column_name").isin([f.name for f in fields])).select(*key, v.alias("v"), "n")
+
+
+def percentiles(df: DataFrame, columns: Sequence[str] | None = None, at: Sequence[float] = PERCENTILES, by: Sequence[str] = (), freq: DataFrame | None = None) -> DataFrame:
     """Exact interpolated percentiles of numeric columns as p50, p75, ..., for each value of ``by``.
 
     Different values with their counts are range-sorted by (by, column, value), cumulated by partition, and only the
     neighbours of each rank are picked, so no task holds a column or a group. NaN is left out.
     """
     key = [*by, "column_name"]
-    counts = numbers(df, columns, by).where(~F.isnan("v")).groupBy(*key, (F.col("v") + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = number_counts(df, columns, by, freq).where(~F.isnan("v"))
     part = counts.repartitionByRange(*key, "v").sortWithinPartitions(*key, "v").withColumn("part", F.spark_partition_id())
     part = stored(part, "values")
     sums = part.groupBy(*key, "part").agg(F.sum("n").alias("s"))  # a row for each group and partition that holds some of it
@@ -207,20 +218,25 @@ def approx_percentiles(df: DataFrame, columns: Sequence[str] | None = None, at:
     return found.select(*by, "column_name", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(at)])
 
 
-def outliers(df: DataFrame, stats: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+def _weighted(df: DataFrame, columns: Sequence[str] | None, by: Sequence[str], freq: DataFrame | None) -> DataFrame:
+    """(by, column_name, v, n): all numbers, each once if there are no counts."""
+    return numbers(df, columns, by).withColumn("n", F.lit(1).cast("long")) if freq is None else number_counts(df, columns, by, freq)
+
+
+def outliers(df: DataFrame, stats: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), freq: DataFrame | None = None) -> DataFrame:
     """Values further than three standard deviations from the mean; share of non-null values. ``stats`` as from column_stats."""
     s = stats.select(*by, "column_name", F.col("avg").alias("m"), "stddev")
     far = (F.col("stddev") > 0) & (F.abs(F.col("v") - F.col("m")) > 3 * F.col("stddev"))
-    n = joined(numbers(df, columns, by), s, [*by, "column_name"], small=not by).groupBy(*by, "column_name").agg(F.count_if(far).alias("outlier_count"), F.count(F.lit(1)).alias("filled"))
+    n = joined(_weighted(df, columns, by, freq), s, [*by, "column_name"], small=not by).groupBy(*by, "column_name").agg(F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("outlier_count"), F.sum("n").alias("filled"))
     return n.select(*by, "column_name", "outlier_count", percentage(F.col("outlier_count"), F.col("filled")).alias("outlier_percentage"))
 
 
-def histogram(df: DataFrame, stats: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, stats: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = (), freq: DataFrame | None = None) -> DataFrame:
     """Ten equal-width bins per numeric column, empty ones left out; one bin if all values are equal; share of the values in bins. NaN and infinity are in none and bound none."""
     s = stats.select(*by, "column_name", F.col("min_bin").alias("lo"), F.col("max_bin").alias("hi"))
     width = F.col("hi") - F.col("lo")
     bin_ = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / width * BINS))).otherwise(0).cast("long")
-    n = joined(numbers(df, columns, by).where(finite(F.col("v")).isNotNull()), s, [*by, "column_name"], small=not by).groupBy(*by, "column_name", "lo", "hi", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    n = joined(_weighted(df, columns, by, freq).where(finite(F.col("v")).isNotNull()), s, [*by, "column_name"], small=not by).groupBy(*by, "column_name", "lo", "hi", bin_.alias("bin")).agg(F.sum("n").alias("count"))
     upper = F.when((F.col("bin") == BINS - 1) | (width == 0), F.col("hi")).otherwise(F.col("lo") + width * (F.col("bin") + 1) / BINS)
     share = percentage(F.col("count"), F.sum("count").over(Window.partitionBy(*by, "column_name")))
     return n.select(*by, "column_name", "bin", (F.col("lo") + width * F.col("bin") / BINS).alias("lower"), upper.alias("upper"), "count", share.alias("percentage"))

@@ -53,9 +53,9 @@ def column_profiles(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
     out = joined(base.drop("min_bin", "max_bin"), size, key, "left").withColumns({"distinct_count": F.coalesce("distinct_count", F.lit(0)), "distinct_exact": F.coalesce("distinct_exact", F.lit(True))})
     out = out.withColumn("distinct_percentage", percentage(F.col("distinct_count"), F.col("total_rows"))).withColumn("top_percentage", percentage(F.coalesce("top_n", F.lit(0)), F.col("total_rows"))).drop("top_n")
     if tier != "basic":
-        out = joined(joined(out, stats.outliers(df, base, columns, by), key, "left"), stats.entropy(freq, of_family(df, "text", by), by), key, "left")
+        out = joined(joined(out, stats.outliers(df, base, columns, by, freq), key, "left"), stats.entropy(freq, of_family(df, "text", by), by), key, "left")
     if tier == "deep":
-        out = joined(out, stats.percentiles(df, columns, by=by), key, "left")
+        out = joined(out, stats.percentiles(df, columns, by=by, freq=freq), key, "left")
     for name in ("outlier_count", "outlier_percentage"):
         zero = F.lit(0).cast("long") if name.endswith("count") else F.lit(0.0)
         out = out.withColumn(name, F.coalesce(F.col(name), zero) if name in out.columns else zero)
@@ -103,7 +103,7 @@ def profile_table(df: DataFrame, sample: int = 0, columns: Sequence[str] | None
         freq = stored(stats.value_freq(df, columns), "freq")
         top = stored(stats.top_values(freq, base, df), "top")
     profiles = column_profiles(df, columns, (), as_of, tier, base=base, freq=freq, top=top)
-    return TableProfile(df, profiles, stats.duplicate_rows(df), top, stats.string_patterns(df, columns), stats.histogram(df, base, columns), stats.date_distribution(df, columns), stats.correlations(df, columns), declared, total, sampled)
+    return TableProfile(df, profiles, stats.duplicate_rows(df), top, stats.string_patterns(df, columns), stats.histogram(df, base, columns, freq=freq), stats.date_distribution(df, columns), stats.correlations(df, columns), declared, total, sampled)
 
 
 def run_profile(df: DataFrame, schema_name: str, table_name: str, snapshot_id: str, created_at: Column, path: str, rules: quality.QualityRules = quality.QualityRules(), as_of: Column | None = None, sample: int = 0, relationships: DataFrame | None = None, tier: str = "deep") -> tuple[DataFrame, DataFrame]:  # noqa: B008

@@ -378,3 +378,65 @@ def test_listed_tables(spark):
         spark.sql("drop database listed cascade")
     catalogue = spark.createDataFrame([("s", "t", "BASE TABLE"), ("s", "v", "VIEW"), ("x", "t", "BASE TABLE")], "table_schema string, table_name string, table_type string")
     assert [tuple(r) for r in tables.list_jdbc_tables(catalogue, "s").collect()] == [("s", "t")]
+
+
+def test_counted_numbers_give_what_rows_give(spark, dirty):
+    """Outliers, bins and percentiles from value counts; floats are no doubles of the same text."""
+    df = dirty.withColumns({"f": (F.col("score") / 7).cast("float"), "far": F.when(F.col("id") == 8, 1e9).otherwise(F.col("score").cast("double"))}).unionByName(dirty.withColumns({"f": F.lit(0.1).cast("float"), "far": F.lit(-0.0)}))
+    for by in ([], ["name"]):
+        base, freq = stats.column_stats(df, by=by), stats.value_freq(df, by=by)
+        for f in (stats.outliers, stats.histogram):
+            assert sorted(map(str, f(df, base, by=by, freq=freq).collect())) == sorted(map(str, f(df, base, by=by).collect()))
+        assert sorted(map(str, stats.percentiles(df, by=by, freq=freq).collect())) == sorted(map(str, stats.percentiles(df, by=by).collect()))
+
+
+def test_unique_keys(spark):
+    rows = [(i, i // 3, i % 3, i % 2, None if i == 5 else i, {"k": i}) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, two int, gap int, m map<string,int>")
+    got = {tuple(r["key_columns"]) for r in links.unique_keys(df).collect()}
+    assert got == {("id",), ("m",), ("a", "b")}
+    three = spark.createDataFrame([(i // 4, i // 2 % 2, i % 2, 1) for i in range(64)], "a int, b int, c int, d int")
+    assert links.unique_keys(three).count() == 0
+    assert [tuple(r["key_columns"]) for r in links.unique_keys(three, 3).collect()] == [("a", "b", "c")]
+    assert links.unique_keys(df.limit(0)).count() == 0
+
+
+def test_links_of_several_columns(spark):
+    child = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 9), (None, 1), (3, None)], "x int, y int")
+    parent = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "p int, q int")
+    r = links.check_link(child, ["x", "y"], parent, ["p", "q"]).first()
+    assert (r["filled_rows"], r["orphan_rows"], r["match_percentage"]) == (4, 1, 75.0)
+    with pytest.raises(ValueError):
+        links.check_link(child, ["x", "y"], parent, "p")
+
+
+def test_sketches_lose_no_link(spark):
+    """A child of few values against a parent of many, a child that misses one value, types that do not mix."""
+    parent = spark.range(60_000).selectExpr("id as k", "concat('n', id) as t")
+    child = spark.createDataFrame([(i * 11 % 60_000, f"n{i}", i) for i in range(300)], "k bigint, t string, more int")
+    wrong = spark.createDataFrame([(i, f"z{i}") for i in range(59_000, 60_001)], "k bigint, t string")
+    got = {tuple(r)[:4] for r in links.discover_links({"p": parent, "c": child, "w": wrong}).collect()}
+    assert got >= {("c", "k", "p", "k"), ("c", "t", "p", "t"), ("c", "more", "p", "k")} and not any(g[0] == "w" for g in got)
+    left = {tuple(r) for r in links.sketched_pairs({"p": parent, "c": child, "w": wrong}).collect()}
+    assert {g for g in got} <= left and ("w", "t", "p", "t") not in left
+    none = links.discover_links({"a": spark.createDataFrame([(1.5,)], "v double").withColumn("s", F.lit("x")), "b": spark.createDataFrame([("y",)], "s string")})
+    assert none.count() == 0
+    with pytest.raises(ValueError):
+        links.discover_links({"a": spark.createDataFrame([(1.5,)], "v double")})
+
+
+def test_catalogue_links(spark, dirty):
+    """Rows as a database's catalogue has them: a key of one column, one of two whose columns are named in another order, another table's."""
+    usage = spark.createDataFrame(
+        [
+            ("s", "pk_other", "s", "other", "a", 1, None), ("s", "pk_other", "s", "other", "b", 2, None), ("s", "pk_one", "x", "one", "key", 1, None),
+            ("s", "fk_two", "s", "t", "u", 1, 2), ("s", "fk_two", "s", "t", "v", 2, 1), ("s", "fk_one", "s", "t", "id", 1, 1), ("s", "fk_else", "s", "else", "id", 1, 1), ("s", "pk_t", "s", "t", "id", 1, None),
+        ],
+        "constraint_schema string, constraint_name string, table_schema string, table_name string, column_name string, ordinal_position int, position_in_unique_constraint int",
+    )
+    refers = spark.createDataFrame([("s", "fk_two", "s", "pk_other"), ("s", "fk_one", "s", "pk_one"), ("s", "fk_else", "s", "pk_one")], "constraint_schema string, constraint_name string, unique_constraint_schema string, unique_constraint_name string")
+    found = links.catalogue_links(usage, refers, "s", "t")
+    want = [("id", "x", "one", "key", "foreign_key"), ("u", "s", "other", "b", "foreign_key"), ("v", "s", "other", "a", "foreign_key")]
+    assert [tuple(r) for r in found.collect()] == want
+    p = profile_table(dirty, as_of=as_of(), tier="basic", relationships=found)
+    assert sorted(map(tuple, p.parts()["links"].collect())) == want
