@@ -111,6 +111,14 @@ def value_freq(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence
     return long.groupBy(*by, "column_name", "value", "long").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_by_hash(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, column_name, distinct_count): numbers of different values by two 64-bit hashes each, so that 16 bytes of a value are shuffled, however long it is; copies are joined before."""
+    key = [*by, "column_name"]
+    values = unpivoted(df, {f.name: as_text(f.name, f.dataType) for f in _columns(df, columns, by)}, by)
+    different = values.groupBy(*key, F.xxhash64("v").alias("_a"), F.xxhash64(F.lit(7), "v").alias("_b")).agg(F.lit(1).alias("_n"))
+    return different.groupBy(*key).agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
 def distinct_counts(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return freq.groupBy(*by, "column_name").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("filled"), F.max("n").alias("top_n"))
 

@@ -53,7 +53,7 @@ def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completeness(df: DataFrame) -> DataFrame:
-    p = stats.column_stats(df, groups=()).join(stats.distinct_counts(stats.value_freq(df)).drop("filled", "top_n"), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    p = stats.column_stats(df, groups=()).join(stats.distinct_by_hash(df), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
     pct = F.when(F.col("total_rows") > 0, 100.0 * F.col("distinct_count") / F.col("total_rows")).otherwise(0.0)
     return p.select("column_name", "total_rows", "null_count", "null_percentage", "distinct_count", pct.alias("distinct_percentage"))
 

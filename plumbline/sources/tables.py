@@ -14,7 +14,7 @@ from plumbline.functions.columns import ref, row_values
 
 FILE_FORMATS = ("parquet", "orc", "json", "csv")
 #: Source names and the URL scheme of each.
-JDBC = {"postgres": "postgresql", "postgresql": "postgresql", "mysql": "mysql", "sqlserver": "sqlserver"}
+JDBC = {"postgres": "postgresql", "postgresql": "postgresql", "mysql": "mysql", "sqlserver": "sqlserver", "derby": "derby"}
 
 
 def open_table(spark: SparkSession, kind: str, location: str, table: str = "", *, partition_column: str = "", bounds: tuple[int, int] = (0, 0), partitions: int = 4, **options: str) -> DataFrame:
@@ -27,7 +27,7 @@ def open_table(spark: SparkSession, kind: str, location: str, table: str = "", *
         return spark.read.options(**({"header": "true"} if kind == "csv" else {}) | options).format(kind).load(location)
     if kind == "table":
         return spark.table(location)
-    if kind in JDBC:
+    if kind in JDBC or location.startswith("jdbc:"):
         parts = {"partitionColumn": partition_column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)} if partition_column else {}
         url = location if location.startswith("jdbc:") else f"jdbc:{JDBC[kind]}:{location}"
         return spark.read.format("jdbc").options(url=url, dbtable=table, **parts, **options).load()

@@ -300,10 +300,12 @@ def test_documents_hold_a_whole_profile(spark, dirty, tmp_path):
         run_profile(df, "s", "t", str(i), F.lit(dt.datetime(2026, 6, 1 + i)), path, relationships=known)
     names = ("columns", "tables", *document.PER_COLUMN, *document.PER_TABLE)
     parts = {n: history.load_part(spark, path, n) for n in names}
+    parts["drift"] = drift.reports(drift.changes(parts["columns"], parts["tables"]), parts["tables"])
     docs = document.documents(parts)
     assert docs.count() == 2
     back = document.parsed(docs, document.document_schema(parts))
-    for n in names:
+    assert [c for c in back["drift"].first()["column_changes"] if c.startswith("removed")] == [f"removed: {c}" for c in ("amount", "created_at", "id", "name")]
+    for n in (*names, "drift"):
         one, two = ([tuple(str(r[c]) for c in sorted(parts[n].columns)) for r in x.collect()] for x in (parts[n], back[n]))
         assert sorted(one) == sorted(two), n
 
@@ -440,3 +442,20 @@ def test_catalogue_links(spark, dirty):
     assert [tuple(r) for r in found.collect()] == want
     p = profile_table(dirty, as_of=as_of(), tier="basic", relationships=found)
     assert sorted(map(tuple, p.parts()["links"].collect())) == want
+
+
+def test_jdbc_tables(spark):
+    """A database in memory, read whole and in parts."""
+    url = "memory:shop;create=true"
+    spark.range(100).selectExpr("id", "concat('n', id) as name").write.format("jdbc").options(url=f"jdbc:derby:{url}", dbtable="shop", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    whole = tables.open_table(spark, "derby", url, "shop", **driver)
+    parts = tables.open_table(spark, "jdbc", f"jdbc:derby:{url}", "shop", partition_column="id", bounds=(0, 100), partitions=5, **driver)
+    assert (whole.count(), parts.count(), whole.rdd.getNumPartitions(), parts.rdd.getNumPartitions()) == (100, 100, 1, 5)
+    p = {r["column_name"].lower(): r for r in profile_table(parts, as_of=as_of()).columns.collect()}
+    assert (p["id"]["distinct_count"], p["id"]["p50"], p["name"]["max_length"]) == (100, 49.5, 3)
+
+
+def test_distinct_by_hash(spark, dirty):
+    want = {r["column_name"]: r["distinct_count"] for r in stats.distinct_counts(stats.value_freq(dirty)).collect()}
+    assert {r["column_name"]: r["distinct_count"] for r in stats.distinct_by_hash(dirty).collect()} == want
