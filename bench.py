@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from plumbline.plans import queries
 
-HEADLINE = ("basic_tier_columns", "column_completeness", "numeric_percentiles", "numeric_histogram", "top_values", "numeric_correlations", "duplicate_rows", "quality_checks", "drift_history", "fk_discover", "profile_lineitem")
+HEADLINE = ("basic_tier_columns", "column_completeness", "numeric_percentiles", "numeric_histogram", "top_values", "numeric_correlations", "duplicate_rows", "quality_checks", "drift_history", "fk_discover", "profile_lineitem", "percentiles_by_group", "kll_percentiles", "heavy_hitters", "exact_size_sample", "fk_discover_all", "incremental_profile")
 
 
 def main() -> None:

@@ -126,6 +126,8 @@ def unique_keys(df: DataFrame, max_columns: int = 2, columns: Sequence[str] | No
     first = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(value.values())]).first()
     total = first["rows"]
     whole = [f.name for i, f in enumerate(fields) if total and first[f"n{i}"] == total]
+    of, again = ({c: f"{x}{i}" for i, c in enumerate(whole)} for x in "hg")  # two hashes of each column, made once
+    hashed = df.select(*[F.xxhash64(value[c]).alias(of[c]) for c in whole], *[F.xxhash64(F.lit(7), value[c]).alias(again[c]) for c in whole])
     keys: list[tuple[str, ...]] = []
     distinct: dict[tuple[str, ...], int] = {}
     for width in range(1, max_columns + 1):
@@ -136,13 +138,15 @@ def unique_keys(df: DataFrame, max_columns: int = 2, columns: Sequence[str] | No
         distinct |= {s: total for s in combinations(whole, width) if s not in sets}  # not estimated: no bound on larger sets
         if not sets:
             continue
-        estimates = df.agg(*[F.approx_count_distinct(F.xxhash64(*[value[c] for c in s]), 0.02).alias(f"s{i}") for i, s in enumerate(sets)]).first()
-        distinct |= {s: estimates[f"s{i}"] for i, s in enumerate(sets)}
+        # a row for each set, added up before the shuffle: as many sketches in one row would be too much code to compile
+        rows = hashed.select(F.posexplode(F.array(*[F.xxhash64(*[ref(of[c]) for c in s]) for s in sets])).alias("i", "h"))
+        estimates = rows.groupBy("i").agg(F.approx_count_distinct("h", 0.02).alias("d")).collect()  # a row for each set
+        distinct |= {sets[r["i"]]: r["d"] for r in estimates}
         near = [s for s in sets if distinct[s] >= NEAR_UNIQUE * total]
         if near:
-            hashes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(*[value[c] for c in s]).alias("a"), F.xxhash64(F.lit(7), *[value[c] for c in s]).alias("b")) for i, s in enumerate(near)]))
-            again = df.select(hashes.alias("h")).groupBy("h.i", "h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()  # at most a row for each set
-            twice = {r["i"] for r in again}
+            hashes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(*[ref(of[c]) for c in s]).alias("a"), F.xxhash64(F.lit(7), *[ref(again[c]) for c in s]).alias("b")) for i, s in enumerate(near)]))
+            twice_ = hashed.select(hashes.alias("h")).groupBy("h.i", "h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()  # at most a row for each set
+            twice = {r["i"] for r in twice_}
             keys += [s for i, s in enumerate(near) if i not in twice]
     return df.sparkSession.createDataFrame([(list(k), len(k)) for k in keys], "key_columns array<string>, n_columns int")
 

@@ -12,7 +12,7 @@ from plumbline.operators import drift, links, pii, quality, states, stats, topk
 from plumbline.plans import document, incremental, inputs
 from plumbline.plans.profile import column_profiles, profile_table, run_profile
 from plumbline.sources import history
-from plumbline.sources.tables import discover_columns, exact_sample, keyed_sample, shared_dir, stored
+from plumbline.sources.tables import discover_columns, exact_sample, keyed_sample, open_table, shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ _PERCENTILES = ("p50", "p75", "p90", "p95", "p99")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return open_table(spark, "parquet", f"{sf_dir}/{name}.parquet")
 
 
 def _derived(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:

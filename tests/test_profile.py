@@ -459,3 +459,15 @@ def test_jdbc_tables(spark):
 def test_distinct_by_hash(spark, dirty):
     want = {r["column_name"]: r["distinct_count"] for r in stats.distinct_counts(stats.value_freq(dirty)).collect()}
     assert {r["column_name"]: r["distinct_count"] for r in stats.distinct_by_hash(dirty).collect()} == want
+
+
+def test_file_formats(spark, tmp_path):
+    df = spark.range(20).selectExpr("id", "concat('n', id % 3) as name")
+    for kind in tables.FILE_FORMATS:
+        path = str(tmp_path / kind)
+        df.write.format(kind).options(header="true").save(path)
+        back = tables.open_table(spark, kind, path)
+        assert sorted((int(r["id"]), r["name"]) for r in back.collect()) == sorted((r["id"], r["name"]) for r in df.collect())
+        assert {r["column_name"]: r["distinct_count"] for r in column_profiles(back, as_of=as_of(), tier="basic").collect()} == {"id": 20, "name": 3}
+    with pytest.raises(ValueError):
+        tables.open_table(spark, "unheard_of", "x")
