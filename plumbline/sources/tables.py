@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,11 +118,40 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir
 
 
+_recording: ContextVar[list[str] | None] = ContextVar("recording", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Gives the list of the folders that ``stored`` writes meanwhile, for ``discard``."""
+    made: list[str] = []
+    before = _recording.set(made)
+    try:
+        yield made
+    finally:
+        _recording.reset(before)
+
+
+def discard(spark: SparkSession, made: list[str], needed: DataFrame) -> None:
+    """Delete stored tables and forget them, but for those whose files ``needed`` still reads."""
+    files = needed.inputFiles()
+    names = {p: p.rsplit("/", 1)[1] for p in made}
+    read = {p for p, n in names.items() if any(f"/{n}/" in f for f in files)}
+    for p in made:
+        if p not in read:
+            where = spark._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    made[:] = [p for p in made if p in read]
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: cuts lineage and survives lost executors.
 
     Compressed Parquet, unlike ``checkpoint()``; the files go with the shared folder.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    made = _recording.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -471,3 +471,13 @@ def test_file_formats(spark, tmp_path):
         assert {r["column_name"]: r["distinct_count"] for r in column_profiles(back, as_of=as_of(), tier="basic").collect()} == {"id": 20, "name": 3}
     with pytest.raises(ValueError):
         tables.open_table(spark, "unheard_of", "x")
+
+
+def test_stored_tables_are_discarded_unless_read(spark):
+    with tables.recorded() as made:
+        one, two = tables.stored(spark.range(3), "one"), tables.stored(spark.range(4), "two")
+    assert len(made) == 2
+    tables.discard(spark, made, two.where("id > 1"))
+    assert len(made) == 1 and two.count() == 4 and not history._exists(spark, one.inputFiles()[0])
+    tables.discard(spark, made, spark.range(1))
+    assert made == []
