@@ -145,8 +145,8 @@ def unique_keys(df: DataFrame, max_columns: int = 2, columns: Sequence[str] | No
         near = [s for s in sets if distinct[s] >= NEAR_UNIQUE * total]
         if near:
             hashes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(*[ref(of[c]) for c in s]).alias("a"), F.xxhash64(F.lit(7), *[ref(again[c]) for c in s]).alias("b")) for i, s in enumerate(near)]))
-            twice_ = hashed.select(hashes.alias("h")).groupBy("h.i", "h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()  # at most a row for each set
-            twice = {r["i"] for r in twice_}
+            repeated = hashed.select(hashes.alias("h")).groupBy("h.i", "h.a", "h.b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i").distinct().collect()  # at most a row for each set
+            twice = {r["i"] for r in repeated}
             keys += [s for i, s in enumerate(near) if i not in twice]
     return df.sparkSession.createDataFrame([(list(k), len(k)) for k in keys], "key_columns array<string>, n_columns int")
 
