@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, decontaminate, lines, minhash, quality
-from plumbline.llm.common import read, shared_dir
+from plumbline.llm.common import give_back, read, shared_dir
 from plumbline.sources.tables import discard, recorded
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,6 +29,7 @@ def stage(run_: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     @functools.wraps(run_)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(spark, _LEFT, docs)
+        give_back()  # what the driver held for an earlier stage
         with recorded() as made:
             out = run_(spark, docs, sf_dir)
         _LEFT.extend(made)
