@@ -93,7 +93,7 @@ def seed_filter(seed_rows: DataFrame) -> tuple[np.ndarray, int]:
     at = seed_rows.select(F.explode(F.array(*places)).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     out = np.zeros(1 << (log2 - 6), np.uint64)
-    rows = words.toPandas()  # at most 2^21 words
+    rows = words.toArrow().to_pandas()  # at most 2^21 words
     out[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return out, log2
 

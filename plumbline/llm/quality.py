@@ -271,7 +271,7 @@ def measure(docs: DataFrame, model: DataFrame, keep: list[str], text: str = "tex
     keep = [c for c in keep if c not in _NEW]
     if model.count() > max_entries:
         return _measure_joined(docs, model, keep, text)
-    shared = docs.sparkSession.sparkContext.broadcast(Arrays(model.toPandas()))
+    shared = docs.sparkSession.sparkContext.broadcast(Arrays(model.toArrow().to_pandas()))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         texts = [t or "" for t in batch[text]]
