@@ -112,15 +112,18 @@ def fresh(taken: Sequence[str], *names: str) -> list[str]:
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], hot: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner or left) to the distinct keys ``keyed``, whose column n, which is dropped, counts their rows.
+    """``rows`` joined (inner or left) to the distinct keys ``keyed``, a stored table whose column n, which is dropped, counts their rows.
 
     A key of over ``hot`` rows would fill one task. Such keys are at most the number of rows divided by ``hot``, so they are
-    broadcast; the others are shuffled. Rows with a null in their key meet nothing and are not shuffled.
+    broadcast, if there are any; the others are shuffled. Rows with a null in their key meet nothing and are not shuffled.
     """
     many, few = keyed.where(F.col("n") > hot).drop("n"), keyed.where(F.col("n") <= hot).drop("n")
     named = rows.dropna(subset=list(on))
-    rest = named.join(F.broadcast(many.select(*on)), list(on), "left_anti").join(few, list(on), how)
-    out = named.join(F.broadcast(many), list(on)).unionByName(rest)
+    if many.isEmpty():
+        out = named.join(few, list(on), how)
+    else:
+        rest = named.join(F.broadcast(many.select(*on)), list(on), "left_anti").join(few, list(on), how)
+        out = named.join(F.broadcast(many), list(on)).unionByName(rest)
     if how == "left":
         null = F.lit(False)
         for c in on:

@@ -5,8 +5,8 @@ hash, and their unbroken stretches (segments, numbered in document order) are th
 
 Distributed prefix doubling ranks every suffix by its first 2^k lines: pairs (rank of the first half, rank of the second
 half) are range-sorted by Spark and numbered in order, so the ranks of round k sort the suffixes by 2^k lines. Suffixes
-whose pair occurs once are settled and drop out; rounds go on until no two suffixes share 2^k lines, so there are as many
-as the longest repeat needs.
+whose pair occurs once are settled and drop out; rounds go on until no two suffixes share 2^k lines, or until the prefixes
+are long enough (see below).
 
 Going down again from the largest k gives each suffix its longest common prefix with an earlier suffix: a prefix of
 ``len`` lines is extended by the next 2^k lines if another suffix shares all of them and the first of these is an earlier
@@ -14,7 +14,12 @@ one. The suffixes that share a prefix are an interval of the suffix array with t
 first member. What a suffix ends with is a repeated run that cannot be extended to the right, with its first copy.
 
 Runs of at least ``min_words`` words are later copies, and their lines are deleted. Earlier is by (doc_id, hash of the
-text, line). Only suffixes whose first ``min_words`` words are repeated take part in the way down.
+text, line). Only suffixes with ``min_words`` words take part in the way down, if the largest 2^k of the lines that hold
+these words occur again.
+
+Common prefixes have to be known up to ``min_words`` lines only. A repeated run is covered by the prefixes of its own
+suffixes: take the last one that still has ``min_words`` words inside the run. It and all before it are later copies too,
+and what the run has after its first line holds fewer words, so fewer lines, as every line has a word.
 
 Defined cases: null and empty texts have no lines; blank lines are skipped by the sequences and stay in the text; a null
 doc_id comes before all others; doc_id has to fit a long; rows equal in doc_id and text are one document, and all of them
@@ -83,17 +88,19 @@ def line_sequences(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     return ranked(segments.where(F.col("n") >= min_words).drop("n"), "doc_id", "th", "gap").select(F.col("rank").alias("seg"), "doc_id", "th", "l")
 
 
-def suffix_ranks(names: DataFrame) -> list[DataFrame]:
-    """Prefix doubling over ``names`` (seg, p, rank). Item k: (seg, p, rank) of the suffixes whose first 2^k lines occur again, rank in the order of these lines; the last item is the suffix array of what is then left."""
+def suffix_ranks(names: DataFrame, upto: int | None = None) -> list[DataFrame]:
+    """Prefix doubling over ``names`` (seg, p, rank; other columns are kept). Item k: the suffixes whose first 2^k lines occur again, rank in the order of these lines; the last item is the suffix array of what is then left, or the first that lets common prefixes of ``upto`` lines be put together."""
     out, hot = [names], names.count() // HOT_SHARE
-    while True:
+    kept = [c for c in names.columns if c != "rank"]
+    while upto is None or 1 << len(out) <= upto:
         step = 1 << (len(out) - 1)
         second = F.first("rank").over(Window.partitionBy("seg").orderBy("p").rangeBetween(step, step))
-        pairs = stored(out[-1].select("seg", "p", F.col("rank").alias("a"), second.alias("b")).where("b is not null"), "pairs")
+        pairs = stored(out[-1].select(*kept, F.col("rank").alias("a"), second.alias("b")).where("b is not null"), "pairs")
         numbers = ranked(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a", "b")
         if numbers.isEmpty():
-            return out
-        out.append(stored(join_counted(pairs, numbers, ["a", "b"], hot).select("seg", "p", "rank"), "names"))
+            break
+        out.append(stored(join_counted(pairs, numbers, ["a", "b"], hot).select(*kept, "rank"), "names"))
+    return out
 
 
 def _least(words: np.ndarray, least: int) -> np.ndarray:
@@ -103,31 +110,27 @@ def _least(words: np.ndarray, least: int) -> np.ndarray:
     return np.where(end < len(total), end - np.arange(len(words)), 0)
 
 
-def candidates(segments: DataFrame, least: int) -> DataFrame:
-    """(seg, p, need, k): the suffixes with ``least`` words, how many lines it takes, and the largest 2^k of them."""
+def suffixes(segments: DataFrame, least: int) -> DataFrame:
+    """(seg, p, rank, need): every suffix, the id of its first line, and how many lines it takes to ``least`` words; 0 if it has not as many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             need = [_least(np.asarray(w, np.int64), least) for w in batch["words"]]
             size = [len(n) for n in need]
-            every = pd.DataFrame({"seg": np.repeat(batch["seg"].to_numpy(), size), "p": np.concatenate([np.arange(n) for n in size] or [[]]).astype(np.int32), "need": np.concatenate(need or [[]]).astype(np.int32)})
-            every = every[every["need"] > 0]
-            yield every.assign(k=np.log2(every["need"].to_numpy()).astype(np.int32))
+            yield pd.DataFrame({"seg": np.repeat(batch["seg"].to_numpy(), size), "p": np.concatenate([np.arange(n) for n in size] or [[]]).astype(np.int32), "rank": np.concatenate([*batch["ids"]] or [[]]).astype(np.int64), "need": np.concatenate(need or [[]]).astype(np.int32)})
 
-    return map_frames(segments.select("seg", F.col("l.words").alias("words")), run, "seg bigint, p int, need int, k int")
+    return map_frames(segments.select("seg", F.col("l.id").alias("ids"), F.col("l.words").alias("words")), run, "seg bigint, p int, rank bigint, need int")
 
 
-def repeated_runs(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(seg, p, len, first: struct(seg, p)): every suffix's longest common prefix with an earlier suffix, of those with ``min_words`` words or more."""
-    ranks = suffix_ranks(stored(segments.select("seg", F.posexplode("l.id").alias("p", "rank")), "names"))
+def repeated_runs(segments: DataFrame, min_words: int = MIN_WORDS, upto: int | None = None) -> DataFrame:
+    """(seg, p, len, first: struct(seg, p)): every suffix's longest common prefix with an earlier suffix, of those with ``min_words`` words or more; if ``upto`` (``min_words`` at least) is given, prefixes of more lines may be given as so many or more."""
+    ranks = suffix_ranks(stored(suffixes(segments, min_words), "names"), upto)
     hot = ranks[0].count() // HOT_SHARE
-    at = lambda k: ranks[k].withColumnRenamed("rank", "b")
-    # suffixes whose first 2^k and last 2^k of the needed lines occur again
-    wanted = stored(candidates(segments, min_words), "wanted")
+    at = lambda k: ranks[k].select("seg", "p", F.col("rank").alias("b"))
+    # suffixes of which the first 2^k of the needed lines occur again
     state = None
-    for k in range(len(ranks)):
-        mine = wanted.where(F.col("k") == k).join(at(k).drop("b"), ["seg", "p"]).withColumn("q", F.col("p") + F.col("need") - (1 << k))
-        mine = mine.join(at(k).select("seg", F.col("p").alias("q")), ["seg", "q"]).select("seg", "p", "need")
+    for k, rank in enumerate(ranks):
+        mine = rank.where((F.col("need") >= 1 << k) & (F.col("need") < 2 << k)).select("seg", "p", "need")
         state = mine if state is None else state.unionByName(mine)
     none = F.struct(F.lit(-1).cast("long").alias("seg"), F.lit(-1).alias("p"))
     # own: the suffix itself; else it stands for the interval that it is the first member of
@@ -149,7 +152,7 @@ def repeated_runs(segments: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, line_no, words, seg, p): the lines of later copies."""
     segments = line_sequences(docs, min_words, doc_id, text)
-    runs = stored(repeated_runs(segments, min_words), "runs")
+    runs = stored(repeated_runs(segments, min_words, min_words), "runs")
     place = segments.join(runs.select("seg").distinct(), "seg", "left_semi").select("doc_id", "th", "seg", F.posexplode("l").alias("p", "x"))
     place = place.join(runs.select("seg", "p", (F.col("p") + F.col("len")).alias("end")), ["seg", "p"], "left")
     # a line is gone if a run that starts at it or before reaches beyond it; a segment lies in one document

@@ -80,7 +80,7 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def members(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig) of every document; set_key and sig are null without words or doc_id."""
+    """(doc_id, n_shingles, set_key, bands) of every document; set_key and bands are null without words or doc_id. The signatures are made again for the few classes that share a bucket: bands are less than half as long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -89,11 +89,11 @@ def members(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
             for d, t in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(t, width, words)
                 named = len(s) and not pd.isna(d)
-                rows.append((d, len(s), _key(s) if named else None, signature(s).tobytes() if named else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "sig"]).astype({"doc_id": "Int64", "n_shingles": "int64"})
+                rows.append((d, len(s), _key(s) if named else None, _band_keys(signature(s)).tobytes() if named else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"]).astype({"doc_id": "Int64", "n_shingles": "int64"})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_frames(rows, run, "doc_id bigint, n_shingles bigint, set_key binary, sig binary")
+    return map_frames(rows, run, "doc_id bigint, n_shingles bigint, set_key binary, bands binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -102,10 +102,10 @@ def band_keys(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                key = _band_keys(np.frombuffer(b"".join(batch["sig"]), "<u4"))
-                yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy(np.int64), BANDS), "bucket": key.reshape(-1).astype(np.int64)})
+                key = np.frombuffer(b"".join(batch["bands"]), np.uint64)
+                yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy(np.int64), BANDS), "bucket": key.astype(np.int64)})
 
-    return classes.select("rep", "sig").mapInPandas(run, "rep bigint, bucket bigint")
+    return classes.select("rep", "bands").mapInPandas(run, "rep bigint, bucket bigint")
 
 
 def _least(threshold: float) -> float:
@@ -118,10 +118,10 @@ def _similar(x: bytes, y: bytes, threshold: float) -> bool:
     return 100 * both >= round(100 * threshold) * (len(a) + len(b) - both)
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def agreeing(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose signatures and sizes let their similarity reach the threshold."""
     least = _least(threshold)
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,7 +134,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """(set_key, elements) of ``classes`` (rep, set_key), one row each. A bit filter of bounded size keeps most other documents' texts from being read twice, a join on both keys the rest."""
+    """(rep, set_key, n_shingles, sig, elements) of ``classes`` (rep, set_key), one row each. A bit filter of bounded size keeps most other documents' texts from being read twice, a join on both keys the rest."""
     key = F.xxhash64(F.col(doc_id).cast("long"))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), key.alias("key"), F.col(text).alias("text"))
     rows = maybe_in(rows, "key", "maybe", *bit_filter(classes.select(F.xxhash64("rep").alias("key")), "key", max_bits=1 << MAX_FILTER_BITS)).where("maybe")
@@ -143,39 +143,45 @@ def sets_of(docs: DataFrame, classes: DataFrame, width: int, doc_id: str, text:
         words = WordHashes()
         for batch in batches:
             made = [(d, s) for d, t in zip(batch["id"], batch["text"], strict=True) if len(s := shingles(t, width, words))]
-            yield pd.DataFrame([(d, _key(s), s.tobytes()) for d, s in made], columns=["rep", "set_key", "elements"])
+            yield pd.DataFrame([(d, _key(s), len(s), signature(s).tobytes(), s.tobytes()) for d, s in made], columns=["rep", "set_key", "n_shingles", "sig", "elements"])
 
-    made = map_frames(rows.select("id", "text"), run, "rep bigint, set_key binary, elements binary")
-    return made.join(classes.select("rep", "set_key"), ["rep", "set_key"], "left_semi").select("set_key", "elements").dropDuplicates(["set_key"])
+    made = map_frames(rows.select("id", "text"), run, "rep bigint, set_key binary, n_shingles bigint, sig binary, elements binary")
+    # a class has one rep, so copies agree in both columns, by which the join has dealt them already
+    return made.join(classes.select("rep", "set_key"), ["rep", "set_key"], "left_semi").dropDuplicates(["rep", "set_key"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    keys = classes.select("rep", "set_key")
+def sets_in(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``sets`` without most of those whose rep is not in ``reps`` (rep)."""
+    hashed = F.xxhash64("rep")
+    words = bit_filter(reps.distinct().select(hashed.alias("key")), "key")
+    return maybe_in(sets.withColumn("key", hashed), "key", "maybe", *words).where("maybe").drop("key", "maybe")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose full sets reach the threshold; ``pairs`` is a stored table."""
+    side = lambda x: sets_in(sets.select("rep", "elements"), pairs.select(F.col(x).alias("rep"))).select(F.col("rep").alias(x), F.col("elements").alias(f"e{x}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [_similar(x, y, threshold) for x, y in zip(batch["ea"], batch["eb"], strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
-    # first the key columns, then each side's set once
-    p = pairs.join(keys.withColumnRenamed("rep", "a").withColumnRenamed("set_key", "ka"), "a").join(keys.withColumnRenamed("rep", "b").withColumnRenamed("set_key", "kb"), "b")
-    p = p.join(sets.select(F.col("set_key").alias("ka"), F.col("elements").alias("ea")), "ka").join(sets.select(F.col("set_key").alias("kb"), F.col("elements").alias("eb")), "kb")
-    return p.select("a", "b", "ea", "eb").mapInPandas(run, "a bigint, b bigint").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-def block_links(members_: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def block_links(members_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between different roots inside large buckets; ``members_`` has (bucket, rep, root).
 
     A bucket is cut into chunks of bounded size and every two chunks meet in a group of their own, which emits only what
     ties roots together. Each pair is looked at in the first bucket that its signatures share.
     """
-    rows = members_.join(classes.select("rep", "set_key", "sig", "n_shingles"), "rep")
+    sets = sets_in(sets, members_.select("rep"))
+    rows = members_.join(sets.select("rep", "set_key", "sig", "n_shingles"), "rep")
     load = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES), F.ceil(F.count(F.lit(1)) / CHUNK_MEMBERS), F.lit(1)).alias("chunks"))
     salted = load.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", "bucket"), F.lit(SALT)).cast("int")).join(salted, ["bucket", "salt"]).drop("salt").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.join(sets, "set_key").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "root", "sig", "elements")
+    rows = rows.join(sets.select("set_key", "elements"), "set_key").select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "root", "sig", "elements")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["chunk", "rep"], ignore_index=True)
@@ -230,9 +236,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     bound_batches(docs.sparkSession)
     every = stored(members(docs, width, doc_id, text), "members")
     named = every.where("set_key is not null")
-    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    classes = stored(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     # documents of several texts tie their classes together
-    of_class = named.select("doc_id", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    twice = stored(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    of_class = named.select("doc_id", "set_key").join(twice, "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     several = of_class.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("other")).where("b <> other").select("doc_id", "b")
     tied = stored(of_class.join(several, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct(), "tied")
 
@@ -240,14 +247,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     hot = buckets.count() // 1000 + 1  # of fuller buckets there are fewer than a thousand: these are broadcast
     inside = stored(join_counted(buckets, shared.withColumn("n", F.col("size")), ["bucket"], hot), "inside")
-    weight = inside.groupBy("rep").agg(F.sum("size").alias("weight"))
-    central = inside.join(stored(weight, "weight"), "rep").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("rep"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
+    weight = stored(inside.groupBy("rep").agg(F.sum("size").alias("weight")), "weight")
+    central = inside.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("rep"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
     stars = join_counted(inside, stored(central.select("bucket", F.col("c.rep").alias("b"), "n"), "central"), ["bucket"], hot).where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     best = stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("s")).select("a", F.col("s.b").alias("b"))
-    first = stored(agreeing(best, classes, threshold), "pairs")
-    met = stored(classes.join(inside.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key"), "met")
+    met = stored(classes.select("rep", "set_key").join(weight, "rep", "left_semi"), "met")
     sets = stored(sets_of(docs, met, width, doc_id, text), "sets")
-    edges = stored(confirmed(first, sets, classes, threshold).unionByName(tied), "links")
+    first = stored(agreeing(best, sets, threshold), "pairs")
+    edges = stored(confirmed(first, sets, threshold).unionByName(tied), "links")
     found = components(edges)
 
     where = inside.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
@@ -258,8 +265,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, doc
     x = open_.select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra"))
     y = open_.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, "bucket").where("ra < rb").select("a", "b").distinct()
-    second = stored(agreeing(rest, classes, threshold), "pairs")
-    more = stored(confirmed(second, sets, classes, threshold).unionByName(block_links(large, sets, classes, threshold)), "links")
+    second = stored(agreeing(rest, sets, threshold), "pairs")
+    more = stored(confirmed(second, sets, threshold).unionByName(block_links(large, sets, threshold)), "links")
     if more.take(1):
         found = components(edges.unionByName(more))
     label = classes.select("set_key", F.col("rep").alias("node")).join(found, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
