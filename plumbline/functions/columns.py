@@ -86,3 +86,9 @@ def likely_key(name: Column) -> Column:
     """Whether a column name reads like an identifier."""
     n = F.lower(F.trim(name))
     return (n == "id") | ((F.length(n) > 3) & (n.endswith("_id") | n.endswith("id")))
+
+
+def decimals(number: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` as a decimal text (0.0006, 20000000.0), where a cast of a small or large one gives a power of ten (6.0E-4, 2.0E7); null for NaN and infinity."""
+    plain = F.round(number, digits).try_cast(f"decimal(38,{digits})").cast("string")
+    return F.regexp_replace(plain, r"(\.[0-9]+?)0+$", "$1")

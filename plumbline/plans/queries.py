@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import decimals
 from plumbline.operators import drift, links, pii, quality, states, stats, topk
 from plumbline.plans import document, incremental, inputs
 from plumbline.plans.profile import column_profiles, profile_table, run_profile
@@ -240,7 +241,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eleven kinds of change; numbers rounded, types and labels as they are."""
     c = _runs(spark, sf_dir)[1]
-    shown = lambda v: F.coalesce(F.round(F.expr(f"try_cast({v} AS double)"), 4).cast("string"), F.col(v))
+    shown = lambda v: F.coalesce(decimals(F.col(v).try_cast("double"), 4), F.col(v))
     return c.select("column_name", "kind", "severity", shown("old_value").alias("old_value"), shown("new_value").alias("new_value"))
 
 

@@ -117,6 +117,18 @@ def test_drift(spark):
     assert not changes and (report[0]["changed"], report[0]["score_delta"], report[0]["column_changes"]) == (False, 0, [])
 
 
+def test_run_drift_shows_numbers_of_any_size(spark, monkeypatch):
+    """As DuckDB casts them: no powers of ten."""
+    values = ["6.0E-4", "1.0E-4", "5.55E-4", "2.0E7", "1.23456789125E8", "900000", "12345678", "1234567890123", "45.4551", "33.33", "100.0", "0.0", "0", "-7.5E-4"]
+    texts_ = ["bigint", "true", "", None]
+    rows = [(str(i), "k", "low", v, w) for i, (v, w) in enumerate(zip([*values, *texts_], [*values[::-1], *texts_[::-1]], strict=True))]
+    changed = spark.createDataFrame(rows, "column_name string, kind string, severity string, old_value string, new_value string")
+    monkeypatch.setattr(queries, "_runs", lambda *_: (None, changed))
+    in_sql = {v: duckdb.sql(f"SELECT CAST(round(CAST('{v}' AS DOUBLE), 4) AS VARCHAR)").fetchall()[0][0] for v in values}
+    want = [(n, k, s, in_sql.get(v, v), in_sql.get(w, w)) for n, k, s, v, w in rows]
+    assert sorted(map(tuple, queries.run_drift(spark, "").collect())) == sorted(want)
+
+
 def test_store(spark, dirty, tmp_path):
     path = str(tmp_path / "h")
     for i, df in enumerate((dirty, dirty.drop("score"))):
